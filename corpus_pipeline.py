@@ -1,21 +1,63 @@
-"""The corpus pipeline: stages over the documents table, each written and read again."""
+"""The corpus pipeline: stages over the documents table, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept.  All but the last return the columns of documents; rows without id can't
+be named by a decision and stay until the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm.durable import shared_path
+from tidewell.llm.ids import without_ids
+from tidewell.llm.kneser_ney import classify_quality
+from tidewell.llm.line_chunk_dedup import remove_repeated_chunks
 from tidewell.llm.minhash_dedup import near_duplicates
+from tidewell.llm.pareto_mix import mix_sources
+from tidewell.llm.winnow_decontam import find_leaks
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is above their language's threshold go; trusted are those labelled good and not toxic."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
+    return without_ids(docs, classify_quality(docs, trusted).where("not kept"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go, n_chars follows; so does a document of which no word is left."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = remove_repeated_chunks(docs, keep=rest)
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays (five-word shingles, 0.8)."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return without_ids(docs, near_duplicates(docs, shingle=5, percent=80).where("not kept"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return without_ids(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed corpus by document: how many copies and words of each are taken; documents not taken go."""
+    return mix_sources(docs).where("copies > 0")
 
 
-STAGES = [("minhash near-dedup", drop_near_copies)]
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("line dedup", drop_repeated_lines),
+    ("minhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("source mixing", mix),
+]
 
+#: Perplexities and signatures have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

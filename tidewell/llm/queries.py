@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import shared_path
+from .kneser_ney import classify_quality
 from .language_id import fit_language_model, identify_languages
+from .license_scan import KNOWN, SPELLINGS, scan_licenses
+from .line_chunk_dedup import EVERY, LONG_LINE, remove_repeated_chunks
 from .minhash_dedup import near_duplicates
 from .pareto_mix import mix_sources
 from .rule_cascade import rule_cascade
 from .url_filter import filter_urls
+from .warc_revisit import read_archives, resolve_revisits, write_archives
 from .winnow_decontam import find_leaks
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,6 +48,42 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.doc = d.doc_id
 
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, by entire text and by entire lines."""
+    out = scan_licenses(_read(spark, sf_dir, "documents"))
+    return out.withColumn("line_licenses", F.array_join("line_licenses", ","))
+
+
+def _canonical_sql(text: str) -> str:
+    sql = rf"regexp_replace(lower({text}), '(?m)^[^\n\p{{L}}]*(?:copyright\b|\(c\)|©)[^\n]*$', '', 'g')"
+    sql = rf"regexp_replace({sql}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    for other, usual in SPELLINGS:
+        sql = rf"regexp_replace({sql}, '\b{other}\b', '{usual}', 'g')"
+    return rf"regexp_replace({sql}, ' ?\n ?', chr(10), 'g')"
+
+
+def _digest_sql(text: str) -> str:
+    flat = rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+    return f"CASE WHEN {flat} <> '' THEN sha256({flat}) END"
+
+
+_OP2 = f"""
+WITH k AS (SELECT {_digest_sql(_canonical_sql("t"))} AS digest, name FROM (VALUES {", ".join(f"('{n}', '{t}')" for n, t in KNOWN)}) v(name, t)),
+c AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS t FROM documents),
+d AS (SELECT doc_id, {_digest_sql("t")} AS digest FROM c),
+l AS (SELECT doc_id, {_digest_sql("line")} AS digest FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM c)),
+f AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(*) AS n FROM l JOIN k USING (digest) GROUP BY 1)
+SELECT d.doc_id, d.digest, k.name AS license, coalesce(f.names, '') AS line_licenses, coalesce(f.n, 0)::BIGINT AS n_license_lines
+FROM d LEFT JOIN k USING (digest) LEFT JOIN f ON f.doc_id = d.doc_id
+"""
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict for all documents; trusted are those labelled good and not toxic."""
+    trusted = _read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return classify_quality(_read(spark, sf_dir, "documents"), trusted)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measures and the cascade's verdict for all documents."""
     return rule_cascade(_read(spark, sf_dir, "documents")).drop("failed_rule")
@@ -68,6 +109,23 @@ FROM b
 """
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives with revisit records, and read back."""
+    path = shared_path(spark, "archives")
+    write_archives(_read(spark, sf_dir, "pages"), path, least_bytes=0)
+    return resolve_revisits(read_archives(spark, path, payloads=False))
+
+
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(s, {a + 1}, 5))::INT >> {b} & 31) + 1, 1)" for a in range(0, 40, 5) for b in (15, 10, 5, 0))
+_OP5 = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS s FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS newest FROM p)
+SELECT page_id, payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM m
+"""
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those outside the held-out fold."""
     docs = _read(spark, sf_dir, "documents")
@@ -146,22 +204,50 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN before < re
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without chunks of lines that repeat."""
+    out = remove_repeated_chunks(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+_OP10 = f"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, ls, list_transform(ls, lambda x: md5(x)) AS ms FROM l),
+e AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR length(ls[i]) >= {LONG_LINE} OR coalesce(length(ls[i + 1]) >= {LONG_LINE}, false)
+        OR (i > 1 AND ('0x' || substr(md5(ms[i - 1] || ms[i]), 1, 4))::INT % {EVERY} = 0)) AS ends FROM m),
+c AS (SELECT doc_id, ls, unnest(range(1, len(ends) + 1)) AS k, ends FROM e),
+b AS (SELECT doc_id, k, ls[(CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END):ends[k]] AS body FROM c),
+w AS (SELECT *, (len(body) > 1 OR length(body[1]) >= {LONG_LINE}) AND len(list_filter(body, lambda x: trim(x) <> '')) > 0 AS worthy FROM b),
+f AS (SELECT *, worthy AND row_number() OVER (PARTITION BY worthy, body ORDER BY doc_id, k) > 1 AS gone FROM w),
+t AS (SELECT doc_id, sum(len(body))::BIGINT AS n_lines, coalesce(sum(len(body)) FILTER (gone), 0)::BIGINT AS n_removed,
+             coalesce(array_to_string(flatten(list(body ORDER BY k) FILTER (NOT gone)), chr(10)), '') AS text FROM f GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(t.text) AS text_sha256 FROM documents LEFT JOIN t USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_license_scans": op2_license_scans,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_quality_rules": op4_quality_rules,
+        "op5_warc_revisits": op5_warc_revisits,
         "op6_language_id": op6_language_id,
         "op7_url_filters": op7_url_filters,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_source_mixing": op9_source_mixing,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": _OP1,
+        "op2_license_scans": _OP2,
         "op4_quality_rules": _OP4,
+        "op5_warc_revisits": _OP5,
         "op7_url_filters": _OP7,
         "op8_benchmark_decontamination": _OP8,
         "op9_source_mixing": _OP9,
+        "op10_line_dedup": _OP10,
     }
