@@ -149,7 +149,7 @@ def _lengths(batches):
             yield pa.record_batch({"n": pa.array(np.minimum(np.diff(_words(data, offs)[1]), SPAN), pa.int32())})
 
 
-def _one_text(table: pa.Table, key) -> pa.Table:
+def _one_text(table: pa.Table) -> pa.Table:
     text = table["text"][0:1].combine_chunks()
     index = Index(table["item_id"].to_pylist(), table["item_text"].combine_chunks())
     (_, _, data, offs), = kernel.slices(text)
