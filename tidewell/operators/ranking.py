@@ -187,3 +187,20 @@ def ranking_status(complete_access: Column, config: RankingConfig = DEFAULT) ->
     )
     status = F.when(excluded.isNotNull(), "excluded").when(F.size(missing) > 0, "partial").otherwise("ranked")
     return status, F.when(excluded.isNotNull(), F.array(excluded)).otherwise(missing)
+
+
+# Weights of the earlier six-component model.
+SIX_WEIGHTS = {"price": 0.30, "distance": 0.25, "amenities": 0.15, "convenience": 0.10, "quality": 0.10, "freshness": 0.10}
+
+
+def weighted_sum(parts: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
+    """Sum of the parts by normalized weights, clipped to 0..100; a missing part counts as zero."""
+    whole = sum(weights[name] for name in parts)
+    total = sum((F.coalesce(part, F.lit(0.0)) * (weights[name] / whole) for name, part in parts.items()), F.lit(0.0))
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), total))
+
+
+def top_reasons(parts: Mapping[str, Column], n: int = 2) -> Column:
+    """Names of the n largest parts, ties by name."""
+    entries = F.array(*(F.struct((-F.coalesce(p, F.lit(0.0))).alias("v"), F.lit(name).alias("name")) for name, p in parts.items()))
+    return F.transform(F.slice(F.array_sort(entries), 1, n), lambda e: e.name)

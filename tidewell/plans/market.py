@@ -171,3 +171,36 @@ def agg_legacy_min_max(spark, sf_dir):
 @query("agg_distribution", "SELECT ranking_status, count(ranking_value_score) AS n, round(min(ranking_value_score), 4) AS min, " + ", ".join(f"round(quantile_cont(ranking_value_score, {p}), 4) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) + ", round(max(ranking_value_score), 4) AS max, round(avg(ranking_value_score), 4) AS mean FROM listings GROUP BY 1")
 def agg_distribution(spark, sf_dir):
     return distribution(frame(spark, sf_dir, "listings"), ["ranking_status"], "ranking_value_score")
+
+
+_SIX = """SELECT listing_id, coalesce(CASE WHEN price_monthly IS NULL THEN 25.0 ELSE greatest(0.0, 100 - price_monthly / 100) END, 0) AS price, CASE WHEN distance_km IS NULL THEN 20.0 ELSE greatest(0.0, 100 - 16 * distance_km) END AS distance,
+  CASE WHEN amenities IS NULL THEN 0.0 ELSE 25.0 * (length(amenities) - length(replace(amenities, '|', '')) + 1) END AS amenities, coalesce(ranking_transit_score, 0) AS convenience, coalesce(geocode_confidence, 0) * 100 AS quality, CASE WHEN listing_status = 'active' THEN 100.0 ELSE 30.0 END AS freshness FROM listings"""
+_SUM = "least(100.0, greatest(0.0, 0.3 * price + 0.25 * distance + 0.15 * amenities + 0.1 * convenience + 0.1 * quality + 0.1 * freshness))"
+
+
+def _six(spark, sf_dir):
+    price = F.col("price_monthly")
+    parts = {
+        "price": F.when(price.isNull(), 25.0).otherwise(F.greatest(F.lit(0.0), 100 - price / 100)),
+        "distance": F.when(F.col("distance_km").isNull(), 20.0).otherwise(F.greatest(F.lit(0.0), 100 - 16 * F.col("distance_km"))),
+        "amenities": F.when(F.col("amenities").isNull(), 0.0).otherwise(25.0 * F.size(F.split("amenities", r"\|"))),
+        "convenience": F.coalesce("ranking_transit_score", F.lit(0.0)),
+        "quality": F.coalesce("geocode_confidence", F.lit(0.0)) * 100,
+        "freshness": F.when(F.col("listing_status") == "active", 100.0).otherwise(30.0),
+    }
+    rows = frame(spark, sf_dir, "listings").select("listing_id", *(p.alias(n) for n, p in parts.items()))
+    return rows, {n: F.col(n) for n in parts}
+
+
+@query("fn_weighted_sum", f"SELECT listing_id, round({_SUM}, 5) AS score FROM ({_SIX})")
+def fn_weighted_sum(spark, sf_dir):
+    rows, parts = _six(spark, sf_dir)
+    return rows.select("listing_id", F.round(R.weighted_sum(parts, R.SIX_WEIGHTS), 5).alias("score"))
+
+
+@query("rank_listings_weighted", f"""WITH s AS ({_SIX}), u AS (UNPIVOT s ON price, distance, amenities, convenience, quality, freshness INTO NAME part VALUE v),
+  t AS (SELECT listing_id, string_agg(part, '|' ORDER BY v DESC, part) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY v DESC, part) AS k FROM u) WHERE k <= 2 GROUP BY 1)
+  SELECT listing_id, round({_SUM}, 5) AS score, reasons FROM s JOIN t USING (listing_id)""")
+def rank_listings_weighted(spark, sf_dir):
+    rows, parts = _six(spark, sf_dir)
+    return rows.select("listing_id", F.round(R.weighted_sum(parts, R.SIX_WEIGHTS), 5).alias("score"), F.array_join(R.top_reasons(parts), "|").alias("reasons"))
