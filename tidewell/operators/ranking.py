@@ -203,4 +203,4 @@ def weighted_sum(parts: Mapping[str, Column], weights: Mapping[str, float]) -> C
 def top_reasons(parts: Mapping[str, Column], n: int = 2) -> Column:
     """Names of the n largest parts, ties by name."""
     entries = F.array(*(F.struct((-F.coalesce(p, F.lit(0.0))).alias("v"), F.lit(name).alias("name")) for name, p in parts.items()))
-    return F.transform(F.slice(F.array_sort(entries), 1, n), lambda e: e.name)
+    return F.transform(F.slice(F.array_sort(entries), 1, n), lambda e: e["name"])
