@@ -43,7 +43,7 @@ def departures(rows: DataFrame, monday: Column, zone: str, periods: Mapping[str,
 def age_score(seen: Column, now: Column, unknown: float = 30.0) -> Column:
     """max(0, 100 - 2 * days); unknown without a time."""
     days = (F.unix_timestamp(now) - F.unix_timestamp(seen)) / 86400
-    return F.coalesce(F.greatest(F.lit(0.0), 100 - 2 * days), F.lit(unknown))
+    return F.when(days.isNull(), F.lit(unknown)).otherwise(F.greatest(F.lit(0.0), 100 - 2 * days))
 
 
 def service_days(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:

@@ -139,12 +139,12 @@ def value_score(price: Column, median: Column, p25: Column, p75: Column, config:
     iqr = p75 - p25
     raw = F.when(iqr == 0, 50.0).otherwise(50.0 - config.points_per_iqr * (price - median) / iqr)
     low, high = config.value_range
-    return F.greatest(F.lit(low), F.least(F.lit(high), raw))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), raw)))
 
 
 def bounded_inverse(value: Column, midpoint: float, shape: float) -> Column:
-    """100 / (1 + (max(0, value) / midpoint) ** shape)."""
-    return 100.0 / (1.0 + F.pow(F.greatest(F.lit(0.0), value) / midpoint, F.lit(shape)))
+    """100 / (1 + (max(0, value) / midpoint) ** shape); null stays null, which greatest() alone would turn into 0."""
+    return F.when(value.isNotNull(), 100.0 / (1.0 + F.pow(F.greatest(F.lit(0.0), value) / midpoint, F.lit(shape))))
 
 
 def campus_score(walking_seconds: Column, cycling_seconds: Column, config: RankingConfig = DEFAULT) -> Column:

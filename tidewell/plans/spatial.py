@@ -24,7 +24,7 @@ def _lots(spark, sf_dir):
     return frame(spark, sf_dir, "lots").select("lot_id", ring.alias("ring"))
 
 
-@query("fn_haversine", "SELECT listing_id, round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(43.0096 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(43.0096)) * pow(sin(radians(-81.2737 - longitude) / 2), 2)))), 3) AS metres FROM listings")
+@query("fn_haversine", "SELECT listing_id, CASE WHEN latitude IS NOT NULL THEN round(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(43.0096 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(43.0096)) * pow(sin(radians(-81.2737 - longitude) / 2), 2)))), 3) END AS metres FROM listings")
 def fn_haversine(spark, sf_dir):
     return frame(spark, sf_dir, "listings").select("listing_id", F.round(G.haversine(F.col("latitude"), F.col("longitude"), F.lit(43.0096), F.lit(-81.2737)), 3).alias("metres"))
 
