@@ -104,6 +104,15 @@ def test_nearest_and_overlap(spark):
     assert row.length == pytest.approx(100) and row.overlap == pytest.approx(54, abs=1)
 
 
+def test_numbered_equals_the_sorted_order(spark):
+    values = [None if i % 17 == 0 else float(i * 7919 % 50) for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    got = {r.id: r.at for r in history.numbered(rows, "v", "id", "at", 10).collect()}
+    want = sorted(range(300), key=lambda i: (values[i] is not None, values[i] or 0, i))
+    assert [got[i] for i in want] == list(range(300))
+    assert history.spread_sample(rows, "v", "id", 7).count() == 7 and history.spread_sample(rows.limit(0), "v", "id", 7).count() == 0
+
+
 def test_absence_runs(spark):
     runs = spark.createDataFrame([(d,) for d in range(5)], "run int")
     seen = spark.createDataFrame([(1, 4), (2, 3), (3, 1), (3, 0)], "listing_id long, run int")

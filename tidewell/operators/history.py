@@ -63,14 +63,31 @@ def absence_runs(seen: DataFrame, runs: DataFrame, key: str, run: str, removed_a
     return out.withColumn("status", status).select(key, F.col(run).alias("last_run"), "missed", "status")
 
 
-def spread_sample(rows: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """k rows spread evenly over the order, first and last included; all rows if there are fewer."""
+def numbered(rows: DataFrame, by: str, tie: str, name: str, buckets: int = 200) -> DataFrame:
+    """Adds the 0-based position of each row in the order (by, tie), nulls first, without one task for all rows.
+
+    `by` is numeric.  Approximate quantiles cut it into ranges; a range's rows
+    are numbered in their own task and shifted by the count of the ranges before.
+    """
+    cuts = sorted(set(rows.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.01)))
+    part = F.lit(0)
+    if cuts:
+        part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(by).cast("double"))) + 1, F.lit(0))
+    rows = rows.withColumn("_part", F.when(F.col(by).isNull(), 0).otherwise(part))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = F.broadcast(counts.select("_part", before.alias("_before")))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_first(by), tie)) - 1
+    return rows.withColumn("_own", own).join(shift, "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def spread_sample(rows: DataFrame, by: str, tie: str, k: int) -> DataFrame:
+    """k rows spread evenly over the order (by, tie), first and last included; all rows if there are fewer."""
     n = rows.count()
     if n <= k:
         return rows
     picks = sorted({round(i * (n - 1) / (k - 1)) for i in range(k)}) if k > 1 else [0]
-    numbered = rows.withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1)
-    return numbered.where(F.col("_at").isin(picks)).drop("_at")
+    return numbered(rows, by, tie, "_at").where(F.col("_at").isin(picks)).drop("_at")
 
 
 def stable_hash_order(namespace: str, key: Column) -> Column:

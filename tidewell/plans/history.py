@@ -98,7 +98,7 @@ def win_missing_runs(spark, sf_dir):
 
 @query("win_spread_sample", "WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS pos, count(*) OVER () AS n FROM part) SELECT p_partkey FROM n WHERE pos IN (SELECT CAST(round_even(i * (n - 1) / 24.0, 0) AS BIGINT) FROM range(25) r(i))")
 def win_spread_sample(spark, sf_dir):
-    return H.spread_sample(load(spark, sf_dir, "part"), [F.col("p_retailprice"), F.col("p_partkey")], 25).select("p_partkey")
+    return H.spread_sample(load(spark, sf_dir, "part"), "p_retailprice", "p_partkey", 25).select("p_partkey")
 
 
 @query("win_grid_round_robin", """WITH b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM places), c AS (SELECT place_id, CAST(least(4, floor((x - x0) * 5 / (x1 - x0))) * 5 + least(4, floor((y - y0) * 5 / (y1 - y0))) AS BIGINT) AS cell FROM places, b)
