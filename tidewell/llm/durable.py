@@ -1,11 +1,12 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Cutting lineage in the folder that the cluster shares, and holding columns in place."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,12 @@ def durable(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that the optimizer can't copy into later expressions and filters.
+
+    Filters that joins infer or callers add are otherwise pushed down with the
+    whole expression inlined, and a costly one is evaluated again and again.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))

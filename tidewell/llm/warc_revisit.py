@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import durable, held
+
 #: Payload bytes of an archive file, about; a larger page has a file of its own size.
 FILE_BYTES = 16 << 20
 #: Parts that the records of one digest are dealt into for joins.
@@ -21,9 +23,9 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "record_id string, record_type string, target_uri string, page_id long, payload_digest string, refers_to string, payload_bytes long, digest_ok boolean, payload binary"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 of a string's UTF-8 bytes in upper-case base32: 5 hex digits are 4 of base32."""
-    parts, digest = [], F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """A SHA-1 of 40 hex digits in upper-case base32: 5 hex digits are 4 of base32."""
+    parts = []
     for at in range(0, 40, 5):
         value = F.conv(F.substring(digest, at + 1, 5), 16, 10).cast("int")
         parts += [F.substring(F.lit(_BASE32), F.shiftright(value, shift).bitwiseAND(F.lit(31)) + F.lit(1), F.lit(1)) for shift in (15, 10, 5, 0)]
@@ -48,15 +50,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    rows = rows.withColumn("record_id", _uuid(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest")))
-    headers = rows.select("page_id", "record_id", "digest", "bytes").where(F.col("bytes") >= least_bytes)
-    groups = headers.groupBy("digest").agg(F.max_by("record_id", F.coalesce("page_id", F.lit(-(2**63)))).alias("original"), F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("digest", "original", "newest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = held(rows.withColumn("bytes", F.octet_length("payload").cast("long")), "sha", F.sha1("payload"))
+    rows = held(rows, "record_id", _uuid(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "sha")))
+    every = durable(rows.select("page_id", "record_id", "sha", "bytes"))
+    headers = every.where(F.col("bytes") >= least_bytes)
+    groups = headers.groupBy("sha").agg(F.max_by("record_id", F.coalesce("page_id", F.lit(-(2**63)))).alias("original"), F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1")
+    groups = groups.select("sha", "original", "newest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = headers.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    revisits = dealt.join(groups, ["digest", "salt"]).where(F.col("record_id") != F.col("original")).select("record_id", "original").distinct()
+    revisits = dealt.join(groups, ["sha", "salt"]).where(F.col("record_id") != F.col("original")).select("record_id", "original").distinct()
 
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    total = every.agg(F.sum("bytes")).first()[0] or 0
     files = max(1, math.ceil(total / FILE_BYTES))
     joined = rows.repartition(files, "record_id").join(revisits, "record_id", "left")
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
@@ -69,7 +72,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("WARC-Record-ID", F.concat(F.lit("<"), F.col("record_id"), F.lit(">"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha")))),
         line("WARC-Profile", F.when(~first, _PROFILE)),
         line("WARC-Refers-To", F.concat(F.lit("<"), F.col("original"), F.lit(">"))),
         line("X-Page-Id", F.col("page_id").cast("string")),
