@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import held
+
 # Licence notices by SPDX-style name, and spellings that count as equal.
 KNOWN = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -75,10 +77,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     names = F.broadcast(known_digests(docs, known))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("canonical", canonical(F.coalesce("text", F.lit("")))).withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = rows.select("row", F.posexplode(F.split("canonical", "\n")).alias("at", "line")).select("row", "at", digest(F.col("line")).alias("digest"))
-    found = lines.join(names, "digest").groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"), F.size(F.collect_set("at")).alias("n"))
-    whole = rows.select("doc_id", "row", digest(F.col("canonical")).alias("digest")).join(names, "digest", "left")
-    return whole.join(found, "row", "left").select(
-        "doc_id", "digest", "license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"), F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines")
+    rows = held(rows.withColumn("row", F.xxhash64("doc_id", "text")), "canonical", canonical(F.coalesce("text", F.lit(""))))
+    # the entire text stands at place -1 beside its lines, so the texts are read and made canonical once
+    places = F.concat(F.array(F.struct(F.lit(-1).alias("at"), digest(F.col("canonical")).alias("digest"))), F.transform(F.split("canonical", "\n"), lambda x, i: F.struct(i.alias("at"), digest(x).alias("digest"))))
+    found = rows.select("doc_id", "row", F.explode(places).alias("p")).select("doc_id", "row", "p.*").join(names, "digest", "left")
+    line = F.col("at") >= 0
+    hits = found.groupBy("doc_id", "row").agg(
+        F.count_if(F.col("at") == -1).alias("rows"),
+        F.max(F.when(~line, F.col("digest"))).alias("digest"),
+        F.max(F.when(~line, F.col("license"))).alias("license"),
+        F.array_sort(F.collect_set(F.when(line, F.col("license")))).alias("line_licenses"),
+        F.count_if(line & F.col("license").isNotNull()).alias("n"),
     )
+    out = hits.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return out.select("doc_id", "digest", "license", "line_licenses", (F.col("n") / F.col("rows")).cast("long").alias("n_license_lines"))
