@@ -394,7 +394,7 @@ def test_line_dedup_equals_brute_force(spark):
         texts.append("\n".join(body))
     texts += [texts[3], None, "", "\n", "a\n" * 400]
     docs = documents(spark, texts, ks="k", digest="d", marks="m")
-    got = {r.doc_id: r for r in line_chunk_dedup.remove_repeated_chunks(docs, keep=["marks2"] if False else []).collect()}
+    got = {r.doc_id: r for r in line_chunk_dedup.remove_repeated_chunks(docs, keep=["marks"]).collect()}
     seen = set()
     for i, t in enumerate(texts):
         if t is None:
