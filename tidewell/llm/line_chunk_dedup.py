@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import held
+
 #: A boundary follows one pair of lines in so many; lines of LONG_LINE characters or more are chunks of their own.
 EVERY, LONG_LINE = 2, 250
+#: Parts that the occurrences of one digest are dealt into.
+SALTS = 16
 
 _ENDS = f"""filter(sequence(1, size(lines)), i -> i = size(lines)
     or length(lines[i - 1]) >= {LONG_LINE} or coalesce(length(get(lines, i)) >= {LONG_LINE}, false)
@@ -22,21 +26,12 @@ _ENDS = f"""filter(sequence(1, size(lines)), i -> i = size(lines)
 _CHUNKS = """transform(ends, (e, k) -> named_struct('k', k, 'first', if(k = 0, 1, get(ends, k - 1) + 1), 'n', e - if(k = 0, 0, get(ends, k - 1))))"""
 
 
-def _held(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column that the optimizer can't copy into later expressions.
-
-    A filter on the result would otherwise be pushed down with the whole chain
-    inlined, and split() run once per line inside the lambdas.
-    """
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _chunked(rows: DataFrame) -> DataFrame:
     """Adds lines, marks (their hashes), ends and chunks (k, first, n)."""
-    rows = _held(rows, "lines", F.split("text", "\n", -1))
-    rows = _held(rows, "marks", F.expr("transform(lines, x -> md5(x))"))
-    rows = _held(rows, "ends", F.expr(_ENDS))
-    return _held(rows, "chunks", F.expr(_CHUNKS))
+    rows = held(rows, "lines", F.split("text", "\n", -1))
+    rows = held(rows, "marks", F.expr("transform(lines, x -> md5(x))"))
+    rows = held(rows, "ends", F.expr(_ENDS))
+    return held(rows, "chunks", F.expr(_CHUNKS))
 
 
 def _worthy(rows: DataFrame) -> DataFrame:
@@ -62,9 +57,10 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     every = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     rows = every.select("doc_key", "doc_id", "text")
-    hashed = _worthy(_chunked(rows)).select("doc_key", F.col("chunk.k").alias("k"), F.expr("xxhash64(slice(marks, chunk.first, chunk.n))").alias("digest"))
-    again = hashed.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1")
-    wanted = hashed.join(again, "digest", "left_semi").groupBy("doc_key").agg(F.collect_set("k").alias("ks"))
+    salt = F.pmod("doc_key", F.lit(SALTS)).cast("int").alias("salt")
+    hashed = _worthy(_chunked(rows)).select("doc_key", F.col("chunk.k").alias("k"), F.expr("xxhash64(slice(marks, chunk.first, chunk.n))").alias("digest"), salt)
+    again = hashed.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    wanted = hashed.join(again, ["digest", "salt"], "left_semi").groupBy("doc_key").agg(F.collect_set("k").alias("ks"))
 
     near = _chunked(rows.join(wanted, "doc_key"))
     near = near.withColumn("chunk", F.explode(F.expr("filter(chunks, c -> array_contains(ks, c.k) and size(lines) > 0)")))
@@ -77,7 +73,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     out = every.join(gone, "doc_key", "left")
     cut, whole = _chunked(out.where("gone is not null")), out.where("gone is null")
     left = "filter(chunks, c -> not array_contains(gone, c.k) and size(lines) > 0)"
-    cut = _held(cut, "left", F.expr(f"flatten(transform({left}, c -> slice(lines, c.first, c.n)))"))
+    cut = held(cut, "left", F.expr(f"flatten(transform({left}, c -> slice(lines, c.first, c.n)))"))
     cut = cut.select("doc_key", "doc_id", *keep, F.array_join("left", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_removed"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     return cut.unionByName(whole.select("doc_key", "doc_id", *keep, "text", n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
