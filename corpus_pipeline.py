@@ -28,10 +28,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go, n_chars follows; so does a document of which no word is left."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = remove_repeated_chunks(docs, keep=rest)
+    out = remove_repeated_chunks(docs, keep=rest).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    value = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("kept").getField(c) for c in rest}
     if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
+        value["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(value["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(value[c].alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -415,6 +415,6 @@ def test_line_dedup_equals_brute_force(spark):
 def test_line_dedup_edges(spark):
     long = "\n".join("x" * 300 + str(i) for i in range(3))
     docs = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (None, long, "c"), (2, None, "d")], "doc_id long, text string, lang string")
-    rows = sorted((str(r.doc_id), r.n_removed, r.lang) for r in line_chunk_dedup.remove_repeated_chunks(docs, keep=["lang"]).collect())
+    rows = sorted((str(r.doc_id), r.n_removed, r.kept.lang) for r in line_chunk_dedup.remove_repeated_chunks(docs, keep=["lang"]).collect())
     assert rows == [("1", 3, "a"), ("1", 3, "b"), ("2", 0, "d"), ("None", 0, "c")]
     assert line_chunk_dedup.remove_repeated_chunks(docs.limit(0)).count() == 0

@@ -132,5 +132,13 @@ def test_mixing(states):
     assert all(abs(taken[s] - t) <= longest for s, t in targets.items())
 
 
+def test_stages_take_clashing_columns(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").limit(12)
+    for name in ("kept", "n_lines", "doc_key", "marks", "copies"):
+        docs = docs.withColumn(name, docs.source)
+    out = corpus_pipeline.drop_repeated_lines(spark, docs, tables)
+    assert out.columns == docs.columns and out.where("not (kept <=> source)").count() == 0
+
+
 def test_run_gives_the_last_stage(spark, tables, states):
     assert sorted(map(str, corpus_pipeline.run(spark, tables).collect())) == sorted(map(str, states[-1]))

@@ -52,10 +52,11 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     A null text stays null with zero lines, an empty one has one empty line.
     A null id sorts first.  Rows equal in id and text are one document: each
     keeps what the document keeps.  doc_key hashes id and text, for joins.
-    The columns in `keep` pass through, others are ignored; an empty table gives
-    no rows.
+    The columns in `keep` pass through as the struct `kept`, so their names clash
+    with nothing; others are ignored; an empty table gives no rows.
     """
-    every = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    every = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc_key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    carry = ["kept"] if keep else []
     rows = every.select("doc_key", "doc_id", "text")
     salt = F.pmod("doc_key", F.lit(SALTS)).cast("int").alias("salt")
     hashed = _worthy(_chunked(rows)).select("doc_key", F.col("chunk.k").alias("k"), F.expr("xxhash64(slice(marks, chunk.first, chunk.n))").alias("digest"), salt)
@@ -74,6 +75,6 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     cut, whole = _chunked(out.where("gone is not null")), out.where("gone is null")
     left = "filter(chunks, c -> not array_contains(gone, c.k) and size(lines) > 0)"
     cut = held(cut, "left", F.expr(f"flatten(transform({left}, c -> slice(lines, c.first, c.n)))"))
-    cut = cut.select("doc_key", "doc_id", *keep, F.array_join("left", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_removed"))
+    cut = cut.select("doc_key", "doc_id", *carry, F.array_join("left", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_removed"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    return cut.unionByName(whole.select("doc_key", "doc_id", *keep, "text", n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
+    return cut.unionByName(whole.select("doc_key", "doc_id", *carry, "text", n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
