@@ -185,6 +185,22 @@ def test_quality_keeps_clean_and_rejects_noise(spark):
     assert kneser_ney.classify_quality(docs.limit(0), docs.limit(0)).count() == 0
 
 
+def test_quality_threshold_is_the_quantile_of_eased_scores(spark):
+    rng = random.Random(2)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    clean = [say(["the", "old", "house", "stands", "by", "a", "river"], rng.randrange(5, 80)) for _ in range(150)]
+    mixed = [say(["the", "old", "house", "huosk", "vstan", "qyb"], 60) for _ in range(10)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + mixed)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in kneser_ney.classify_quality(docs, docs.where("doc_id < 150")).collect()}
+    at = lambda values, q: sorted(values)[math.ceil(q * len(values)) - 1]
+    median = at([out[i].perplexity for i in range(150)], 0.5)
+    score = {i: median + (r.perplexity - median) / (1 + 20 / math.sqrt(r.n_grams)) for i, r in out.items()}
+    limit = at([score[i] for i in range(150)], 0.99)
+    for i, r in out.items():
+        assert r.threshold == pytest.approx(limit) and r.kept == (score[i] <= limit * (1 + 1e-12))
+    assert not all(out[i].kept for i in range(150)) and any(limit < s <= 1.5 * limit for s in score.values())
+
+
 def brute_measures(text):
     words = WORD.findall(text or "")
     seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))

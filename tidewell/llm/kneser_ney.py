@@ -223,13 +223,14 @@ def score_perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def classify_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.99, slack: float = 1.5) -> DataFrame:
+def classify_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.99) -> DataFrame:
     """doc_id, lang, n_grams, perplexity, threshold, kept for each document.
 
-    The model learns from all of docs whose id is in `trusted`.  A language's
-    threshold is `slack` times the `quantile` of its trusted documents'
-    perplexity; a document above it is rejected.  Short texts vary more, so the
-    excess over the median is divided by 1 + 20 / sqrt(n_grams) first.
+    The model learns from all of docs whose id is in `trusted`.  Short texts
+    vary more, so a document's score is its language's median perplexity plus
+    its own excess over it, divided by 1 + 20 / sqrt(n_grams).  A language's
+    threshold is the `quantile` of its trusted documents' scores; a document
+    whose score is above it is rejected.
 
     Documents that can't be judged (no text, no trusted text in the language,
     no language) are kept with a null perplexity or threshold.  Ids may be null
@@ -239,8 +240,9 @@ def classify_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id"
     ids = trusted.select(F.col(id_col).alias("doc_id"))
     model = fit_kneser_ney(with_ids(rows, ids))
     scored = durable(score_perplexity(rows, model))
-    basis = with_ids(scored, ids).where("perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", [0.5, quantile], 10_000).alias("q"))
-    limits = F.broadcast(basis.select("lang", F.col("q")[0].alias("median"), (F.col("q")[1] * slack).alias("threshold")))  # a row per language
-    eased = F.col("median") + (F.col("perplexity") - F.col("median")) / (1 + 20 / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1))))
-    out = scored.join(limits, "lang", "left")
-    return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", F.coalesce(eased <= F.col("threshold"), F.lit(True)).alias("kept"))
+    basis = with_ids(scored, ids).where("perplexity is not null")
+    medians = F.broadcast(basis.groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 10_000).alias("median")))  # a row per language
+    score = F.col("median") + (F.col("perplexity") - F.col("median")) / (1 + 20 / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1))))
+    limits = basis.join(medians, "lang").groupBy("lang").agg(F.percentile_approx(score, quantile, 10_000).alias("threshold"))
+    out = scored.join(medians, "lang", "left").join(F.broadcast(limits), "lang", "left")
+    return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", F.coalesce(score <= F.col("threshold"), F.lit(True)).alias("kept"))
