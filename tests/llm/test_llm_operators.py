@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -111,6 +112,36 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(again.limit(0)).count() == 0
 
 
+def test_license_scan_knows_entire_texts_however_wrapped(spark):
+    head, names, texts = "Copyright (c) 2020, A. Holder <a@b.org>\nCopyright The Other Authors\n\n", [], []
+    for name, titles, bodies in license_scan.TEXTS:
+        for body in bodies:
+            for width in (20, 33, 60, 72, 79, 1000):
+                names.append(name)
+                texts.append("\n".join(titles[:1]) + "\n\n" + head + "\n\n".join(textwrap.fill(x, width, break_long_words=False) for x in body) + "\n")
+    assert any(x.lower().startswith("copyright notice") for t in texts for x in t.split("\n"))
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
+    assert [rows[i].license for i in range(len(texts))] == names
+    changed = {r.license for r in license_scan.scan_licenses(documents(spark, [t + "\nand more" for t in texts])).collect()}
+    assert changed == {None}
+
+
+def test_license_scan_drops_only_statements_and_takes_a_table(spark):
+    kept = ["copyright notice, this list", "COPYRIGHT HOLDERS OR CONTRIBUTORS BE LIABLE", "(c) You must retain all notices", "copyright, patent and trademark notices"]
+    gone = ["Copyright 2020 X", "Copyright: (C) X", "# Copyright X Inc.", "© X", "(c) 1999 X", "(c) X Inc.", "Copyright [yyyy] [name of copyright owner]"]
+    rows = [(i, f"begin\n{t}\nend") for i, t in enumerate([*kept, *gone])] + [(90, "begin end"), (91, "Some house licence,\nof two lines.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame([("House", "Some house license of two lines"), ("Other", "Released under the MIT License."), (None, "begin end"), ("Null", None)], "license string, text string")
+    for limit in (license_scan.BROADCAST_KNOWN, 0):
+        before, license_scan.BROADCAST_KNOWN = license_scan.BROADCAST_KNOWN, limit
+        try:
+            got = {r.doc_id: r for r in license_scan.scan_licenses(docs.union(spark.createDataFrame([(92, "released under the mit license")], docs.schema)), more=more).collect()}
+        finally:
+            license_scan.BROADCAST_KNOWN = before
+        assert [got[i].digest == got[90].digest for i in range(len(kept + gone))] == [False] * len(kept) + [True] * len(gone)
+        assert (got[90].license, got[91].license, got[92].license) == (None, "House", "MIT")
+
+
 def classes(text):
     out = []
     for c in text.lower():
