@@ -33,6 +33,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A durable copy, to be broadcast if it has so many rows at most; beyond that Spark shuffles it."""
+    kept = durable(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that the optimizer can't copy into later expressions and filters.
 

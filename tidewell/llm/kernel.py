@@ -74,6 +74,32 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         first = end
 
 
+def letters(column: pa.Array | pa.ChunkedArray, context: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(first row, end row, lower-cased code points, row offsets, lead) of bounded runs of rows.
+
+    A text of over twice SLICE_BYTES comes in several runs; each but the first
+    begins with the last `context` points of the one before, counted by lead.
+    """
+    for first, end, data, offs in slices(pc.utf8_lower(column.cast(pa.large_string()))):
+        if len(data) <= 2 * SLICE_BYTES:
+            heads = np.zeros(len(data) + 1, dtype=np.int64)
+            np.cumsum(CODE_POINT[data], out=heads[1:])
+            yield first, end, _points(data), heads[offs], 0
+            continue
+        tail, at = np.zeros(0, np.uint32), 0  # a slice of this size is one text
+        while at < len(data):
+            to = min(at + SLICE_BYTES, len(data))
+            while to < len(data) and not CODE_POINT[data[to]]:
+                to -= 1
+            points = np.concatenate((tail, _points(data[at:to])))
+            yield first, end, points, np.array([0, len(points)]), len(tail)
+            tail, at = points[-context:] if context else tail, to
+
+
+def _points(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+
 def word_spans(data: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and each row's first word; no word crosses a row."""
     inside = word[data]

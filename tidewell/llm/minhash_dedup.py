@@ -2,37 +2,39 @@
 
 The plan, in five steps.
 1. One Arrow pass makes each text's shingle-set size, a 128-bit digest of the
-   set and its signature.  Texts with equal sets form a class at once and only
-   its smallest doc_id goes on, so copies are never paired.
+   set and its signature.  Texts with equal sets form a class at once; the
+   digest names it and one text stands for it, so copies are never paired.
 2. Band keys of the classes are counted; keys of one class alone are dropped.
 3. In each bucket the member that shares most buckets with others is the hub.
    Buckets with one hub form a family, so the bands of a family collapse.
-4. A family is split into blocks of bounded text and every pair of blocks is a
-   cell: one task confirms links on full shingle sets and returns a spanning
-   forest only.  A cell first links members to the hub; then it checks each
-   pair in different trees whose signatures don't rule out the threshold.
-5. Star contraction joins the forests to components.
+4. A family is split into blocks of bounded text.  A task per block confirms
+   links on full shingle sets, to the hub first, and returns a spanning forest.
+   Members that it leaves outside the hub's tree are dealt into blocks of their
+   own, which meet the family's other blocks.  Pairs in one tree and pairs whose
+   signatures rule the threshold out are passed over.
+5. Star contraction joins the forests; a component is named by its smallest doc_id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
 from .durable import durable
 from .graph import connected_components
+from .ids import with_ids
 
 REGISTERS, BAND_ROWS = 128, 4
-#: Signature agreement may fall short of the similarity by this much (over 4.5 standard deviations at 0.8).
-MARGIN = 0.16
+#: Signature agreement may fall short of the similarity by this much (over 5.5 standard deviations at 0.8: a pair is lost with 1e-8, as by the bands).
+MARGIN = 0.2
 #: Shingles that a block holds, about.
 BLOCK_SHINGLES = 200_000
 
-_PROFILE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
-
 
 def _sets(column, k: int):
     """(row, sorted distinct shingle hashes) and the slice's grams, slice by slice."""
@@ -43,30 +45,29 @@ def _sets(column, k: int):
         yield first, end, grams, begin
 
 
-def _digest(grams: np.ndarray) -> tuple[int, int]:
+def _digest(grams: np.ndarray) -> bytes:
+    """16 bytes that name a set of distinct grams."""
     salted = grams ^ kernel._STEP[61]
-    return int(kernel.mix(grams.copy()).sum().astype(np.int64)), int(kernel.mix(salted).sum().astype(np.int64))
+    return kernel.mix(grams.copy()).sum().tobytes() + kernel.mix(salted).sum().tobytes()
 
 
 def _profiles(k: int):
     def run(batches):
         for batch in batches:
-            column = batch.column(1)
-            for first, end, grams, begin in _sets(column, k):
+            for first, end, grams, begin in _sets(batch["text"], k):
                 signatures = kernel.super_minhash(grams, begin, REGISTERS)
                 parts = signatures.astype(np.uint64).reshape(len(signatures), -1, BAND_ROWS)
                 keys = (parts * kernel._STEP[:BAND_ROWS]).sum(axis=2) + np.arange(parts.shape[1], dtype=np.uint64) * kernel._STEP[60]
                 keys = kernel.mix(keys).astype(np.int64)
                 small = (signatures & np.uint32(255)).astype(np.uint8)
                 sets = [np.unique(grams[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-                digests = [_digest(s) for s in sets]
                 n = np.array([len(s) for s in sets], dtype=np.int64)
+                rows = batch.slice(first, end - first)
                 yield pa.record_batch(
-                    {
-                        "doc_id": batch.column(0).slice(first, end - first),
+                    {c: rows[c] for c in rows.schema.names if c != "text"}
+                    | {
                         "n_shingles": pa.array(n),
-                        "d1": pa.array([d for d, _ in digests], pa.int64()),
-                        "d2": pa.array([d for _, d in digests], pa.int64()),
+                        "cls": pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                         "bands": pa.array([x if c else None for x, c in zip(keys, n, strict=True)], pa.list_(pa.int64())),
                         "signature": pa.array([x.tobytes() if c else None for x, c in zip(small, n, strict=True)], pa.binary()),
                     }
@@ -84,41 +85,85 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def _cell(k: int, percent: int):
-    floor = percent / 100 - MARGIN
+class _Members:
+    """Classes of a task with their sets, sizes and signatures, a tree for each and the links found."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, hub = table["doc_id"].to_pylist(), table["hub"][0].as_py()
-        want = table["d1"].to_pylist()
+    def __init__(self, table: pa.Table, k: int, order):
         sets: list[np.ndarray] = []
         for _, _, grams, begin in _sets(table["text"], k):
             sets += [np.unique(grams[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-        rows = {d: i for i, d in enumerate(ids) if _digest(sets[i])[0] == want[i]}  # one row for an id that occurs again
-        order = sorted(rows, key=lambda d: (d != hub, d))
-        sets = [sets[rows[d]] for d in order]
-        sizes = np.array([len(s) for s in sets])
+        rows = {c: i for i, c in enumerate(table["cls"].to_pylist()) if len(sets[i]) and _digest(sets[i]) == c}
+        self.classes = sorted(rows, key=order)
+        self.rows = np.array([rows[c] for c in self.classes], dtype=np.int64)
+        self.sets = [sets[i] for i in self.rows]
+        self.sizes = np.array([len(s) for s in self.sets])
         raw = table["signature"].to_pylist()
-        marks = np.frombuffer(b"".join(raw[rows[d]] for d in order), np.uint8).reshape(len(order), REGISTERS)
-        tree = np.arange(len(order))
-        found = []
-        for i in range(len(order) - 1):
-            later = np.arange(i + 1, len(order))
-            later = later[(tree[later] != tree[i]) & (percent * np.maximum(sizes[later], sizes[i]) <= 100 * np.minimum(sizes[later], sizes[i]))]
-            if not len(later):
-                continue
-            near = (marks[later] == marks[i]).mean(axis=1)
-            later = later[near >= floor][np.argsort(-near[near >= floor], kind="stable")]
-            for j in later:
-                if tree[j] != tree[i] and _linked(sets[i], sets[j], percent):
-                    found.append((order[i], order[j]))
-                    tree[tree == tree[j]] = tree[i]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        self.marks = np.frombuffer(b"".join(raw[i] for i in self.rows), np.uint8).reshape(len(self.classes), REGISTERS)
+        self.tree = np.arange(len(self.classes))
+        self.found: list[tuple[bytes, bytes]] = []
+
+    def meet(self, i: int, others: np.ndarray, percent: int) -> None:
+        """Links member i to all of the others that are near it and not yet in its tree."""
+        sizes, tree = self.sizes, self.tree
+        others = others[(tree[others] != tree[i]) & (percent * np.maximum(sizes[others], sizes[i]) <= 100 * np.minimum(sizes[others], sizes[i]))]
+        if not len(others):
+            return
+        near = (self.marks[others] == self.marks[i]).mean(axis=1)
+        likely = near >= percent / 100 - MARGIN
+        for j in others[likely][np.argsort(-near[likely], kind="stable")]:
+            if tree[j] != tree[i] and _linked(self.sets[i], self.sets[j], percent):
+                self.found.append((self.classes[i], self.classes[j]))
+                tree[tree == tree[j]] = tree[i]
+
+
+_FOUND = "a binary, b binary, hub binary"
+
+
+def _found(links: list[tuple[bytes, bytes]], free: list[bytes], hub: bytes) -> pa.Table:
+    """Links (a, b), and members a outside the hub's tree."""
+    n = len(links)
+    return pa.table(
+        {
+            "a": pa.array([a for a, _ in links] + free, pa.binary()),
+            "b": pa.array([b for _, b in links] + [None] * len(free), pa.binary()),
+            "hub": pa.array([None] * n + [hub] * len(free), pa.binary()),
+        }
+    )
+
+
+def _block(k: int, percent: int):
+    """Links within a block and to the hub; of a family of several blocks also who is outside the hub's tree."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hub = table["hub"][0].as_py()
+        m = _Members(table, k, lambda c: (c != hub, c))
+        for i in range(len(m.classes) - 1):
+            m.meet(i, np.arange(i + 1, len(m.classes)), percent)
+        several = table["blocks"][0].as_py() > 1
+        return _found(m.found, [c for i, c in enumerate(m.classes) if several and m.tree[i] != m.tree[0]], hub)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def _cell(k: int, percent: int):
+    """Links of members outside the hub's tree to those of another block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        m = _Members(table, k, lambda c: c)
+        inside = ~table["free"].to_numpy()[m.rows]
+        asks, block = table["asks"].to_numpy()[m.rows], table["block"].to_numpy()[m.rows]
+        if inside.any():
+            m.tree[inside] = np.flatnonzero(inside)[0]
+        here = np.flatnonzero(block == table["other"][0].as_py())
+        for i in np.flatnonzero(asks):
+            m.meet(i, here[block[here] != block[i]], percent)
+        return _found(m.found, [], b"")
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, and the columns in `keep`.
 
     Words are runs of [^\\x20\\x09-\\x0D] with A-Z lower-cased; a document's set
     holds its distinct shingles, or its whole word sequence if that is shorter.
@@ -126,38 +171,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the smallest id reachable, kept tells whether it is the document's own.
 
     A null or empty text has no shingles, links with nothing and is its own
-    component.  Rows of one id count as one node; a row without an id joins its
-    equals' component, and is kept only if it has none (component_id null).
-    Other columns of docs are ignored, an empty table gives no rows.
+    component.  Rows are the nodes: those of one id with different texts each
+    keep their own links.  A row without an id joins its equals' component and
+    is kept only if none of them has an id (component_id null).  Columns not in
+    `keep` are ignored, an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = durable(docs.mapInArrow(_profiles(shingle), _PROFILE))
-    equal = ["n_shingles", "d1", "d2"]
-    full = profile.where("n_shingles > 0")
-    classes = full.groupBy(*equal).agg(F.min_by("doc_id", "doc_id").alias("doc_id"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("s"))
-    classes = durable(classes.where("doc_id is not null").select("doc_id", "n_shingles", "d1", "d2", "s.*"))
-
-    keys = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    kept_columns = [F.struct(*keep).alias("keep")] if keep else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), *kept_columns, F.col(text_col).alias("text"))
+    through = f", keep {docs.schema['keep'].dataType.simpleString()}" if keep else ""
+    profile = durable(docs.mapInArrow(_profiles(shingle), f"doc_id long, th long{through}, n_shingles long, cls binary, bands array<long>, signature binary"))
+    full, empty = profile.where("n_shingles > 0"), profile.where("n_shingles = 0")
+    named = full.groupBy("cls").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("text_of"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")))
+    classes = durable(named.where("text_of is not null"))
+
+    keys = classes.select("cls", "n_shingles", F.explode("bands").alias("key"))
+    shared = durable(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     rows = durable(keys.join(shared, "key"))
-    central = rows.groupBy("doc_id").agg(F.sum("members").alias("central"))
-    hubs = rows.join(central, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("central", -F.col("doc_id"))).alias("hub"))
-    family = durable(rows.join(hubs, "key").select("hub", "doc_id", "n_shingles").distinct())
-
-    blocks = family.groupBy("hub").agg(F.ceil(F.sum(F.col("n_shingles") + 200) / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = family.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = placed.where("doc_id <> hub").withColumn("other", other).select(
-        "hub", "doc_id", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
-    )
-    corners = blocks.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("hi", F.explode(F.sequence(F.col("lo"), F.col("blocks") - 1)))
-    cells = cells.unionByName(corners.select("hub", F.col("hub").alias("doc_id"), "lo", "hi"))
-    wanted = cells.join(classes.select("doc_id", "d1", "signature"), "doc_id")
-    texts = docs.join(family.select("doc_id").distinct(), "doc_id", "left_semi")
-    edges = wanted.join(texts, "doc_id").groupBy("hub", "lo", "hi").applyInArrow(_cell(shingle, percent), "a long, b long")
-
-    links = connected_components(edges)
-    grouped = classes.join(links, classes.doc_id == links.node, "left").select(*equal, F.coalesce("component", "doc_id").alias("component_id"))
-    out = profile.select("doc_id", *equal).join(grouped, equal, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    central = rows.groupBy("cls").agg(F.sum("members").alias("central"))
+    hubs = durable(rows.join(central, "cls").groupBy("key").agg(F.max_by("cls", F.struct("central", "cls")).alias("hub")))
+    family = durable(rows.join(hubs, "key").select("hub", "cls", "n_shingles").distinct())
+
+    def blocks_of(members: DataFrame, name: str) -> DataFrame:
+        return members.groupBy("hub").agg(F.ceil(F.sum(F.col("n_shingles") + 200) / BLOCK_SHINGLES).cast("int").alias(name))
+
+    def dealt(name: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "cls"), F.col(name)).cast("int")
+
+    def upto(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    blocks = durable(blocks_of(family, "blocks"))
+    placed = family.join(blocks, "hub").withColumn("block", dealt("blocks", 0))
+    texts = with_ids(docs.select(F.struct("doc_id", "th").alias("text_of"), "text").where("text_of.doc_id is not null"), classes.join(family.select("cls").distinct(), "cls", "left_semi"), "text_of").dropDuplicates(["text_of"])
+    held = classes.select("cls", "text_of", "signature").join(texts, "text_of").drop("text_of")
+    star = placed.where("cls <> hub").select("hub", "blocks", "block", "cls").unionByName(blocks.select("hub", "blocks", upto("blocks").alias("block"), F.col("hub").alias("cls")))
+    first = durable(star.join(held, "cls").groupBy("hub", "block").applyInArrow(_block(shingle, percent), _FOUND))
+
+    free = first.where("hub is not null").select("hub", F.col("a").alias("cls"))
+    alone = durable(placed.where("blocks > 1").join(free.withColumn("free", F.lit(True)), ["hub", "cls"], "left").withColumn("free", F.coalesce("free", F.lit(False))))
+    own = durable(blocks_of(alone.where("free"), "own_blocks"))
+    alone = alone.join(own, "hub").withColumn("own", dealt("own_blocks", 1))
+    asking = alone.where("free").select("hub", "own", upto("blocks").alias("other"), "cls", "block", "free", F.lit(True).alias("asks"))
+    asked = alone.select("hub", upto("own_blocks").alias("own"), F.col("block").alias("other"), "cls", "block", "free", F.lit(False).alias("asks"))
+    cells = asking.where("other <> block").unionByName(asked)
+    second = cells.join(held, "cls").groupBy("hub", "own", "other").applyInArrow(_cell(shingle, percent), _FOUND)
+
+    links = connected_components(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")))
+    rooted = durable(links.join(classes, links.node == classes.cls).select("cls", F.col("component").alias("root"), F.col("text_of.doc_id").alias("doc_id")))
+    least = durable(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    known = durable(classes.select("cls", "text_of").join(rooted.join(least, "root").select("cls", "component_id"), "cls", "left").select("cls", F.coalesce("component_id", F.col("text_of.doc_id")).alias("component_id")))
+    through = [F.col("keep").getField(c).alias(c) for c in keep]
+    out = full.join(known, "cls", "left").select("doc_id", "n_shingles", "component_id", *through)
+    out = out.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *through))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
