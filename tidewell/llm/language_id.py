@@ -14,15 +14,8 @@ from . import kernel
 ORDERS, BITS, ALPHA = (1, 2, 3), 15, 0.5
 #: Languages that a model may hold; the broadcast matrix has LANGUAGES * 2**BITS cells at most.
 LANGUAGES = 256
-
-
-def _grams(column: pa.Array):
-    """(first row, end row, code points, row offsets) of lower-cased texts, in bounded runs."""
-    for first, end, data, offs in kernel.slices(pc.utf8_lower(column.cast(pa.large_string()))):
-        points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        heads = np.zeros(len(data) + 1, dtype=np.int64)
-        np.cumsum(kernel.CODE_POINT[data], out=heads[1:])
-        yield first, end, points, heads[offs]
+#: N-grams whose columns of the matrix are gathered at once.
+BLOCK = 1 << 16
 
 
 def _buckets(points: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,38 +35,45 @@ def _buckets(points: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray,
     return (mixed[inside] >> np.uint64(64 - BITS)).astype(np.int64), count
 
 
+def _runs(column: pa.Array):
+    """(first row, end row, [(buckets, counts by row) for each order]) of bounded runs; no n-gram comes twice."""
+    for first, end, points, begin, lead in kernel.letters(column, max(ORDERS) - 1):
+        skips = [max(lead - n + 1, 0) for n in ORDERS]
+        yield first, end, [_buckets(points[s:], np.maximum(begin - s, 0), n) for n, s in zip(ORDERS, skips, strict=True)]
+
+
 def _counted(batches):
     totals: dict[str, np.ndarray] = {}
     texts: dict[str, int] = {}
     for batch in batches:
         names = batch.column(0).to_pylist()
-        for first, end, points, begin in _grams(batch.column(1)):
+        for x in names:
+            texts[x] = texts.get(x, 0) + 1
+        for first, end, runs in _runs(batch.column(1)):
             code = {x: i for i, x in enumerate(dict.fromkeys(names[first:end]))}
             owner = np.array([code[x] for x in names[first:end]])
             sums = np.zeros(len(code) << BITS, dtype=np.int64)
-            for n in ORDERS:
-                bucket, count = _buckets(points, begin, n)
+            for bucket, count in runs:
                 sums += np.bincount(np.repeat(owner, count) << BITS | bucket, minlength=len(sums))
             for x, i in code.items():
                 totals[x] = totals.get(x, 0) + sums[i << BITS : i + 1 << BITS]
-                texts[x] = texts.get(x, 0) + int((owner == i).sum())
     for x, sums in totals.items():
         at = np.flatnonzero(sums)
         n = len(at) + 1
         yield pa.record_batch({"lang": pa.array([x] * n, pa.string()), "bucket": pa.array([-1, *at.tolist()], pa.int32()), "n": pa.array([texts[x], *sums[at].tolist()], pa.int64())})
 
 
-def fit_language_model(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit_language_model(train: DataFrame, lang_col: str = "lang", text_col: str = "text", *, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, log probabilities of 2**BITS buckets by language) of all rows of train.
 
     Rows without a language or text are left out.  The counts are summed by
-    Spark; at most LANGUAGES * (2**BITS + 1) sums come to the driver, and more
+    Spark; at most `languages` * (2**BITS + 1) sums come to the driver, and more
     languages than that raise ValueError.  No rows give a model without languages.
     """
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    if len(known := rows.select("lang").distinct().limit(LANGUAGES + 1).collect()) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    if len(known := rows.select("lang").distinct().limit(languages + 1).collect()) > languages:
+        raise ValueError(f"more than {languages} languages")
     langs = sorted(r.lang for r in known)
     table = counts.toArrow()
     which = {x: i for i, x in enumerate(langs)}
@@ -102,23 +102,23 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray, np.n
         prior, table = shared.value
         for batch in batches:
             lettered = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\pL"), False).to_numpy(zero_copy_only=False)
-            for first, end, points, begin in _grams(batch.column(1)):
-                score = np.tile(prior, (end - first, 1)) if langs else np.zeros((end - first, 1))
-                for n in ORDERS if langs else ():
-                    bucket, count = _buckets(points, begin, n)
-                    some = count > 0
-                    if some.any():
-                        starts = np.concatenate(([0], np.cumsum(count[some])[:-1]))
-                        score[some] += np.add.reduceat(table[bucket], starts, axis=0, dtype=np.float64)
-                best = score.argmax(axis=1)
-                share = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
-                known = lettered[first:end] & bool(langs)
-                yield pa.record_batch(
-                    {
-                        "doc_id": batch.column(0).slice(first, end - first),
-                        "lang_pred": pa.array([langs[i] if k else "und" for i, k in zip(best, known, strict=True)], pa.string()),
-                        "score": pa.array(np.where(known, share, 0.0)),
-                    }
-                )
+            score = np.tile(prior, (batch.num_rows, 1)) if langs else np.zeros((batch.num_rows, 1))
+            for first, _, runs in _runs(batch.column(1)) if langs else ():
+                for bucket, count in runs:
+                    row = np.repeat(np.arange(len(count)), count) + first
+                    for a in range(0, len(bucket), BLOCK):  # a block of the rows' sparse counts at a time
+                        own = row[a : a + BLOCK]
+                        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                        score[own[starts]] += np.add.reduceat(table[bucket[a : a + BLOCK]], starts, axis=0, dtype=np.float64)
+            best = score.argmax(axis=1)
+            share = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+            known = lettered & bool(langs)
+            yield pa.record_batch(
+                {
+                    "doc_id": batch.column(0),
+                    "lang_pred": pa.array([langs[i] if k else "und" for i, k in zip(best, known, strict=True)], pa.string()),
+                    "score": pa.array(np.where(known, share, 0.0)),
+                }
+            )
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

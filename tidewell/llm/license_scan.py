@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import held
+from .ids import row_key
 
 # Licence notices and texts by SPDX-style name, and spellings that count as equal.
 NOTICES = (
@@ -106,31 +107,52 @@ _STATEMENT = rf"""(?m)^[^\n\p{{L}}]*(?:copyright\b[^\n\p{{L}}\p{{N}}]{{0,4}}{_SI
 BROADCAST_KNOWN = 100_000
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright statements, equal spellings, no punctuation, single spaces; lines are kept apart."""
-    text = F.regexp_replace(F.lower(text), _STATEMENT, "")
-    text = F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
+def _spelled(text: Column) -> Column:
     for other, usual in SPELLINGS:
         text = F.regexp_replace(text, rf"\b{other}\b", usual)
-    return F.regexp_replace(text, " ?\n ?", "\n")
+    return text
 
 
-def digest(canonical_text: Column, *, wrapped: bool = False) -> Column:
-    """The digest of a canonical text, on one line; null if nothing is left. wrapped: spellings may be cut by line ends."""
-    flat = F.trim(F.regexp_replace(canonical_text, r"\s+", " "))
-    for other, usual in SPELLINGS if wrapped else ():
-        if " " in other:
-            flat = F.regexp_replace(flat, rf"\b{other}\b", usual)
+def _has(text: Column, parts: Sequence[str]) -> Column:
+    """Whether any of the parts stands in the text: a byte search, so that most texts are spared the patterns."""
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
+def canonical(rows: DataFrame, text_col: str) -> DataFrame:
+    """Adds `canonical`: lower case, no copyright statements, equal spellings, no punctuation, single spaces; lines are kept apart."""
+    low = F.col("_low")
+    rows = held(rows, "_low", F.lower(F.coalesce(text_col, F.lit(""))))
+    rows = held(rows, "_said", F.when(_has(low, ("copyright", "(c)", "©")), F.regexp_replace(low, _STATEMENT, "")).otherwise(low))
+    rows = held(rows, "_plain", F.regexp_replace("_said", r"[^\p{L}\p{N}\n]+", " "))
+    plain = F.col("_plain")
+    rows = held(rows, "_usual", F.when(_has(plain, [x for x, _ in SPELLINGS]), _spelled(plain)).otherwise(plain))
+    return held(rows, "canonical", F.regexp_replace("_usual", " ?\n ?", "\n")).drop("_low", "_said", "_plain", "_usual")
+
+
+def digest(canonical_line: Column) -> Column:
+    """The digest of a canonical line; null if nothing is left."""
+    flat = F.trim(canonical_line)
     return F.when(flat != "", F.sha2(flat, 256))
 
 
+def with_digest(rows: DataFrame) -> DataFrame:
+    """Adds `whole`: the digest of the canonical text on one line, where spellings may be cut by line ends."""
+    flat = F.col("_flat")
+    rows = held(rows, "_flat", F.regexp_replace("canonical", "\n+", " "))
+    pairs = [x for x, _ in SPELLINGS if " " in x]
+    return rows.withColumn("whole", digest(F.when(_has(flat, pairs), _spelled(flat)).otherwise(flat))).drop("_flat")
+
+
 def known_digests(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
     """license, digest: one row per distinct canonical text of `known`; the first name wins, of a table the least."""
     if isinstance(known, DataFrame):
         rows = known.select(F.col("license").alias("i"), "license", "text").where("license is not null")
     else:
         rows = docs.sparkSession.createDataFrame([(i, n, t) for i, (n, t) in enumerate(known)], "i int, license string, text string")
-    return rows.withColumn("digest", digest(canonical(F.col("text")), wrapped=True)).groupBy("digest").agg(F.min_by("license", "i").alias("license")).where("digest is not null")
+    return with_digest(canonical(rows, "text")).withColumnRenamed("whole", "digest").groupBy("digest").agg(F.min_by("license", "i").alias("license")).where("digest is not null")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, known: Sequence[tuple[str, str]] | DataFrame = KNOWN, more: DataFrame | None = None) -> DataFrame:
@@ -154,9 +176,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if all(t.limit(BROADCAST_KNOWN + 1).count() <= BROADCAST_KNOWN for t in tables):
         names = F.broadcast(names)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = held(rows.withColumn("row", F.xxhash64("doc_id", "text")), "canonical", canonical(F.coalesce("text", F.lit(""))))
+    rows = with_digest(canonical(rows.withColumn("row", row_key("doc_id", "text")), "text"))
     # the entire text stands at place -1 beside its lines, so the texts are read and made canonical once
-    places = F.concat(F.array(F.struct(F.lit(-1).alias("at"), digest(F.col("canonical"), wrapped=True).alias("digest"))), F.transform(F.split("canonical", "\n"), lambda x, i: F.struct(i.alias("at"), digest(x).alias("digest"))))
+    places = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.col("whole").alias("digest"))), F.transform(F.split("canonical", "\n"), lambda x, i: F.struct(i.alias("at"), digest(x).alias("digest"))))
     found = rows.select("doc_id", "row", F.explode(places).alias("p")).select("doc_id", "row", "p.*").join(names, "digest", "left")
     line = F.col("at") >= 0
     hits = found.groupBy("doc_id", "row").agg(

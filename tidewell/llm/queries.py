@@ -11,7 +11,7 @@ from .durable import shared_path
 from .kneser_ney import classify_quality
 from .language_id import fit_language_model, identify_languages
 from .license_scan import KNOWN, SPELLINGS, scan_licenses
-from .line_chunk_dedup import EVERY, LONG_LINE, remove_repeated_chunks
+from .line_chunk_dedup import LONG_LINE, REACH, remove_repeated_chunks
 from .minhash_dedup import near_duplicates
 from .pareto_mix import mix_sources
 from .rule_cascade import rule_cascade
@@ -192,15 +192,25 @@ w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
       FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight::DOUBLE, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, least((max(level) OVER ()) * weight::DOUBLE, cap::DOUBLE) AS target FROM l),
-f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS whole FROM t),
-r AS (SELECT *, greatest(target - (whole * source_size)::DOUBLE, 0.0::DOUBLE) AS rest FROM f),
-u AS (SELECT s.doc_id, s.source, size, source_size, target, whole, rest, least(rest / source_size::DOUBLE, 1 - 1e-9::DOUBLE) AS chance,
-             (('0x' || substr(md5('mix|' || s.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS draw
-      FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source),
-o AS (SELECT *, (draw / (1 - draw)) / (chance / (1 - chance)) AS odds FROM u),
-p AS (SELECT *, CASE WHEN rest > 0 THEN odds / (1 + odds) END AS place FROM o),
-c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM p)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN before < rest AND 2 * (rest - before) >= size THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+d AS (SELECT s.doc_id, s.source, size, source_size, target FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT source, least(floor(target / sum(size)::DOUBLE), 3)::BIGINT AS whole, sum(size)::BIGINT AS fits FROM d WHERE size <= target GROUP BY source, target HAVING sum(size) > 0),
+u AS (SELECT d.*, CASE WHEN size <= target THEN coalesce(whole, 0) ELSE 0 END AS whole, greatest(target - (coalesce(whole * fits, 0))::DOUBLE, 0.0::DOUBLE) AS rest,
+             ((greatest(size, 1) >> greatest(len(bin(greatest(size, 1))) - 8, 0)) << greatest(len(bin(greatest(size, 1))) - 8, 0))::BIGINT AS weight,
+             (('0x' || substr(md5('mix|' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS draw
+      FROM d LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+v AS (SELECT *, size <= target AND size > 0 AND size <= rest AND whole < 3 AS eligible FROM u),
+n AS (SELECT source, rest, weight, sum(size)::BIGINT AS words, sum(weight::HUGEINT * size)::HUGEINT AS mass FROM v WHERE eligible GROUP BY 1, 2, 3),
+q AS (SELECT *, (rest - coalesce(sum(words) OVER o, 0)::DOUBLE) / (sum(mass) OVER (PARTITION BY source) - coalesce(sum(mass) OVER o, 0))::DOUBLE AS scale
+      FROM n WINDOW o AS (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT source, arg_max(scale, weight) AS scale FROM q WHERE scale * weight <= 1 GROUP BY 1),
+c AS (SELECT v.*, CASE WHEN eligible THEN CASE WHEN scale IS NULL THEN 1::DOUBLE ELSE least(scale * weight, 1::DOUBLE) END END AS chance FROM v LEFT JOIN a ON v.source IS NOT DISTINCT FROM a.source),
+h AS (SELECT *, CASE WHEN chance < 1 THEN ((draw / (1 - draw)) / (chance / (1 - chance))) / (1 + (draw / (1 - draw)) / (chance / (1 - chance))) END AS place FROM c),
+k AS (SELECT *, sum(CASE WHEN chance IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY CASE WHEN chance >= 1 THEN -1 ELSE place END, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM h),
+x AS (SELECT *, CASE WHEN chance >= 1 OR (chance < 1 AND upto <= rest) THEN 1 ELSE 0 END AS extra FROM k),
+y AS (SELECT *, target - (sum(size * (whole + extra)) OVER (PARTITION BY source))::DOUBLE AS gap FROM x),
+i AS (SELECT *, row_number() OVER (PARTITION BY source, extra = 0 AND size > 0 AND whole < 3 AND size < 2 * gap ORDER BY abs(gap - size), coalesce(place, 1), doc_id) = 1
+             AND extra = 0 AND size > 0 AND whole < 3 AND size < 2 * gap AS best FROM y)
+SELECT doc_id, size, source_size, target, (size * (whole + extra + best::INT))::BIGINT AS taken FROM i
 """
 
 
@@ -212,15 +222,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP10 = f"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-m AS (SELECT doc_id, ls, list_transform(ls, lambda x: md5(x)) AS ms FROM l),
+g AS (SELECT doc_id, ls, list_transform(ls, lambda x: ascii(md5(x)) % 4) AS ts FROM l),
 e AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR length(ls[i]) >= {LONG_LINE} OR coalesce(length(ls[i + 1]) >= {LONG_LINE}, false)
-        OR (i > 1 AND ('0x' || substr(md5(ms[i - 1] || ms[i]), 1, 4))::INT % {EVERY} = 0)) AS ends FROM m),
-c AS (SELECT doc_id, ls, unnest(range(1, len(ends) + 1)) AS k, ends FROM e),
-b AS (SELECT doc_id, k, ls[(CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END):ends[k]] AS body FROM c),
-w AS (SELECT *, (len(body) > 1 OR length(body[1]) >= {LONG_LINE}) AND len(list_filter(body, lambda x: trim(x) <> '')) > 0 AS worthy FROM b),
-f AS (SELECT *, worthy AND row_number() OVER (PARTITION BY worthy, body ORDER BY doc_id, k) > 1 AS gone FROM w),
-t AS (SELECT doc_id, sum(len(body))::BIGINT AS n_lines, coalesce(sum(len(body)) FILTER (gone), 0)::BIGINT AS n_removed,
-             coalesce(array_to_string(flatten(list(body ORDER BY k) FILTER (NOT gone)), chr(10)), '') AS text FROM f GROUP BY 1)
+        OR (ts[i] + 2 * (CASE WHEN i > 1 THEN ts[i - 1] ELSE 0 END)) % 4 <> 0) AS ends FROM g),
+k AS (SELECT doc_id, ls, ends, unnest(range(1, len(ends) + 1)) AS k FROM e),
+c AS (SELECT doc_id, ls, (CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END) AS lo, ends[k] AS hi FROM k),
+b AS (SELECT doc_id, lo, hi, ls[lo:hi] AS body, list_reverse(ls[greatest(lo - {REACH}, 1):lo - 1]) AS up, ls[hi + 1:hi + {REACH}] AS down FROM c
+      WHERE len(list_filter(ls[lo:hi], lambda x: trim(x) <> '')) > 0),
+o AS (SELECT *, first_value(doc_id) OVER w AS o_id, first_value(lo) OVER w AS o_lo, first_value(up) OVER w AS o_up, first_value(down) OVER w AS o_down
+      FROM b WINDOW w AS (PARTITION BY body ORDER BY doc_id, lo)),
+x AS (SELECT doc_id, o_id, lo - o_lo AS shift, lo, hi,
+             list_position(list_transform(range(1, {REACH} + 2), lambda i: coalesce(up[i] = o_up[i], false)), false) - 1 AS u,
+             list_position(list_transform(range(1, {REACH} + 2), lambda i: coalesce(down[i] = o_down[i], false)), false) - 1 AS d
+      FROM o WHERE doc_id <> o_id OR lo <> o_lo),
+r AS (SELECT DISTINCT doc_id, o_id, shift, lo - u AS lo, hi + d AS hi FROM x),
+f AS (SELECT *, CASE WHEN lo > coalesce(max(hi) OVER (PARTITION BY doc_id, o_id, shift ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 THEN 1 ELSE 0 END AS fresh FROM r),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, o_id, shift ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM f),
+m AS (SELECT doc_id, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY doc_id, o_id, shift, island),
+q AS (SELECT doc_id, lo, hi FROM m JOIN l USING (doc_id)
+      WHERE len(list_filter(ls[lo:hi], lambda x: trim(x) <> '')) > 1 OR length(array_to_string(ls[lo:hi], chr(10))) >= {LONG_LINE}),
+z AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(lo, hi + 1)) AS i FROM q) GROUP BY 1),
+t AS (SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+             coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)), '') AS text
+      FROM l LEFT JOIN z USING (doc_id))
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(t.text) AS text_sha256 FROM documents LEFT JOIN t USING (doc_id)
 """
 
