@@ -5,10 +5,11 @@ import random
 from collections import defaultdict
 
 import pytest
-from test_llm_operators import brute_chunks, brute_groups, brute_kneser_ney, brute_leaks, classes
+from pyspark.sql import functions as F
+from test_llm_operators import brute_groups, brute_kneser_ney, brute_leaks, brute_line_dedup, classes, quality_verdicts
 
 import corpus_pipeline
-from tidewell.llm import line_chunk_dedup
+from tidewell.llm import kneser_ney
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,58 +55,55 @@ def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "minhash near-dedup", "benchmark decontamination", "source mixing"]
 
 
-def test_quality(states):
+def test_quality(spark, tables, states):
     before, after = by_id(states[0]), by_id(states[1])
+    held = {r.doc_id: r.h for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", kneser_ney.held_out(F.col("text")).alias("h")).collect()}
     trusted = defaultdict(list)
     for i in range(60):
         if before[i].lang and before[i].text:
-            trusted[before[i].lang].append(before[i].text)
+            trusted[before[i].lang].append(i)
 
     def perplexity(p, text):
         s = [0] * 3 + classes(text)
         return math.exp(-sum(math.log(p(tuple(s[j : j + 4]))) for j in range(len(s) - 3)) / (len(s) - 3))
 
-    for lang, texts in trusted.items():
-        p = brute_kneser_ney(texts)
-        values = sorted(perplexity(p, t) for t in texts)
-        at = lambda q: values[max(0, math.ceil(q * len(values)) - 1)]
-        for i, r in before.items():
-            if r.lang == lang and r.text:
-                eased = at(0.5) + (perplexity(p, r.text) - at(0.5)) / (1 + 20 / math.sqrt(len(r.text)))
-                assert (i in after) == (eased <= 1.5 * at(0.99)), i
+    for lang, ids in trusted.items():
+        p = brute_kneser_ney([before[i].text for i in ids if not held[i]])
+        scored = {i: (perplexity(p, r.text), len(r.text), held[i]) for i, r in before.items() if r.lang == lang and r.text}
+        for i, kept in quality_verdicts(scored, ids)[1].items():
+            assert (i in after) == kept, i
     assert all(i in after for i, r in before.items() if not r.text or not r.lang)
     assert len(after) < len(before)
 
 
 def test_line_dedup(states):
     before, after = by_id(states[1]), by_id(states[2])
-    seen = set()
-    for c in (tuple(c) for r in states[1] if r.doc_id is None for c in brute_chunks(r.text)):
-        seen.add(c)
+    left = brute_line_dedup([(r.doc_id, r.text) for r in states[1] if r.text is not None])
     changed = 0
-    for i in sorted(before):
-        text = before[i].text
-        if text is None:
+    for i, r in before.items():
+        if r.text is None:
             assert after[i].text is None
             continue
-        kept, gone = [], 0
-        for c in brute_chunks(text):
-            worthy = (len(c) > 1 or len(c[0]) >= line_chunk_dedup.LONG_LINE) and any(x.strip(" ") for x in c)
-            if worthy and tuple(c) in seen:
-                gone += 1
-            else:
-                kept += c
-            if worthy:
-                seen.add(tuple(c))
-        left = "\n".join(kept)
-        if gone and not left.strip(" "):
+        text, gone = left[i]
+        if gone and not text.strip(" "):
             assert i not in after
         else:
-            assert after[i].text == left and after[i].n_chars == (len(left) if gone else before[i].n_chars)
+            assert after[i].text == text and after[i].n_chars == (len(text) if gone else r.n_chars)
         changed += gone
     assert changed
 
 
+def test_rows_are_judged_by_their_own_text(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    leak = spark.read.parquet(f"{tables}/benchmark.parquet").first().text
+    odd = [(None, leak, "en", "s", 1), (3, leak, "en", "s", 1), (None, "one two three four five six", "en", "s", 1), (None, "one two three four five six", "en", "t", 1), (900, "seven eight", "en", "s", 1), (900, "seven eight", "en", "s", 1)]
+    rows = docs.where("doc_id = 3").unionByName(spark.createDataFrame(odd, docs.schema))
+    left = corpus_pipeline.drop_benchmark_leaks(spark, rows, tables).collect()
+    assert len(left) == 5 and leak not in {r.text for r in left}
+    left = corpus_pipeline.drop_near_copies(spark, rows, tables).collect()
+    assert sorted((str(r.doc_id), r.text[:9]) for r in left if r.text[:5] in ("one t", "seven")) == [("900", "seven eig"), ("None", "one two t")]
+
+
 def test_near_copies(states):
     before, after = by_id(states[2]), by_id(states[3])
     ids = sorted(before)

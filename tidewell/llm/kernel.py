@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one kernel call takes at most, unless one text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(0x51ED27))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

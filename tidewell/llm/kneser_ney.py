@@ -22,7 +22,7 @@ from .ids import with_ids
 #: Characters of the longest gram, and bits of a character: four of 16 bits fill a long.
 ORDER, BITS = 4, 16
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 16 << 20
 #: One trusted text in so many isn't learned from, but sets the threshold.
 HELD_OUT = 5
 #: Chunks that one row of a gram lists at most.
@@ -149,11 +149,12 @@ def _packed(batches):
     """The rows with their texts compressed each for itself; that is what is shuffled."""
     codec = pa.Codec(_CODEC, compression_level=1)
     for batch in batches:
-        raw = batch["text"].cast(pa.large_binary()).to_pylist()
-        lengths = [None if x is None else len(x) for x in raw]
-        columns = {c: batch[c] for c in batch.schema.names if c != "text"}
-        packed = pa.array([None if x is None else codec.compress(x, asbytes=True) for x in raw], pa.binary())
-        yield pa.record_batch(columns | {"bytes": pa.array(lengths, pa.int64()), "packed": packed})
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            raw = part["text"].cast(pa.large_binary()).to_pylist()
+            packed = [None if x is None else codec.compress(x, asbytes=True) for x in raw]
+            columns = {c: part[c] for c in part.schema.names if c != "text"}
+            yield pa.record_batch(columns | {"bytes": pa.array([None if x is None else len(x) for x in raw], pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
 def _unpacked(table: pa.Table):

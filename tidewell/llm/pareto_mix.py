@@ -87,7 +87,7 @@ def mix_sources(
     while they fit.  What is still open goes to the one document left whose
     size comes nearest to it, if that helps.  taken = copies * size.
 
-    The random number is a hash of seed and id (of position where the id is
+    The random number is a hash of seed and id (of the text where the id is
     null), so reruns agree.  The crossing is found by two histograms of 4096
     cells per source, never by ordering a whole source.  Null or empty texts
     have size 0 and take certain copies only; null is a source of its own; rows
@@ -95,7 +95,7 @@ def mix_sources(
     columns are ignored.
     """
     word = r"[^\x20\x09-\x0D]+"
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(word)), F.lit(0)).cast("long").alias("size"), (F.lit(None) if importance is None else importance).cast("long").alias("weight"), F.monotonically_increasing_id().alias("row"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(word)), F.lit(0)).cast("long").alias("size"), (F.lit(None) if importance is None else importance).cast("long").alias("weight"), F.xxhash64(F.col(text_col)).alias("hash"), F.monotonically_increasing_id().alias("row"))
     sized = durable(sized)
     targets = durable(_targets(sized, weights))
     few = targets.count() <= BROADCAST_SOURCES
@@ -112,7 +112,7 @@ def mix_sources(
     eligible = fit & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & (F.col("whole") < MOST_COPIES)
     rows = _by_source(rows, durable(_scale(rows.where(eligible))), few)
     chance = F.when(eligible, F.least(F.coalesce("scale", F.lit(1.0)) * F.when(F.col("scale").isNull(), F.lit(1.0)).otherwise(F.col("weight")), F.lit(1.0)))
-    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("hash").cast("string")))
     draw = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), own)), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
     odds = (draw / (1 - draw)) / (F.col("chance") / (1 - F.col("chance")))
     rows = rows.withColumn("chance", chance).withColumn("place", F.when(F.col("chance") < 1, odds / (1 + odds)))
