@@ -13,10 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text that one kernel call takes at most, unless one text is longer.
 SLICE_BYTES = 1 << 20
 
+#: Rows of an Arrow batch at most: whole texts cross to Python, and Spark's usual 10,000 of them are tens of MB.
+BATCH_ROWS = 1_000
+
 _RNG = np.random.Generator(np.random.PCG64(0x51ED27))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RNG.integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,6 +40,13 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 CODE_POINT = (np.arange(256) & 0xC0) != 0x80
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit values."""
     x = x ^ (x >> np.uint64(33))

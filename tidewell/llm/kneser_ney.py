@@ -10,8 +10,8 @@ and come back to the chunk, where they are summed by document.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +51,18 @@ def _grams(points: np.ndarray, begin: np.ndarray, lead: int) -> tuple[np.ndarray
     return grams[at[lead:] - (ORDER - 1)].view(np.int64), row[lead:]
 
 
+def _coded(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram's place among the distinct ones, and those."""
+    coded = pa.array(grams).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy()
+
+
+def _unique(grams: np.ndarray) -> np.ndarray:
+    return pc.unique(pa.array(grams)).to_numpy()
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, grams = pd.factorize(np.concatenate([g for g, _ in parts]))
+    code, grams = _coded(np.concatenate([g for g, _ in parts]))
     return grams, np.bincount(code, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
@@ -68,7 +78,7 @@ def _counts(batches):
             for lang, i in names.items():
                 if (mine := own == i).any():
                     parts = sums.setdefault(lang, [])
-                    code, distinct = pd.factorize(grams[mine])
+                    code, distinct = _coded(grams[mine])
                     parts.append((distinct, np.bincount(code)))
                     if len(parts) > 8:
                         parts[:] = [_merged(parts)]
@@ -185,10 +195,10 @@ def _distinct(table: pa.Table) -> pa.Table:
             for lang, i in names.items():
                 if (mine := of == i).any():
                     parts = found.setdefault(lang, [])
-                    parts.append(pd.unique(grams[mine]))
+                    parts.append(_unique(grams[mine]))
                     if len(parts) > 8:
-                        parts[:] = [pd.unique(np.concatenate(parts))]
-    each = {x: pd.unique(np.concatenate(p)) for x, p in found.items()}
+                        parts[:] = [_unique(np.concatenate(parts))]
+    each = {x: _unique(np.concatenate(p)) for x, p in found.items()}
     lang = [pa.array([x] * len(g), pa.string()) for x, g in each.items()]
     gram = [pa.array(g, pa.int64()) for g in each.values()]
     n = sum(map(len, gram))
@@ -216,7 +226,7 @@ def _summed(docs: pa.Table, values: pa.Table) -> pa.Table:
             own = langs[rows]
             for lang in {x for x in own if x in tables}:
                 mine = np.array([x == lang for x in own])[row]
-                code, distinct = pd.factorize(grams[mine])
+                code, distinct = _coded(grams[mine])
                 have, value = tables[lang]
                 total[rows] += np.bincount(row[mine], weights=value[np.searchsorted(have, distinct)][code], minlength=end - first)
     scored = (count > 0) & np.array([x in tables for x in langs], dtype=bool)
@@ -235,6 +245,7 @@ def score_perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id",
     text into chunks of about CHUNK_BYTES; rows without id or text by position.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    kernel.small_batches(docs.sparkSession)
     chunks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
     plain = F.col("doc_id").isNull() | F.coalesce(F.col("text") == "", F.lit(True))
     chunk = F.pmod(F.when(plain, F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "text")), F.lit(chunks))
@@ -269,6 +280,7 @@ def classify_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id"
     threshold.  Ids may be null, repeat and have any type; other columns are
     ignored; an empty table gives no rows.
     """
+    kernel.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     ids = trusted.select(F.col(id_col).alias("doc_id"))
     model = fit_kneser_ney(with_ids(rows.where(~held_out(F.col("text"))), ids))

@@ -70,6 +70,7 @@ def fit_language_model(train: DataFrame, lang_col: str = "lang", text_col: str =
     Spark; at most `languages` * (2**BITS + 1) sums come to the driver, and more
     languages than that raise ValueError.  No rows give a model without languages.
     """
+    kernel.small_batches(train.sparkSession)
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     if len(known := rows.select("lang").distinct().limit(languages + 1).collect()) > languages:
@@ -94,6 +95,7 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray, np.n
     A text that is null or has no letter is `und` with score 0, as is every text
     if no language was learned.  Ids may be null or repeat; other columns are ignored.
     """
+    kernel.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     langs = model[0]
     shared = docs.sparkSession.sparkContext.broadcast((model[1], np.ascontiguousarray(model[2].T)))

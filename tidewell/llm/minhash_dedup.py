@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept_columns = [F.struct(*keep).alias("keep")] if keep else []
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), *kept_columns, F.col(text_col).alias("text"))
     through = f", keep {docs.schema['keep'].dataType.simpleString()}" if keep else ""
+    kernel.small_batches(docs.sparkSession)
     profile = durable(docs.mapInArrow(_profiles(shingle), f"doc_id long, th long{through}, n_shingles long, cls binary, bands array<long>, signature binary"))
     full, empty = profile.where("n_shingles > 0"), profile.where("n_shingles = 0")
     named = full.groupBy("cls").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("text_of"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")))

@@ -208,6 +208,7 @@ def rule_cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     or repeat; rows stay apart.  Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kernel.small_batches(docs.sparkSession)
     ordered = order_rules(docs, rules)
 
     def run(batches):

@@ -197,6 +197,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     never occur; items of one id count once.  Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kernel.small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id is not null and item_text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     if (items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) > broadcast_bytes:
