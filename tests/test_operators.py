@@ -73,9 +73,28 @@ def test_price_period_belongs_to_the_amount(spark):
 
 
 def test_address_units(spark):
-    parts = lambda s: tuple(one(spark, s=text.address_parts(F.lit(s))[0], u=text.address_parts(F.lit(s))[1]))
-    assert parts("Apt 3, 12 King Street, London, ON") == ("12 king st", "apt:3")
-    assert parts("4-12 King Street") == ("12 king st", "unit:4") and parts("12 King Street #b") == ("12 king st", "unit:b") and parts("") == (None, None)
+    def parts(value):
+        got = one(spark, p=text.address_parts(F.lit(value))).p
+        return got.street, got.unit, got.ambiguous, got.complete
+
+    assert parts("Apt 3, 12 King Street, London, ON, Canada") == ("12 king st", "apt:3", False, True)
+    assert parts("4-12 King Street") == ("12 king st", "unit:4", False, True)
+    assert parts("12 King Street #b") == ("12 king st", "unit:b", False, True)
+    assert parts("12 King Court") == parts("12 King Ct") == ("12 king ct", None, False, True)
+    assert parts("12 King Street unit 3 rm 4") == ("12 king st unit 3 rm 4", None, True, True)
+    assert parts("Basement, King Terrace") == ("basement king terr", None, True, False)
+    assert parts("12 King Crescent North") == ("12 king crescent north", None, False, True)
+    assert parts("") == (None, None, False, False)
+
+
+def test_civic_addresses(spark):
+    def civic(value):
+        got = one(spark, p=text.civic_address(F.lit(value))).p
+        return got.civic, got.unit
+
+    assert civic("12 King Court") == civic("12 king CT.") == ("12 KING CT", None)
+    assert civic("12 Old Queen Terrace West, Unit 4-B") == ("12 OLD QUEEN TER W", "4-B")
+    assert civic("North") == ("N", None) and civic("") == (None, None)
 
 
 def test_months_wrap(spark):
@@ -99,9 +118,16 @@ def test_nearest_and_overlap(spark):
     for p in points.collect():
         assert got[p.place_id] == min(all_stops, key=lambda s: (math.hypot(p.x - s.x, p.y - s.y), s.stop_id)).stop_id
     route = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 0.0, 1)], "route_id long, x1 double, y1 double, x2 double, y2 double, step int")
-    lanes = spark.createDataFrame([(0.0, 3.0, 50.0, 3.0), (0.0, 4.0, 50.0, 4.0)], "x1 double, y1 double, x2 double, y2 double")
-    row = spatial.overlap_share(route, lanes, "route_id", 5.0, 100).first()
-    assert row.length == pytest.approx(100) and row.overlap == pytest.approx(54, abs=1)
+    lanes = spark.createDataFrame([(1, "a", 0.0, 3.0, 50.0, 3.0), (2, "b", 0.0, 4.0, 50.0, 4.0), (3, "b", 70.0, -20.0, 70.0, 20.0), (4, "a", 90.0, 1.0, 90.0, 1.0)], "facility_id long, category string, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.tolerance, r.category): r.overlap for r in spatial.overlap_share(route, lanes, "route_id", (2.0, 5.0), 10.0).collect()}
+    near, tip = 50 + math.sqrt(5**2 - 3**2), 2 * math.sqrt(5**2 - 1)
+    want = {(5.0, None): near + 10 + tip, (5.0, "a"): near + tip, (5.0, "b"): 50 + 3 + 10, (2.0, None): 4 + 2 * math.sqrt(3), (2.0, "a"): 2 * math.sqrt(3), (2.0, "b"): 4.0}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_duplicate_ads_name_their_group(spark):
+    rows = spark.createDataFrame([(1, "x", 5), (2, "x", 5), (2, "x", 5), (3, "x", 6), (4, None, 5), (5, None, 5), (9, "x", 5)], "id long, k string, price int")
+    assert sorted(tuple(r) for r in lifecycle.duplicate_ads(rows, "id", ["k", "price"]).collect()) == [(1, 1, 3), (2, 1, 3), (9, 1, 3)]
 
 
 def test_numbered_equals_the_sorted_order(spark):

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 # Service periods as (day of the reference week from Monday, first departures).
 PERIODS = {
-    "weekday_morning_commute": (1, ("07:30", "08:00", "08:30")),
-    "weekday_midday": (1, ("11:30", "12:00", "12:30")),
-    "weekday_evening_commute": (1, ("16:30", "17:00", "17:30")),
-    "weekday_late_evening": (1, ("21:30", "22:00", "22:30")),
-    "saturday_daytime": (5, ("12:00", "13:00", "14:00")),
-    "sunday_daytime": (6, ("12:00", "13:00", "14:00")),
+    "weekday_morning_commute": (0, ("07:30", "08:00", "08:30")),
+    "weekday_midday": (0, ("11:30", "12:00", "12:30")),
+    "weekday_evening_commute": (0, ("16:30", "17:00", "17:30")),
+    "weekday_late_evening": (0, ("21:30", "22:00", "22:30")),
+    "saturday_daytime": (5, ("11:30", "12:00", "12:30")),
+    "sunday_daytime": (6, ("11:30", "12:00", "12:30")),
 }
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 

@@ -113,14 +113,25 @@ def page_stop(pages: DataFrame, page: str, urls: str) -> DataFrame:
     Adds new_urls and seen (new urls so far).  First sightings are one
     aggregation over urls; the page table itself has a row per page.
     """
-    signature = F.array_join(F.array_sort(F.array_distinct(urls)), "\n")
+    signature = F.sha2(F.array_join(F.array_sort(F.array_distinct(urls)), "\n"), 256)
     first = pages.select(page, F.explode(urls).alias("url")).groupBy("url").agg(F.min(page).alias(page)).groupBy(page).agg(F.count("*").alias("new_urls"))
     rows = pages.withColumn("_s", signature).join(first, page, "left").withColumn("new_urls", F.coalesce("new_urls", F.lit(0)))
     again = F.row_number().over(Window.partitionBy("_s").orderBy(page)) > 1
     rows = rows.withColumn("_stop", (F.size(urls) == 0) | again | (F.col("new_urls") == 0))
     end = rows.where("_stop").agg(F.coalesce(F.min(page), F.lit(2**62)).alias("_end"))
     kept = rows.join(F.broadcast(end)).where(F.col(page) < F.col("_end"))
-    return kept.withColumn("seen", F.sum("new_urls").over(Window.orderBy(page))).select(page, "new_urls", "seen")
+    return running_sum(kept.select(page, "new_urls"), page, "new_urls", "seen")
+
+
+def running_sum(rows: DataFrame, by: str, value: str, name: str, ranges: int = 1000) -> DataFrame:
+    """Adds the sum of value up to each row by a number: sums of ranges first, then within each range; no task orders all rows."""
+    ends = rows.agg(F.min(by).alias("_low"), F.max(by).alias("_high"))
+    place = F.least(F.lit(ranges - 1), F.floor((F.col(by) - F.col("_low")) * ranges / F.greatest(F.col("_high") - F.col("_low"), F.lit(1)))).cast("int")
+    parts = rows.join(F.broadcast(ends)).withColumn("_range", place).drop("_low", "_high")
+    before = parts.groupBy("_range").agg(F.sum(value).alias("_sum"))  # a row per range
+    before = before.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(by))
+    return parts.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")
 
 
 def grid_round_robin(points: DataFrame, x: str, y: str, key: str, bins: int, n: int) -> DataFrame:

@@ -91,14 +91,10 @@ def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def duplicate_ads(rows: DataFrame, key: str, same: Sequence[str]) -> DataFrame:
-    """(key, others): rows that agree in all of `same` (none null) with at least one other.
-
-    Groups are counted first, so only groups of two or more are collected.
-    """
-    full = rows.where(" and ".join(f"{c} is not null" for c in same))
-    groups = full.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    many = full.join(groups, list(same)).groupBy(*same).agg(F.sort_array(F.collect_set(key)).alias("_ids"))
-    return many.select(F.explode("_ids").alias(key), "_ids").select(key, F.array_except("_ids", F.array(key)).alias("others"))
+    """(key, group, members): rows that agree in all of `same` (none null) with at least one other; the group is named by its least key."""
+    full = rows.where(" and ".join(f"{c} is not null" for c in same)).select(key, *same).distinct()
+    groups = full.groupBy(*same).agg(F.count("*").alias("members"), F.min(key).alias("group")).where("members > 1")
+    return full.join(groups, list(same)).select(key, "group", "members")
 
 
 def discovery_health(runs: DataFrame, order: str, found: str, least: int, drop_ratio: float = 0.5) -> DataFrame:

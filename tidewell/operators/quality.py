@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
 
 def _present(*flags: Column) -> Column:
     return F.filter(F.array(*flags), lambda x: x.isNotNull())
@@ -166,9 +168,11 @@ def run_completion(stages: DataFrame, run: str, order: str) -> DataFrame:
 def greedy_cover(tagged: DataFrame, key: str, tags: str, limit: int) -> list:
     """Keys that cover the tags greedily: most uncovered tags, then the least key.
 
-    Each of at most `limit` rounds is one aggregation with a top-1 result; the
-    driver holds the chosen keys and the covered tags only.
+    Rows with equal tags are counted as one first, by their least key; each of at
+    most `limit` rounds takes the best of these.  The driver holds the chosen
+    keys and the covered tags only.
     """
+    tagged = settled(tagged.groupBy(F.array_sort(F.array_distinct(tags)).alias(tags)).agg(F.min(key).alias(key)))
     chosen, covered = [], []
     for _ in range(limit):
         left = F.size(F.array_except(tags, F.array(*map(F.lit, covered)))) if covered else F.size(tags)

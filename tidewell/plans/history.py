@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import history as H
 from ..operators import lifecycle as L
 from ..operators.sorts import top_per_key
@@ -218,10 +219,10 @@ def set_dedupe_ordered(spark, sf_dir):
     return first.groupBy("o_custkey").agg(F.array_join(ordered, "|").alias("priorities"))
 
 
-@query("set_required_versions", "SELECT r.name, count(s.layer) AS current_versions FROM (VALUES ('0'), ('1'), ('2'), ('9')) r(name) LEFT JOIN (SELECT CAST(c_nationkey % 5 AS VARCHAR) AS layer FROM customer WHERE c_custkey % 400 = 1) s ON s.layer = r.name GROUP BY 1 HAVING count(s.layer) <> 1")
+@query("set_required_versions", "SELECT r.name, count(s.layer) AS current_versions FROM (VALUES ('0'), ('1'), ('2'), ('9')) r(name) LEFT JOIN (SELECT CAST(c_nationkey % 5 AS VARCHAR) AS layer FROM customer) s ON s.layer = r.name GROUP BY 1 HAVING count(s.layer) <> 1")
 def set_required_versions(spark, sf_dir):
     required = spark.createDataFrame([("0",), ("1",), ("2",), ("9",)], "name string")
-    current = load(spark, sf_dir, "customer").where("c_custkey % 400 = 1").select((F.col("c_nationkey") % 5).cast("string").alias("name")).withColumn("one", F.lit(1))
+    current = load(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).cast("string").alias("name")).withColumn("one", F.lit(1))
     return required.join(current, "name", "left").groupBy("name").agg(F.count("one").alias("current_versions")).where("current_versions <> 1")
 
 
@@ -257,11 +258,12 @@ def upsert_keep_better(spark, sf_dir):
     return L.keep_better(old, new, ["k"]).select("k", "status", "confidence", "origin")
 
 
-@query("agg_duplicate_ads", """WITH l AS (SELECT *, lower(address) AS k FROM listings), g AS (SELECT k, price_monthly, bedrooms, list(DISTINCT listing_id ORDER BY listing_id) AS ids FROM l WHERE k IS NOT NULL AND price_monthly IS NOT NULL AND bedrooms IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
-  SELECT id AS listing_id, array_to_string(list_filter(ids, lambda x: x <> id), ',') AS others FROM (SELECT ids, unnest(ids) AS id FROM g)""")
+@query("agg_duplicate_ads", """WITH l AS (SELECT DISTINCT listing_id, lower(address) AS k, nullif(trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), '') AS d, price_monthly, bedrooms FROM listings),
+  g AS (SELECT k, d, price_monthly, bedrooms, count(*) AS members, min(listing_id) AS "group" FROM l WHERE k IS NOT NULL AND d IS NOT NULL AND price_monthly IS NOT NULL AND bedrooms IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+  SELECT listing_id, "group", members FROM l JOIN g USING (k, d, price_monthly, bedrooms)""")
 def agg_duplicate_ads(spark, sf_dir):
-    rows = frame(spark, sf_dir, "listings").withColumn("k", F.lower("address"))
-    return L.duplicate_ads(rows, "listing_id", ["k", "price_monthly", "bedrooms"]).select("listing_id", F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others"))
+    rows = frame(spark, sf_dir, "listings").withColumn("k", F.lower("address")).withColumn("d", X.comparison_text(F.col("title")))
+    return L.duplicate_ads(rows, "listing_id", ["k", "d", "price_monthly", "bedrooms"])
 
 
 _DAYS = "SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS found FROM events WHERE event_type = 'error' GROUP BY 1"

@@ -93,9 +93,9 @@ def agg_map_clusters(spark, sf_dir):
 
 
 @query("sort_cluster_members", """SELECT cell, string_agg(CAST(listing_id AS VARCHAR), ',' ORDER BY price_monthly ASC NULLS LAST, title, listing_id) AS members FROM
-  (SELECT *, property_id % 50 AS cell FROM listings) GROUP BY cell""")
+  (SELECT *, property_id AS cell FROM listings) GROUP BY cell""")
 def sort_cluster_members(spark, sf_dir):
-    rows = frame(spark, sf_dir, "listings").withColumn("cell", F.col("property_id") % 50)
+    rows = frame(spark, sf_dir, "listings").withColumn("cell", F.col("property_id"))
     entry = F.struct(F.col("price_monthly").isNull().alias("a"), F.col("price_monthly").alias("b"), F.col("title").alias("c"), F.col("listing_id").alias("d"))
     return rows.groupBy("cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.d.cast("string")), ",").alias("members"))
 

@@ -202,7 +202,7 @@ def cls_replay_cached(spark, sf_dir):
 
 @query("fn_unit_set", "SELECT property_id, array_to_string(list_sort(list_distinct(list(unit))), '|') AS units FROM (SELECT property_id, nullif(regexp_extract(address, 'Unit (\\d)', 1), '') AS unit FROM listings) WHERE unit IS NOT NULL GROUP BY 1")
 def fn_unit_set(spark, sf_dir):
-    unit = F.substring_index(X.address_parts(F.col("address"))[1], ":", -1)
+    unit = F.substring_index(X.address_parts(F.col("address"))["unit"], ":", -1)
     rows = frame(spark, sf_dir, "listings").select("property_id", unit.alias("unit")).where("unit is not null")
     return rows.groupBy("property_id").agg(F.array_join(F.array_sort(F.collect_set("unit")), "|").alias("units"))
 
@@ -223,7 +223,9 @@ def fn_aware_utc(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", D.aware_utc(text).alias("utc"))
 
 
-@query("fn_departures", "SELECT s_suppkey, time_period, departure_at FROM supplier, (VALUES " + ", ".join(f"('{p}', {d}, '{t}')" for p, (d, ts) in D.PERIODS.items() for t in ts) + ") v(time_period, d, t), LATERAL (SELECT CAST(strptime('2026-01-' || CAST(5 + d AS VARCHAR) || ' ' || t, '%Y-%m-%d %H:%M') AS TIMESTAMP) + INTERVAL 5 HOUR AS departure_at)")
+@query("fn_departures", """SELECT s_suppkey, time_period, CAST(strptime('2026-01-' || day || ' ' || t, '%Y-%m-%d %H:%M') AS TIMESTAMP) + INTERVAL 5 HOUR AS departure_at FROM supplier, (VALUES
+  ('weekday_morning_commute', '05', ['07:30', '08:00', '08:30']), ('weekday_midday', '05', ['11:30', '12:00', '12:30']), ('weekday_evening_commute', '05', ['16:30', '17:00', '17:30']),
+  ('weekday_late_evening', '05', ['21:30', '22:00', '22:30']), ('saturday_daytime', '10', ['11:30', '12:00', '12:30']), ('sunday_daytime', '11', ['11:30', '12:00', '12:30'])) v(time_period, day, ts), LATERAL (SELECT unnest(ts) AS t)""")
 def fn_departures(spark, sf_dir):
     return D.departures(load(spark, sf_dir, "supplier"), F.lit("2026-01-05").cast("date"), "America/Toronto").select("s_suppkey", "time_period", "departure_at")
 

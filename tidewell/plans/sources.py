@@ -54,7 +54,7 @@ def scan_gtfs(spark, sf_dir):
 @query("scan_feature_snapshot", "SELECT 'nation-' || CAST(c_nationkey AS VARCHAR) AS dataset, c_custkey AS id, c_mktsegment AS segment FROM customer")
 def scan_feature_snapshot(spark, sf_dir):
     feature = F.struct(F.col("c_custkey").alias("id"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("attributes"))
-    docs = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(feature).alias("features"))
+    docs = load(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 100)).agg(F.collect_list(feature).alias("features"))
     path = scratch_path(spark, "snapshot")
     docs.select(F.struct(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("dataset")).alias("metadata"), "features").write.json(path)
     return S.read_snapshot(spark, path).select("dataset", "id", F.try_element_at("attributes", F.lit("segment")).alias("segment"))
@@ -174,7 +174,7 @@ def snapshot_promote(spark, sf_dir):
 @query("prepare_canonical", """SELECT listing_id, CASE WHEN price_monthly IS NULL THEN 'missing_price|' ELSE '' END || CASE WHEN housing_type IS NULL THEN 'missing_type' ELSE '' END AS issues, lower(housing_type) AS kind, split_part(address, ' ', 1) AS house_number FROM listings""")
 def prepare_canonical(spark, sf_dir):
     rows = frame(spark, sf_dir, "listings")
-    street, _ = X.address_parts(F.col("address"))
+    street = X.address_parts(F.col("address"))["street"]
     issues = F.concat(F.when(F.col("price_monthly").isNull(), "missing_price|").otherwise(""), F.when(F.col("housing_type").isNull(), "missing_type").otherwise(""))
     return rows.select("listing_id", issues.alias("issues"), X.comparison_text(F.col("housing_type")).alias("kind"), F.substring_index(street, " ", 1).alias("house_number"))
 

@@ -61,7 +61,7 @@ def join_radius(spark, sf_dir):
 
 @query("join_nearest", f"SELECT place_id, nearest, round(distance, 4) AS distance FROM (SELECT place_id, stop_id AS nearest, {_DIST} AS distance, row_number() OVER (PARTITION BY place_id ORDER BY {_DIST}, stop_id) AS k FROM places p, stops s) WHERE k = 1")
 def join_nearest(spark, sf_dir):
-    found = S.join_nearest(frame(spark, sf_dir, "places"), frame(spark, sf_dir, "stops"), "place_id", "stop_id", 800.0, 12800.0)
+    found = S.join_nearest(frame(spark, sf_dir, "places"), frame(spark, sf_dir, "stops"), "place_id", "stop_id", 400.0, 12800.0)
     return found.select("place_id", "nearest", F.round("distance", 4).alias("distance"))
 
 
@@ -127,15 +127,26 @@ def nearest_facility(spark, sf_dir):
     return near.groupBy("place_id", "category").agg(F.round(F.min("distance"), 3).alias("distance"))
 
 
-_PIECES = f"""r AS (SELECT * FROM ({_SEG}) WHERE x1 IS NOT NULL), c AS (SELECT route_id, step, k, x1 + (k + 0.5e0) / 20 * (x2 - x1) AS x, y1 + (k + 0.5e0) / 20 * (y2 - y1) AS y, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) / 20 AS part FROM r, range(20) t(k)),
- n AS (SELECT c.*, v.t AS tolerance, EXISTS (SELECT 1 FROM facilities s WHERE s.x1 <= c.x + 20 AND s.x2 >= c.x - 20 AND s.y1 <= c.y + 20 AND s.y2 >= c.y - 20 AND {_segment_distance('c.x', 'c.y')} <= v.t) AS near FROM c, (VALUES (8), (15)) v(t))"""
+# the range of t that a segment's line spends in the rectangle and in the discs around a facility
+_RANGES = f"""r AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM ({_SEG}) WHERE x1 IS NOT NULL),
+ p AS (SELECT r.route_id, r.step, r.len, f.category, t AS tol, r.x2 - r.x1 AS dx, r.y2 - r.y1 AS dy, r.x1 - f.x1 AS px, r.y1 - f.y1 AS py, r.x1 - f.x2 AS qx, r.y1 - f.y2 AS qy, f.x2 - f.x1 AS fx, f.y2 - f.y1 AS fy
+   FROM r JOIN facilities f ON least(f.x1, f.x2) <= greatest(r.x1, r.x2) + 15 AND greatest(f.x1, f.x2) >= least(r.x1, r.x2) - 15 AND least(f.y1, f.y2) <= greatest(r.y1, r.y2) + 15 AND greatest(f.y1, f.y2) >= least(r.y1, r.y2) - 15, (VALUES (5e0), (8e0), (10e0), (15e0)) v(t) WHERE r.len > 0),
+ q AS (SELECT *, sqrt(fx * fx + fy * fy) AS fl, (px * dx + py * dy) * (px * dx + py * dy) - len * len * (px * px + py * py - tol * tol) AS d1, (qx * dx + qy * dy) * (qx * dx + qy * dy) - len * len * (qx * qx + qy * qy - tol * tol) AS d2 FROM p),
+ s AS (SELECT *, (px * fx + py * fy) / fl AS al, (dx * fx + dy * fy) / fl AS be, (px * fy - py * fx) / fl AS ga, (dx * fy - dy * fx) / fl AS de FROM q),
+ b AS (SELECT *, CASE WHEN be = 0 THEN CASE WHEN al BETWEEN 0 AND fl THEN -1e18 ELSE 1e18 END ELSE least(-al / be, (fl - al) / be) END AS a1, CASE WHEN be = 0 THEN CASE WHEN al BETWEEN 0 AND fl THEN 1e18 ELSE -1e18 END ELSE greatest(-al / be, (fl - al) / be) END AS a2,
+   CASE WHEN de = 0 THEN CASE WHEN ga BETWEEN -tol AND tol THEN -1e18 ELSE 1e18 END ELSE least((-tol - ga) / de, (tol - ga) / de) END AS c1, CASE WHEN de = 0 THEN CASE WHEN ga BETWEEN -tol AND tol THEN 1e18 ELSE -1e18 END ELSE greatest((-tol - ga) / de, (tol - ga) / de) END AS c2 FROM s),
+ u AS (SELECT route_id, step, len, category, tol, greatest(a1, c1) <= least(a2, c2) OR d1 >= 0 OR d2 >= 0 AS hit, greatest(0, least(CASE WHEN greatest(a1, c1) <= least(a2, c2) THEN greatest(a1, c1) END, CASE WHEN d1 >= 0 THEN (-(px * dx + py * dy) - sqrt(d1)) / (len * len) END, CASE WHEN d2 >= 0 THEN (-(qx * dx + qy * dy) - sqrt(d2)) / (len * len) END)) AS low,
+   least(1, greatest(CASE WHEN greatest(a1, c1) <= least(a2, c2) THEN least(a2, c2) END, CASE WHEN d1 >= 0 THEN (-(px * dx + py * dy) + sqrt(d1)) / (len * len) END, CASE WHEN d2 >= 0 THEN (-(qx * dx + qy * dy) + sqrt(d2)) / (len * len) END)) AS high FROM b),
+ w AS (SELECT route_id, step, len, tol, low, high, unnest([category, NULL]) AS category FROM u WHERE hit AND low < high),
+ f AS (SELECT *, greatest(0, high - greatest(low, coalesce(max(high) OVER (PARTITION BY route_id, step, tol, category ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) * len AS part FROM w),
+ o AS (SELECT route_id, tol, category, sum(part) AS overlap FROM f GROUP BY ALL), l AS (SELECT route_id, sum(len) AS length FROM r GROUP BY 1)"""
 
 
-@query("route_overlap_share", f"WITH {_PIECES} SELECT route_id, tolerance, round(sum(part), 3) AS length, round(coalesce(sum(part) FILTER (near), 0), 3) AS overlap FROM n GROUP BY 1, 2")
+@query("route_overlap_share", f"""WITH {_RANGES} SELECT route_id, tol AS tolerance, coalesce(category, 'all') AS category, round(length, 3) AS length, round(overlap, 3) AS overlap FROM o JOIN l USING (route_id)
+  UNION ALL SELECT route_id, t, 'all', round(length, 3), 0 FROM l, (VALUES (5e0), (8e0), (10e0), (15e0)) v(t) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.route_id = l.route_id AND o.tol = t)""")
 def route_overlap_share(spark, sf_dir):
-    route, facilities = _segments(spark, sf_dir), frame(spark, sf_dir, "facilities")
-    parts = [S.overlap_share(route, facilities, "route_id", float(t)).withColumn("tolerance", F.lit(t)) for t in (8, 15)]
-    return parts[0].unionByName(parts[1]).select("route_id", "tolerance", F.round("length", 3).alias("length"), F.round("overlap", 3).alias("overlap"))
+    shares = S.overlap_share(_segments(spark, sf_dir), frame(spark, sf_dir, "facilities"), "route_id", (5, 8, 10, 15))
+    return shares.select("route_id", "tolerance", F.coalesce("category", F.lit("all")).alias("category"), F.round("length", 3).alias("length"), F.round("overlap", 3).alias("overlap"))
 
 
 @query("join_cross_tolerances", "SELECT category, t AS tolerance, count(*) AS n FROM facilities, (VALUES (5), (8), (10), (15)) v(t) GROUP BY 1, 2")
@@ -149,11 +160,11 @@ def agg_facility_totals(spark, sf_dir):
     return frame(spark, sf_dir, "facilities").groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum(G.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))), 2).alias("length"))
 
 
-_ROUTES = "SELECT DISTINCT l_suppkey AS stop_id, l_partkey % 40 AS route FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 9 = 0"
+_ROUTES = "SELECT DISTINCT l_suppkey AS stop_id, l_partkey % 40 AS route FROM lineitem"
 
 
 def _stop_routes(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_orderkey % 9 = 0").select(F.col("l_suppkey").alias("stop_id"), (F.col("l_partkey") % 40).alias("route")).distinct()
+    return load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("stop_id"), (F.col("l_partkey") % 40).alias("route")).distinct()
 
 
 @query("join_stop_routes", "SELECT l_suppkey AS stop_id, o_custkey % 60 AS route, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
@@ -178,7 +189,7 @@ query("transit_destination_routes", _GOAL)(_goal_routes)
   SELECT place_id, coalesce(routes, 0) AS routes, coalesce(shared, 0) AS shared, CAST(round_even(greatest(0.0, least(45.0, 45 * (1 - greatest(0.0, nearest - 150) / 750))) + least(25, coalesce(routes, 0) * 5) + least(30, coalesce(shared, 0) * 15), 0) AS INT) AS score FROM n LEFT JOIN r USING (place_id)""")
 def transit_stop_score(spark, sf_dir):
     places, stops = frame(spark, sf_dir, "places"), frame(spark, sf_dir, "stops")
-    nearest = S.join_nearest(places, stops, "place_id", "stop_id", 800.0, 12800.0)
+    nearest = S.join_nearest(places, stops, "place_id", "stop_id", 400.0, 12800.0)
     near = S.join_radius(places, stops, 600.0).select("place_id", F.col("r_stop_id").alias("stop_id")).join(_stop_routes(spark, sf_dir), "stop_id")
     goal = _goal_routes(spark, sf_dir).withColumn("goal", F.lit(True))
     routes = near.join(goal, "route", "left").groupBy("place_id").agg(F.countDistinct("route").alias("routes"), F.countDistinct(F.when(F.col("goal"), F.col("route"))).alias("shared"))
@@ -227,6 +238,6 @@ def surface_unpack(spark, sf_dir):
 
 @query("surface_snap_coverage", f"SELECT t AS threshold, count(*) FILTER (d <= t) AS covered, count(*) AS n FROM (SELECT place_id, min({_DIST}) AS d FROM places p, stops s GROUP BY 1), (VALUES (100), (200), (400), (600)) v(t) GROUP BY 1")
 def surface_snap_coverage(spark, sf_dir):
-    nearest = S.join_nearest(frame(spark, sf_dir, "places"), frame(spark, sf_dir, "stops"), "place_id", "stop_id", 800.0, 12800.0)
+    nearest = S.join_nearest(frame(spark, sf_dir, "places"), frame(spark, sf_dir, "stops"), "place_id", "stop_id", 400.0, 12800.0)
     rows = nearest.select("distance", F.explode(F.array(*(F.lit(t) for t in (100, 200, 400, 600)))).alias("threshold"))
     return rows.groupBy("threshold").agg(F.count_if(F.col("distance") <= F.col("threshold")).alias("covered"), F.count("*").alias("n"))

@@ -45,10 +45,26 @@ _text("fn_money_decimal", f"CAST(TRY_CAST(regexp_replace(upper({_CLEAN}), 'CAD|[
 _text("fn_parse_list", "CASE id % 4 WHEN 0 THEN '(2);Gym;Parking;Wifi' WHEN 1 THEN 'Parking (1);Utilities Incl' WHEN 2 THEN 'A;b' ELSE 'gym;wifi' END AS items", lambda: dict(items=F.array_join(T.parse_list(F.col("tokens")), ";")))
 _text("fn_source_url", "CASE WHEN regexp_matches(url, '^(?i:https?)://(?:www\\.)?homes\\.example/listing/(\\d+)') THEN 'https://homes.example/listing/' || regexp_extract(url, '/listing/(\\d+)', 1) END AS canonical, CASE WHEN regexp_matches(url, '^(?i:https?)://(?:www\\.)?homes\\.example/listing/(\\d+)') THEN CAST(regexp_extract(url, '/listing/(\\d+)', 1) AS BIGINT) END AS source_id",
       lambda: dict(canonical=T.source_url(F.col("url"), r"homes\.example", "/listing/")[0], source_id=T.source_url(F.col("url"), r"homes\.example", "/listing/")[1]))
-_STREET = """CASE id % 5 WHEN 0 THEN regexp_extract(address, '^\\d+') || ' richmond st n' WHEN 1 THEN regexp_extract(address, ', (\\d+) ', 1) || ' oxford rd' WHEN 2 THEN regexp_extract(address, '-(\\d+) ', 1) || ' talbot ave' WHEN 3 THEN regexp_extract(address, '^\\d+') || ' king cres' END"""
-_text("fn_normalize_address", f"{_STREET} AS street, CASE id % 5 WHEN 1 THEN 'apt:' || regexp_extract(address, '^Apt (\\d)', 1) WHEN 2 THEN 'unit:' || regexp_extract(address, '^(\\d+)-', 1) WHEN 3 THEN 'unit:' || regexp_extract(address, 'Unit (\\d)', 1) END AS unit",
-      lambda: dict(street=T.address_parts(F.col("address"))[0], unit=T.address_parts(F.col("address"))[1]))
-_text("fn_normalize_civic", f"upper({_STREET}) AS civic", lambda: dict(civic=T.civic_address(F.col("address"))))
+_STREET = """CASE WHEN address LIKE 'Apt %' THEN regexp_replace(address, '^Apt \\d, (\\d+) Oxford Road, London$', '\\1 oxford rd london') WHEN address LIKE '%Richmond%' THEN regexp_extract(address, '^\\d+') || ' richmond st north'
+  WHEN address LIKE '%Talbot%' THEN regexp_extract(address, '-(\\d+) ', 1) || ' talbot ave' WHEN address LIKE '%King%' THEN regexp_extract(address, '^\\d+') || ' king crescent' END"""
+_text("fn_normalize_address", f"{_STREET} AS street, CASE WHEN address LIKE 'Apt %' THEN 'apt:' || regexp_extract(address, '^Apt (\\d)', 1) WHEN address LIKE '%Talbot%' THEN 'unit:' || regexp_extract(address, '^(\\d+)-', 1) WHEN address LIKE '%King%' THEN 'unit:' || regexp_extract(address, 'Unit (\\d)', 1) END AS unit, false AS ambiguous, address <> '' AS complete",
+      lambda: {c: T.address_parts(F.col("address"))[c] for c in ("street", "unit", "ambiguous", "complete")})
+
+# every street word and direction, with and without a unit; the SQL names the short forms literally
+_WORDS = "('STREET', 'ST'), ('AVENUE', 'AVE'), ('ROAD', 'RD'), ('DRIVE', 'DR'), ('COURT', 'CT'), ('PLACE', 'PL'), ('CRESCENT', 'CRES'), ('BOULEVARD', 'BLVD'), ('LANE', 'LN'), ('TERRACE', 'TER'), ('WAY', 'WAY'), ('PARK', 'PARK')"
+_WINDS = "('', ''), (' North', ' N'), (' SOUTH', ' S'), (' east', ' E'), (' w', ' W')"
+_UNITS = "('', NULL), (', Unit 4', '4'), (' #12-B', '12-B'), (' apt. 7', '7')"
+
+
+@query("fn_normalize_civic", f"SELECT c_custkey, long || wind || tail AS suffix, c_custkey || ' OLD QUEEN ' || short || brief AS civic, unit FROM customer, (VALUES {_WORDS}) w(long, short), (VALUES {_WINDS}) d(wind, brief), (VALUES {_UNITS}) u(tail, unit)")
+def fn_normalize_civic(spark, sf_dir):
+    parts = [spark.sql(f"SELECT * FROM VALUES {values} AS t({name}, _{name})").drop(f"_{name}") for name, values in (("word", _WORDS), ("wind", _WINDS), ("tail", _UNITS))]
+    suffixes = parts[0].join(parts[1]).join(parts[2]).select(F.concat("word", "wind", "tail").alias("suffix"))
+    rows = load(spark, sf_dir, "customer").join(F.broadcast(suffixes))
+    civic = T.civic_address(F.concat_ws(" ", F.col("c_custkey").cast("string"), F.lit("Old  Queen"), "suffix"))
+    return rows.select("c_custkey", "suffix", civic["civic"].alias("civic"), civic["unit"].alias("unit"))
+
+
 _text("fn_geocode_query", "CASE id % 5 WHEN 0 THEN address || ', Ontario' WHEN 1 THEN address || ', Ontario, Canada' WHEN 2 THEN address || ', London, Ontario, Canada' WHEN 3 THEN address || ', London, Ontario, Canada' END AS q", lambda: dict(q=T.geocode_query(F.col("address"))))
 _AMT = "TRY_CAST(nullif(replace(regexp_extract(price_text, '\\$\\s*([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(\\.[0-9]{2})?', 1), ',', '') || regexp_extract(price_text, '\\$\\s*([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(\\.[0-9]{2})?', 2), '') AS DOUBLE)"
 _PER = "CASE id % 6 WHEN 0 THEN 'month' WHEN 1 THEN 'week' WHEN 2 THEN 'day' END"

@@ -15,9 +15,12 @@ PROFILES_SCHEMA = "property_id long, profiles array<struct<profile_id: long, tra
 SNAPSHOT_SCHEMA = "metadata struct<dataset: string>, features array<struct<id: long, attributes: map<string, string>>>"
 
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header as text columns; a byte order mark before the first name is dropped, nothing is inferred."""
-    rows = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv_strings(spark: SparkSession, path: str, *, line_breaks: bool = False) -> DataFrame:
+    """A CSV with header as text columns; a byte order mark before the first name is dropped, nothing is inferred.
+
+    line_breaks allows them in quoted fields; a file is then one task.
+    """
+    rows = spark.read.option("header", True).option("inferSchema", False).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
 
 
