@@ -254,8 +254,10 @@ def score_perplexity(docs: DataFrame, model: DataFrame, id_col: str = "doc_id",
     dealt = dealt.mapInArrow(_packed, f"chunk long, doc_id {kind}, lang string, held_out boolean, bytes long, packed binary")
     grams = dealt.groupBy("chunk").applyInArrow(_distinct, "chunk long, lang string, gram long")
     # a gram that all chunks hold has a row for each LISTED of them, so no list grows with the corpus
-    listed = durable(grams.groupBy("lang", "gram", F.floor(F.col("chunk") / LISTED).alias("part")).agg(F.collect_list("chunk").alias("chunks")))
-    values = _gram_values(listed.select("lang", "gram").distinct(), model)
+    # (nothing is written here: within one query Spark deals the texts out once, for the grams and for the sums)
+    listed = grams.groupBy("lang", "gram", F.floor(F.col("chunk") / LISTED).alias("part")).agg(F.collect_list("chunk").alias("chunks"))
+    asked = listed.groupBy("lang", "gram").agg(F.sum(F.size("chunks")).alias("times")).where("times > 0")  # the same lists, so that they are made once
+    values = _gram_values(asked, model)
     back = listed.join(values, ["lang", "gram"]).select(F.explode("chunks").alias("chunk"), "lang", "gram", "value")
     return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_summed, f"doc_id {kind}, lang string, held_out boolean, n_grams long, perplexity double")
 
