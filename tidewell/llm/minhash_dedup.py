@@ -203,19 +203,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     blocks = durable(blocks_of(family, "blocks"))
     placed = family.join(blocks, "hub").withColumn("block", dealt("blocks", 0))
-    texts = with_ids(docs.select(F.struct("doc_id", "th").alias("text_of"), "text").where("text_of.doc_id is not null"), classes.join(family.select("cls").distinct(), "cls", "left_semi"), "text_of").dropDuplicates(["text_of"])
-    held = classes.select("cls", "text_of", "signature").join(texts, "text_of").drop("text_of")
+    def with_texts(members: DataFrame) -> DataFrame:
+        """cls, signature and a text of the classes among members; other texts are not shuffled."""
+        wanted = durable(classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "text_of", "signature"))
+        texts = docs.select(F.struct("doc_id", "th").alias("text_of"), "text").where("text_of.doc_id is not null")
+        return wanted.join(with_ids(texts, wanted, "text_of").dropDuplicates(["text_of"]), "text_of").drop("text_of")
+
     star = placed.where("cls <> hub").select("hub", "blocks", "block", "cls").unionByName(blocks.select("hub", "blocks", upto("blocks").alias("block"), F.col("hub").alias("cls")))
-    first = durable(star.join(held, "cls").groupBy("hub", "block").applyInArrow(_block(shingle, percent), _FOUND))
+    first = durable(star.join(with_texts(family), "cls").groupBy("hub", "block").applyInArrow(_block(shingle, percent), _FOUND))
 
     free = first.where("hub is not null").select("hub", F.col("a").alias("cls"))
     alone = durable(placed.where("blocks > 1").join(free.withColumn("free", F.lit(True)), ["hub", "cls"], "left").withColumn("free", F.coalesce("free", F.lit(False))))
     own = durable(blocks_of(alone.where("free"), "own_blocks"))
-    alone = alone.join(own, "hub").withColumn("own", dealt("own_blocks", 1))
+    alone = alone.join(own, "hub").withColumn("own", dealt("own_blocks", 1))  # families with members outside the hub's tree
     asking = alone.where("free").select("hub", "own", upto("blocks").alias("other"), "cls", "block", "free", F.lit(True).alias("asks"))
     asked = alone.select("hub", upto("own_blocks").alias("own"), F.col("block").alias("other"), "cls", "block", "free", F.lit(False).alias("asks"))
     cells = asking.where("other <> block").unionByName(asked)
-    second = cells.join(held, "cls").groupBy("hub", "own", "other").applyInArrow(_cell(shingle, percent), _FOUND)
+    second = cells.join(with_texts(alone), "cls").groupBy("hub", "own", "other").applyInArrow(_cell(shingle, percent), _FOUND)
 
     links = connected_components(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")))
     rooted = durable(links.join(classes, links.node == classes.cls).select("cls", F.col("component").alias("root"), F.col("text_of.doc_id").alias("doc_id")))
