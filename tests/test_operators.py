@@ -201,3 +201,39 @@ def test_stream_of_runs(spark, tmp_path):
     assert state == {1: ("removed", 2), 2: ("active", 0), 3: ("active", 0)}
     late = stream.merge_run(stream.read_state(spark, f"{tmp_path}/state", 2), spark.createDataFrame([(2, "old", datetime(2023, 1, 1))], schema))
     assert {r.listing_id: r.last_hash for r in late.collect()}[2] == "h"
+
+
+def test_property_conflicts(spark):
+    rows = spark.createDataFrame(
+        [(43.0000001, -81.0, "1 a st", None), (43.0, -81.0, "2 b st", "4"), (43.00001, -81.0, "1 a st", "2"), (None, -81.0, "3 c st", None), (43.5, None, None, "1")],
+        "latitude double, longitude double, address string, unit string",
+    )
+    got = {tuple(r) for r in quality.property_conflicts(rows).collect()}
+    assert got == {("several_addresses", "43000000,-81000000", 2), ("unit_presence_differs", "1 a st", 1)}
+    assert quality.property_conflicts(rows.limit(0)).count() == 0
+
+
+def test_geocode_resolution_names_the_first_failure(spark):
+    names = "id int, address string, geocode_query string, latitude double, longitude double, geocode_confidence double, geocode_status string, geocode_result_type string, geocode_match_type string"
+    good = ("1 A St", "1 a st", 43.0, -81.2, 0.99, "ok", "building", "full_match")
+    bad = {1: None, 2: ("1 A St", "other"), 3: (None,), 4: ("9 Z St", "9 z st"), 5: ("2 B St", "2 b st"), 6: good[:2] + (43.1,), 7: good[:7] + ("inner_part",), 8: good[:6] + ("street",), 9: ("3 C St", "3 c st", 43.0, -81.2, 0.99, "failed")}
+    rows = spark.createDataFrame([(i, *(b or ()), *good[len(b or ()) :]) for i, b in bad.items()], names)
+    said = (43.0, -81.2, 0.99)
+    cache = spark.createDataFrame([("1 a st", None, *said, "ok"), ("2 b st", "x", *said, "ok"), ("2 b st", "x", *said, "ok"), ("3 c st", "First", *said, "failed")], "query string, provider string, latitude double, longitude double, geocode_confidence double, geocode_status string")
+    got = {r.id: r.reason for r in quality.geocode_resolution(rows, cache, "first", (42.9, 43.05), (-81.4, -81.1), 0.8).collect()}
+    assert got == {
+        1: "cached_geocode_verified", 2: "geocode_address_query_mismatch", 3: "geocode_address_query_mismatch", 4: "geocode_cache_evidence_missing", 5: "geocode_multiple_cached_candidates",
+        6: "geocode_cache_result_mismatch", 7: "geocode_full_match_required", 8: "geocode_property_precision_required", 9: "geocode_status_not_ok",
+    }
+
+
+def test_contract_gate_in_order(spark):
+    rows = spark.createDataFrame([(29, 1, 9.0, 1, 9), (30, 1, 9.0, 1, 9), (30, 0, 5.1, 1, 9), (30, 0, 5.0, 79, 100), (30, 0, 5.0, 80, 100)], "a int, b int, c double, d int, e int")
+    got = [r.gate for r in rows.select(access.contract_gate(*map(F.col, "abcde")).alias("gate")).collect()]
+    assert got == ["too_few_pairs", "one_sided", "error_too_large", "too_little_coverage", "accepted"]
+
+
+def test_label_counts_of_a_field_that_one_side_lacks(spark):
+    old = spark.createDataFrame([("a", 1), (" ", 2)], "kind string, n int")
+    got = {tuple(r) for r in quality.label_counts(old, old.drop("n"), ["kind", "n", "other"]).collect()}
+    assert got == {("kind", "a", 1, 1), ("kind", "<unknown>", 1, 1), ("n", "1", 1, 0), ("n", "2", 1, 0)}

@@ -122,6 +122,19 @@ def parity(rows: DataFrame, by: Sequence[str], left: str, right: str) -> DataFra
     )
 
 
+def period_validation(rows: DataFrame, period: str) -> DataFrame:
+    """By service period: the parity of a and b, and the itineraries of b with transfers and with over 15 minutes of walking."""
+    routed = rows.where("b is not null").groupBy(period).agg(F.count_if(F.col("transfers") > 0).alias("with_transfers"), F.count_if(F.col("walking") > 900).alias("long_walks"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    both = parity(rows, [period], "a", "b").join(routed, period, "left")
+    return both.select(*(c for c in both.columns if c not in ("with_transfers", "long_walks")), zero("with_transfers"), zero("long_walks"))
+
+
+def contract_gate(pairs: Column, one_sided: Column, p90_error: Column, kept: Column, total: Column) -> Column:
+    """accepted, or the first gate that fails: 30 pairs, no one-sided reach, an error of 5 minutes at the 90th percentile, 80 % of cells kept."""
+    return F.when(pairs < 30, "too_few_pairs").when(one_sided > 0, "one_sided").when(p90_error > 5, "error_too_large").when(100 * kept < 80 * total, "too_little_coverage").otherwise("accepted")
+
+
 def work_units(properties: DataFrame, hotspots: Sequence[str], modes: Sequence[str], periods: Sequence[str]) -> DataFrame:
     """Properties by destination and mode, transit also by period; the lists are short and exploded in place."""
     arr = lambda xs: F.array(*map(F.lit, xs))

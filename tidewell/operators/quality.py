@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..sources.scratch import settled
 
 
@@ -100,15 +101,86 @@ def field_changes(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str
 
 
 def label_counts(old: DataFrame, new: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(field, value, n_old, n_new): how often each label occurs in either version."""
+    """(field, value, n_old, n_new): how often each label occurs in either version.
+
+    Null and blank labels count as `<unknown>`; a version without a field has no labels of it.
+    """
     def counts(df, name):
-        pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("unknown")).alias("value")) for f in fields)))
+        label = lambda f: F.coalesce(F.nullif(F.trim(F.col(f).cast("string")), F.lit("")), F.lit("<unknown>"))
+        pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), label(f).alias("value")) for f in fields if f in df.columns)))
         return df.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias(name))
 
     rows = counts(old, "n_old").join(counts(new, "n_new"), ["field", "value"], "full")
     return rows.select("field", "value", F.coalesce("n_old", F.lit(0)).alias("n_old"), F.coalesce("n_new", F.lit(0)).alias("n_new"))
 
 
+def reuse_geocodes(rows: DataFrame, earlier: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """rows (key, listing_url, address) with a decision and the fields of an earlier geocode.
+
+    A geocode is reused if it was made for the same URL and the same normalized
+    address; otherwise the decision names what differs and the fields are null.
+    """
+    cached = earlier.select(key, F.struct("listing_url", "geocode_query", "geocode_status", *fields).alias("_c"))
+    both = rows.join(cached, key, "left")
+    same = lambda a, b: X.comparison_text(a).eqNullSafe(X.comparison_text(b))
+    decision = (
+        F.when(F.col("_c").isNull(), "rejected: not cached")
+        .when(~F.trim("listing_url").eqNullSafe(F.trim("_c.listing_url")), "rejected: source URL")
+        .when(~same(F.col("address"), F.col("_c.geocode_query")), "rejected: normalized address")
+        .when(F.lower("_c.geocode_status") == "missing_address", "missing")
+        .otherwise("reused")
+    )
+    both = both.withColumn("decision", decision)
+    return both.select(*rows.columns, "decision", *(F.when(F.col("decision") == "reused", F.col(f"_c.{f}")).alias(f) for f in fields))
+
+
+def geocode_resolution(rows: DataFrame, cache: DataFrame, provider: str, latitudes: tuple[float, float], longitudes: tuple[float, float], least: float) -> DataFrame:
+    """rows with the reason why their cached geocode is accepted or not: the first check that fails.
+
+    cache is (query, provider, latitude, longitude, geocode_confidence,
+    geocode_status); a null provider is the expected one.  A query must have one
+    candidate, and it must say what the row says.
+    """
+    said = ["latitude", "longitude", "geocode_confidence", "geocode_status"]
+    candidates = cache.groupBy(F.lower("query").alias("_q")).agg(F.count("*").alias("_n"), F.min(F.struct("provider", *said)).alias("_c"))
+    both = rows.withColumn("_q", F.lower("geocode_query")).join(candidates, "_q", "left")
+    fails = lambda test: ~F.coalesce(test, F.lit(False))
+    text = X.comparison_text(F.col("address"))
+    checks = [
+        ("geocode_address_query_mismatch", fails(text == X.comparison_text(F.col("geocode_query")))),
+        ("geocode_multiple_cached_candidates", F.col("_n") > 1),
+        ("geocode_cache_evidence_missing", F.col("_n").isNull()),
+        ("geocode_provider_mismatch", F.lower(F.coalesce("_c.provider", F.lit(provider))) != provider),
+        ("geocode_cache_result_mismatch", ~F.struct(*said).eqNullSafe(F.struct(*(F.col(f"_c.{x}").alias(x) for x in said)))),
+        ("geocode_outside_bounds", fails(F.col("latitude").between(*latitudes) & F.col("longitude").between(*longitudes))),
+        ("geocode_confidence_below_threshold", fails(F.col("geocode_confidence") >= least)),
+        ("geocode_status_not_ok", fails(F.lower("geocode_status") == "ok")),
+        ("geocode_property_precision_required", fails(F.lower("geocode_result_type") == "building")),
+        ("geocode_full_match_required", fails(F.lower("geocode_match_type") == "full_match")),
+    ]
+    reason = F.coalesce(*(F.when(failed, F.lit(name)) for name, failed in checks), F.lit("cached_geocode_verified"))
+    return both.select(*rows.columns, reason.alias("reason"))
+
+
+def property_conflicts(rows: DataFrame) -> DataFrame:
+    """(conflict, place, n) of rows (latitude, longitude, address, unit): likely repeats of a property.
+
+    One coordinate, to six decimals, with several addresses; one address of
+    which some rows have a unit and others none.
+    """
+    micro = lambda c: F.floor(F.col(c) * 1e6 + 0.5).cast("long").cast("string")
+    places = rows.where("latitude is not null and longitude is not null").groupBy(F.concat_ws(",", micro("latitude"), micro("longitude")).alias("place"))
+    several = places.agg(F.countDistinct("address").alias("n")).where("n > 1").select(F.lit("several_addresses").alias("conflict"), "place", "n")
+    units = rows.where("address is not null").groupBy(F.col("address").alias("place")).agg(F.countDistinct("unit").alias("n"), F.bool_or(F.col("unit").isNull()).alias("_none"))
+    return several.unionByName(units.where("_none and n > 0").select(F.lit("unit_presence_differs").alias("conflict"), "place", "n"))
+
+
+def review_index(issues: DataFrame, key: str, block: int = 10_000) -> DataFrame:
+    """(category, field, block, n, ids): the ids of each kind of issue, a row for each block of ids so that no list grows with the data."""
+    by = issues.groupBy("category", "field", F.floor(F.col(key) / block).alias("block"))
+    return by.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("ids"))
+
+
 def identity_violations(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, problem): keys that are missing on a side or occur more than once."""
     a, b = left.groupBy(key).agg(F.count("*").alias("_a")), right.groupBy(key).agg(F.count("*").alias("_b"))

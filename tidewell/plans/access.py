@@ -146,7 +146,7 @@ def upsert_profile_identity(spark, sf_dir):
     return A.profile_upsert(half(F.col("calculated_at") < cut), half(F.col("calculated_at") >= cut), ["property_id", "travel_mode"], ["d"])
 
 
-_PAIRS = "SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'walking' WHEN 1 THEN 'cycling' ELSE 'transit' END AS mode, CASE WHEN l_suppkey % 9 <> 0 THEN CAST(l_quantity * 60 AS INT) END AS a, CASE WHEN l_suppkey % 7 <> 0 THEN CAST(l_quantity * 60 + l_partkey % 500 AS INT) END AS b, CAST(l_partkey % 700 AS DOUBLE) AS snap FROM lineitem"
+_PAIRS = "SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'walking' WHEN 1 THEN 'cycling' ELSE 'transit' END AS mode, CASE WHEN l_suppkey % 9 <> 0 THEN CAST(l_quantity * 60 AS INT) END AS a, CASE WHEN l_suppkey % 7 <> 0 THEN CAST(l_quantity * 60 + l_partkey % 500 AS INT) END AS b, CAST(l_partkey % 700 AS DOUBLE) AS snap, CAST(l_orderkey % 4 AS INT) AS transfers, CAST(l_quantity * 20 AS INT) AS walking FROM lineitem"
 
 
 def _pairs(spark, sf_dir):
@@ -161,9 +161,9 @@ def agg_parity_confusion(spark, sf_dir):
     return A.parity(_pairs(spark, sf_dir), ["mode"], "a", "b")
 
 
-@query("agg_period_validation", f"SELECT CAST(l_orderkey % 6 AS BIGINT) AS period, {_PARITY} FROM ({_PAIRS}) GROUP BY 1")
+@query("agg_period_validation", f"SELECT CAST(l_orderkey % 6 AS BIGINT) AS period, {_PARITY}, count(*) FILTER (b IS NOT NULL AND transfers > 0) AS with_transfers, count(*) FILTER (b IS NOT NULL AND walking > 900) AS long_walks FROM ({_PAIRS}) GROUP BY 1")
 def agg_period_validation(spark, sf_dir):
-    return A.parity(_pairs(spark, sf_dir).withColumn("period", F.col("l_orderkey") % 6), ["period"], "a", "b")
+    return A.period_validation(_pairs(spark, sf_dir).withColumn("period", F.col("l_orderkey") % 6), "period")
 
 
 @query("agg_correlation", f"SELECT mode, round(corr(snap, abs(a - b)), 6) AS r FROM ({_PAIRS}) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1")
@@ -184,10 +184,11 @@ def _sweep(spark, sf_dir):
 query("agg_threshold_sweep", _SWEEP)(_sweep)
 
 
-@query("cls_contract_gate", f"SELECT mode, threshold, CASE WHEN both_n < 30 THEN 'too_few_pairs' WHEN only_left + only_right > 0 THEN 'one_sided' WHEN p90_error > 5 THEN 'error_too_large' ELSE 'accepted' END AS gate FROM (SELECT *, \"both\" AS both_n FROM ({_SWEEP}))")
+@query("cls_contract_gate", f"SELECT mode, threshold, CASE WHEN both_n < 30 THEN 'too_few_pairs' WHEN only_left + only_right > 0 THEN 'one_sided' WHEN p90_error > 5 THEN 'error_too_large' WHEN 100 * kept < 80 * total THEN 'too_little_coverage' ELSE 'accepted' END AS gate FROM (SELECT *, \"both\" AS both_n FROM ({_SWEEP})) JOIN (SELECT mode, count(*) AS total FROM ({_PAIRS}) GROUP BY 1) USING (mode)")
 def cls_contract_gate(spark, sf_dir):
-    gate = F.when(F.col("both") < 30, "too_few_pairs").when(F.col("only_left") + F.col("only_right") > 0, "one_sided").when(F.col("p90_error") > 5, "error_too_large").otherwise("accepted")
-    return _sweep(spark, sf_dir).select("mode", "threshold", gate.alias("gate"))
+    totals = _pairs(spark, sf_dir).groupBy("mode").agg(F.count("*").alias("total"))
+    rows = _sweep(spark, sf_dir).join(totals, "mode")
+    return rows.select("mode", "threshold", A.contract_gate(F.col("both"), F.col("only_left") + F.col("only_right"), F.col("p90_error"), F.col("kept"), F.col("total")).alias("gate"))
 
 
 @query("join_cross_workunits", "SELECT p_partkey AS property_id, h AS hotspot_id, m AS travel_mode, t AS time_period FROM part, (VALUES ('hub'), ('mall')) a(h), (VALUES ('walking', NULL), ('cycling', NULL), ('transit', 'am'), ('transit', 'pm')) b(m, t)")

@@ -17,6 +17,15 @@ FRAMES["rebuilt"] = """
       CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey % 6 AS INT) ELSE 2 END AS bedrooms,
       CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'apartment' WHEN '2' THEN 'house' WHEN '3' THEN 'townhouse' WHEN '5' THEN 'Apartment_To_Share' END AS housing_type
     FROM orders WHERE o_orderkey % 29 <> 0"""
+# the semantic fields as a later parser reads them
+FRAMES["reparsed"] = """
+    SELECT o_orderkey AS listing_id, CASE o_orderkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'any' WHEN 2 THEN ' ' END AS preferred_gender,
+      CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'apartment' WHEN '2' THEN 'house' WHEN '3' THEN 'townhouse' WHEN '5' THEN 'apartment_to_share' END AS housing_type,
+      o_orderkey % 3 = 0 AS utilities_included, CASE WHEN o_orderkey % 5 < 2 THEN true END AS furnished,
+      CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN false END AS is_sublet, CASE o_orderkey % 5 WHEN 0 THEN 'summer' WHEN 2 THEN 'non_summer' WHEN 3 THEN 'fall' END AS availability_category,
+      CASE o_orderkey % 5 WHEN 0 THEN 'fixed' WHEN 1 THEN 'monthly' WHEN 2 THEN 'sublet' WHEN 3 THEN 'fixed' END AS lease_type,
+      CASE WHEN o_orderkey % 19 <> 0 THEN CAST(floor(o_totalprice / 40) AS DOUBLE) END AS price_monthly
+    FROM orders WHERE o_orderkey % 29 <> 0"""
 FRAMES["inferred"] = """
     SELECT doc_id, quality, toxic, CASE doc_id % 4 WHEN 0 THEN 'the' WHEN 1 THEN '' WHEN 2 THEN 'qqq' END AS evidence FROM labels"""
 FRAMES["stages"] = """
@@ -114,10 +123,24 @@ def candidate_run_compare(spark, sf_dir):
     return _diff(spark, sf_dir).groupBy("change").agg(F.count("*").alias("n"), F.countDistinct("listing_id").alias("listings"))
 
 
-@query("agg_scope_profile_counts", """WITH o AS (SELECT 'housing_type' AS field, coalesce(housing_type, 'unknown') AS value FROM listings UNION ALL SELECT 'bedrooms', coalesce(CAST(bedrooms AS VARCHAR), 'unknown') FROM listings), n AS (SELECT 'housing_type' AS field, coalesce(housing_type, 'unknown') AS value FROM rebuilt UNION ALL SELECT 'bedrooms', coalesce(CAST(bedrooms AS VARCHAR), 'unknown') FROM rebuilt)
-  SELECT coalesce(a.field, b.field) AS field, coalesce(a.value, b.value) AS value, coalesce(a.n, 0) AS n_old, coalesce(b.n, 0) AS n_new FROM (SELECT field, value, count(*) AS n FROM o GROUP BY 1, 2) a FULL JOIN (SELECT field, value, count(*) AS n FROM n GROUP BY 1, 2) b ON a.field = b.field AND a.value = b.value""")
+# the fields whose labels are counted, and three that follow from others
+_SEMANTIC = ("preferred_gender", "housing_type", "utilities_status", "utilities_included", "furnished", "is_sublet", "availability_category", "lease_type", "lease_term_months", "price_period", "price_monthly")
+_FOLLOWING = {
+    "utilities_status": "CASE WHEN utilities_included THEN 'included' WHEN NOT utilities_included THEN 'extra' END",
+    "lease_term_months": "CASE lower(lease_type) WHEN 'fixed' THEN 12 WHEN 'sublet' THEN 4 WHEN 'monthly' THEN 1 END",
+    "price_period": "CASE WHEN price_monthly IS NOT NULL THEN 'month' END",
+}
+
+
+def _label_sql(table: str) -> str:
+    each = " UNION ALL ".join(f"SELECT '{f}' AS field, coalesce(nullif(trim(CAST({_FOLLOWING.get(f, f)} AS VARCHAR)), ''), '<unknown>') AS value FROM {table}" for f in _SEMANTIC)
+    return f"SELECT field, value, count(*) AS n FROM ({each}) GROUP BY 1, 2"
+
+
+@query("agg_scope_profile_counts", f"SELECT coalesce(a.field, b.field) AS field, coalesce(a.value, b.value) AS value, coalesce(a.n, 0) AS n_old, coalesce(b.n, 0) AS n_new FROM ({_label_sql('listings')}) a FULL JOIN ({_label_sql('reparsed')}) b ON a.field = b.field AND a.value = b.value")
 def agg_scope_profile_counts(spark, sf_dir):
-    return Q.label_counts(_listings(spark, sf_dir), frame(spark, sf_dir, "rebuilt"), ["housing_type", "bedrooms"])
+    old, new = (frame(spark, sf_dir, n).withColumns({f: F.expr(x) for f, x in _FOLLOWING.items()}) for n in ("listings", "reparsed"))
+    return Q.label_counts(old, new, _SEMANTIC)
 
 
 @query("join_identity_checked", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'only_right' WHEN b.id IS NULL THEN 'only_left' WHEN a.n > 1 OR b.n > 1 THEN 'repeated' END AS problem FROM (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT c_custkey AS id, 1 AS n FROM customer WHERE c_custkey % 4 <> 0) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.n > 1")
@@ -143,9 +166,19 @@ def _cached(spark, sf_dir):
     return rows.join(cache, "address", "left").withColumn("result", result)
 
 
-@query("join_cached_compatible", f"SELECT l.listing_id, {_CACHED} AS result FROM listings l LEFT JOIN ({_CACHE}) c ON c.address = l.address")
+# geocodes of an earlier run: some listings are new since, some moved to another URL, some have another address
+_EARLIER = """SELECT listing_id, concat('https://host/', source_listing_id, CASE WHEN listing_id % 29 = 0 THEN '?old' ELSE '' END) AS listing_url,
+  CASE WHEN property_id % 11 = 0 THEN concat(lower(address), ', ontario') ELSE lower(address) END AS geocode_query, CASE WHEN latitude IS NULL THEN 'missing_address' ELSE 'ok' END AS geocode_status, latitude FROM listings WHERE last_seen_at < DATE '1997-01-01'"""
+
+
+@query("join_cached_compatible", f"""SELECT l.listing_id, r.decision, CASE WHEN r.decision = 'reused' THEN r.latitude END AS latitude FROM listings l JOIN (
+  SELECT l.listing_id, CASE WHEN e.listing_id IS NULL THEN 'rejected: not cached' WHEN concat('https://host/', l.source_listing_id) <> e.listing_url THEN 'rejected: source URL' WHEN lower(l.address) <> e.geocode_query THEN 'rejected: normalized address' WHEN e.geocode_status = 'missing_address' THEN 'missing' ELSE 'reused' END AS decision, e.latitude
+  FROM listings l LEFT JOIN ({_EARLIER}) e ON e.listing_id = l.listing_id) r ON r.listing_id = l.listing_id""")
 def join_cached_compatible(spark, sf_dir):
-    return _cached(spark, sf_dir).select("listing_id", "result")
+    rows = _listings(spark, sf_dir)
+    earlier = spark.sql(_EARLIER.replace("FROM listings", "FROM {rows}"), rows=rows)
+    now = rows.select("listing_id", F.concat(F.lit("https://host/"), "source_listing_id").alias("listing_url"), "address")
+    return Q.reuse_geocodes(now, earlier, "listing_id", ["latitude"]).select("listing_id", "decision", "latitude")
 
 
 @query("cls_cache_refresh", f"SELECT {_CACHED} AS result, count(*) AS n FROM listings l LEFT JOIN ({_CACHE}) c ON c.address = l.address GROUP BY 1")
@@ -158,9 +191,21 @@ def recovered_address_geocode(spark, sf_dir):
     return _cached(spark, sf_dir).where("result = 'miss'").select("address").distinct().orderBy("address").limit(100)
 
 
-@query("cls_geocode_resolution", f"SELECT l.listing_id, {_CACHED} = 'hit' AND NOT coalesce(distance_km > 15, true) AS accepted FROM listings l LEFT JOIN ({_CACHE}) c ON c.address = l.address")
+# what the geocoder said of each listing, and the cache by query
+_GEOCODED = """SELECT listing_id, address, CASE WHEN listing_id % 12 = 0 THEN 'elsewhere' ELSE lower(address) END AS geocode_query, latitude, longitude, geocode_confidence, CASE WHEN listing_id % 14 = 0 THEN 'error' ELSE 'ok' END AS geocode_status,
+  CASE WHEN bedrooms IS NULL THEN 'street' ELSE 'building' END AS geocode_result_type, CASE WHEN rental_structure IS NULL THEN 'inner_part' ELSE 'full_match' END AS geocode_match_type FROM listings"""
+_CANDIDATES = """SELECT lower(address) AS query, CASE WHEN property_id % 5 = 0 THEN 'other' END AS provider, latitude, longitude, geocode_confidence, CASE WHEN listing_id % 14 = 0 THEN 'error' ELSE 'ok' END AS geocode_status FROM listings WHERE listing_status = 'relisted'"""
+_RESOLVED = f"""SELECT g.listing_id, CASE WHEN coalesce(trim(g.address), '') = '' OR lower(g.address) <> g.geocode_query THEN 'geocode_address_query_mismatch' WHEN coalesce(c.n, 0) > 1 THEN 'geocode_multiple_cached_candidates' WHEN c.n IS NULL THEN 'geocode_cache_evidence_missing' WHEN coalesce(c.provider, 'first') <> 'first' THEN 'geocode_provider_mismatch'
+  WHEN c.latitude IS DISTINCT FROM g.latitude OR c.longitude IS DISTINCT FROM g.longitude OR c.geocode_confidence IS DISTINCT FROM g.geocode_confidence OR c.geocode_status IS DISTINCT FROM g.geocode_status THEN 'geocode_cache_result_mismatch' WHEN NOT coalesce(g.latitude BETWEEN 42.95 AND 43.08 AND g.longitude BETWEEN -81.4 AND -81.15, false) THEN 'geocode_outside_bounds'
+  WHEN NOT coalesce(g.geocode_confidence >= 0.3, false) THEN 'geocode_confidence_below_threshold' WHEN g.geocode_status <> 'ok' THEN 'geocode_status_not_ok' WHEN g.geocode_result_type <> 'building' THEN 'geocode_property_precision_required' WHEN g.geocode_match_type <> 'full_match' THEN 'geocode_full_match_required' ELSE 'cached_geocode_verified' END AS reason
+  FROM ({_GEOCODED}) g LEFT JOIN (SELECT query, count(*) AS n, min(provider) AS provider, min(latitude) AS latitude, min(longitude) AS longitude, min(geocode_confidence) AS geocode_confidence, min(geocode_status) AS geocode_status FROM ({_CANDIDATES}) GROUP BY 1) c ON c.query = g.geocode_query"""
+
+
+@query("cls_geocode_resolution", f"SELECT listing_id, reason = 'cached_geocode_verified' AS accepted, reason FROM ({_RESOLVED})")
 def cls_geocode_resolution(spark, sf_dir):
-    return _cached(spark, sf_dir).select("listing_id", ((F.col("result") == "hit") & ~F.coalesce(F.col("distance_km") > 15, F.lit(True))).alias("accepted"))
+    rows, cache = (spark.sql(x.replace("FROM listings", "FROM {rows}"), rows=_listings(spark, sf_dir)) for x in (_GEOCODED, _CANDIDATES))
+    found = Q.geocode_resolution(rows, cache, "first", (42.95, 43.08), (-81.4, -81.15), 0.3)
+    return found.select("listing_id", (F.col("reason") == "cached_geocode_verified").alias("accepted"), "reason")
 
 
 @query("agg_status_counts", "SELECT coalesce(housing_type, 'unknown') AS label, count(*) AS n FROM listings GROUP BY 1")
@@ -214,9 +259,15 @@ def agg_dependency_impact(spark, sf_dir):
     return rows.groupBy("cohort").agg(F.countDistinct("property_id").alias("properties"), F.count("*").alias("listings"), F.sum("n").alias("profiles"))
 
 
-@query("agg_coordinate_conflict", "SELECT floor(latitude * 100) AS latitude, floor(longitude * 100) AS longitude, count(DISTINCT address) AS addresses FROM listings WHERE latitude IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT address) > 1")
+_BASE = "lower(regexp_replace(address, ' Unit [0-9]+', ''))"
+_UNIT = "coalesce(nullif(regexp_extract(address, ' Unit ([0-9]+)', 1), ''), CASE WHEN rental_structure = 'room' THEN 'room ' || CAST(bedrooms AS STRING) END)"
+
+
+@query("agg_coordinate_conflict", f"""SELECT 'several_addresses' AS conflict, concat(CAST(CAST(floor(latitude * 1e6 + 0.5) AS BIGINT) AS STRING), ',', CAST(CAST(floor(longitude * 1e6 + 0.5) AS BIGINT) AS STRING)) AS place, count(DISTINCT {_BASE}) AS n FROM listings WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 2 HAVING count(DISTINCT {_BASE}) > 1
+  UNION ALL SELECT 'unit_presence_differs', {_BASE}, count(DISTINCT {_UNIT}) FROM listings GROUP BY 2 HAVING bool_or({_UNIT} IS NULL) AND bool_or({_UNIT} IS NOT NULL)""")
 def agg_coordinate_conflict(spark, sf_dir):
-    return _listings(spark, sf_dir).where("latitude is not null").groupBy(*(F.floor(F.col(c) * 100).cast("double").alias(c) for c in ("latitude", "longitude"))).agg(F.countDistinct("address").alias("addresses")).where("addresses > 1")
+    rows = _listings(spark, sf_dir).select("latitude", "longitude", F.expr(_BASE).alias("address"), F.expr(_UNIT).alias("unit"))
+    return Q.property_conflicts(rows)
 
 
 _ISSUES = "SELECT listing_id, 'missing' AS category, 'price' AS field, 'null' AS reason FROM listings WHERE price_monthly IS NULL UNION ALL SELECT listing_id, 'missing', 'bedrooms', 'null' FROM listings WHERE bedrooms IS NULL UNION ALL SELECT listing_id, 'geocode', 'latitude', 'low_confidence' FROM listings WHERE geocode_confidence < 0.3"
@@ -236,9 +287,9 @@ def agg_review_items(spark, sf_dir):
     return Q.review_items(_issues(spark, sf_dir), "listing_id")
 
 
-@query("agg_review_index", f"SELECT category, field, count(*) AS n, min(listing_id) AS first_id FROM ({_ISSUES}) GROUP BY 1, 2")
+@query("agg_review_index", f"SELECT category, field, CAST(floor(listing_id / 10000) AS BIGINT) AS block, count(*) AS n, string_agg(CAST(listing_id AS VARCHAR), '|' ORDER BY listing_id) AS ids FROM ({_ISSUES}) GROUP BY 1, 2, 3")
 def agg_review_index(spark, sf_dir):
-    return _issues(spark, sf_dir).groupBy("category", "field").agg(F.count("*").alias("n"), F.min("listing_id").alias("first_id"))
+    return Q.review_index(_issues(spark, sf_dir), "listing_id").withColumn("ids", F.array_join("ids", "|"))
 
 
 @query("agg_review_dashboard", f"SELECT category, count(*) AS issues, count(DISTINCT listing_id) AS listings, count(*) FILTER (listing_id % 3 = 0) AS decided FROM ({_ISSUES}) GROUP BY 1")
