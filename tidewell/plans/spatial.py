@@ -236,8 +236,7 @@ def surface_unpack(spark, sf_dir):
     return _packed(spark, sf_dir).select(F.posexplode("cells").alias("cell", "s")).select("cell", F.nullif("s", F.lit(65535)).alias("seconds"))
 
 
-@query("surface_snap_coverage", f"SELECT t AS threshold, count(*) FILTER (d <= t) AS covered, count(*) AS n FROM (SELECT place_id, min({_DIST}) AS d FROM places p, stops s GROUP BY 1), (VALUES (100), (200), (400), (600)) v(t) GROUP BY 1")
+@query("surface_snap_coverage", f"SELECT t AS threshold, count(*) FILTER (d <= t) AS covered, count(*) AS n, round(median(d), 3) AS median_snap, round(quantile_cont(d, 0.9), 3) AS p90_snap FROM (SELECT place_id, min({_DIST}) AS d FROM places p, stops s GROUP BY 1), (VALUES (100), (200), (400), (600)) v(t) GROUP BY 1")
 def surface_snap_coverage(spark, sf_dir):
     nearest = S.join_nearest(frame(spark, sf_dir, "places"), frame(spark, sf_dir, "stops"), "place_id", "stop_id", 400.0, 12800.0)
-    rows = nearest.select("distance", F.explode(F.array(*(F.lit(t) for t in (100, 200, 400, 600)))).alias("threshold"))
-    return rows.groupBy("threshold").agg(F.count_if(F.col("distance") <= F.col("threshold")).alias("covered"), F.count("*").alias("n"))
+    return S.snap_coverage(nearest, (100, 200, 400, 600))
