@@ -8,7 +8,7 @@ table, finished by an avalanche mix.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,28 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         first = end
 
 
+def runs(column: pa.Array | pa.ChunkedArray, may_begin: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As slices, but a text of over twice SLICE_BYTES comes in several runs of about that size.
+
+    A run begins where may_begin(bytes before, bytes here) is true; without such a place the run goes on.
+    """
+    for first, end, data, offs in slices(column):
+        if len(data) <= 2 * SLICE_BYTES:
+            yield first, end, data, offs
+            continue
+        at = 0  # a slice of this size is one text
+        while at < len(data):
+            to = at + SLICE_BYTES
+            while to < len(data):
+                places = np.flatnonzero(may_begin(data[to - 1 : to + 4095], data[to : to + 4096]))
+                if len(places):
+                    to += int(places[0])
+                    break
+                to += 4096
+            yield first, end, data[at:to], np.array([0, min(to, len(data)) - at])
+            at = to
+
+
 def letters(column: pa.Array | pa.ChunkedArray, context: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """(first row, end row, lower-cased code points, row offsets, lead) of bounded runs of rows.
 
@@ -113,20 +135,27 @@ def _points(data: np.ndarray) -> np.ndarray:
 
 def word_spans(data: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and each row's first word; no word crosses a row."""
-    inside = word[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
+    return mask_spans(word[data], offs)
+
+
+def mask_spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of true, and each row's first run; no run crosses a row."""
+    edge = np.zeros(len(inside) + 1, dtype=bool)
     edge[offs] = True
     start = inside.copy()
     start[1:] &= ~inside[:-1] | edge[1:-1]
-    end = inside
-    stop = np.empty_like(end)
-    stop[:-1] = end[:-1] & (~end[1:] | edge[1:-1])
-    if len(end):
-        stop[-1] = end[-1]
+    stop = inside.copy()
+    stop[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each of the spans, one after another."""
+    begin = np.cumsum(counts) - counts
+    return np.repeat(starts - begin, counts) + np.arange(int(counts.sum()))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode_ids, encode_texts, load_vocabulary
 from .durable import shared_path
 from .kneser_ney import classify_quality
 from .language_id import fit_language_model, identify_languages
@@ -14,7 +16,9 @@ from .license_scan import KNOWN, SPELLINGS, scan_licenses
 from .line_chunk_dedup import LONG_LINE, REACH, remove_repeated_chunks
 from .minhash_dedup import near_duplicates
 from .pareto_mix import mix_sources
+from .part_codes import ENTRIES, PARTS, ROUNDS, SCALE, books_digest, compress_vectors, fit_codebooks, with_label_error
 from .rule_cascade import rule_cascade
+from .spelling_groups import count_words, group_spellings
 from .url_filter import filter_urls
 from .warc_revisit import read_archives, resolve_revisits, write_archives
 from .winnow_decontam import find_leaks
@@ -249,6 +253,78 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_remo
 """
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and digests of them and of what they decode to."""
+    vocabulary = load_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = decode_ids(encode_texts(_read(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, one occurrence in 199 misspelt."""
+    return group_spellings(count_words(_read(spark, sf_dir, "documents"), typo_every=199))
+
+
+_STEPS = "c"
+for _ in range(8):  # the polynomial's step, once for each bit of a byte
+    _STEPS = f"list_transform([{_STEPS}], lambda v: xor(v >> 1, (v & 1) * 3988292384))[1]"
+_OP12 = rf"""
+WITH RECURSIVE b(b, crc) AS (SELECT b, list_transform([b], lambda c: {_STEPS})[1] FROM range(256) t(b)),
+tab AS (SELECT list(crc ORDER BY b) AS crcs FROM b),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, {_LOWER} AS t FROM documents),
+o AS (SELECT doc, w, count(*) AS n FROM (SELECT doc, unnest(regexp_extract_all(t, '[A-Za-zÀ-ÿ]+')) AS w FROM d) GROUP BY 1, 2),
+x AS (SELECT doc, w, n, hex(encode(doc || ':' || w)) AS h FROM o),
+y AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+        lambda c, v: xor(c >> 8, crcs[(xor(c, v) & 255) + 1])), 4294967295::BIGINT) AS crc FROM x, tab),
+z AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(w, 1, (crc % length(w))::BIGINT) || substr(w, (crc % length(w))::BIGINT + 2) ELSE w END AS word, n FROM y),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM z GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+c AS MATERIALIZED (SELECT DISTINCT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS e FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT l.word, r.word AS near, r.n AS near_n FROM c l JOIN c r ON l.i = r.i AND l.a = r.a AND l.e = r.e AND l.word <> r.word
+      UNION SELECT c.word, v.word, v.n FROM c JOIN v ON v.word = c.a || c.e
+      UNION SELECT v.word, c.word, c.n FROM c JOIN v ON v.word = c.a || c.e),
+m AS (SELECT word, count(*)::BIGINT AS n_near, min({{'less': -near_n, 'near': near}}) AS best FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.less >= 5 * v.n THEN best.near END AS form,
+        CASE WHEN -best.less >= 5 * v.n THEN -best.less END AS form_n FROM v LEFT JOIN m USING (word)),
+g(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, g.root FROM g JOIN f ON f.form = g.word)
+SELECT f.word, form, root, n, n_near, form_n::BIGINT AS form_n FROM f JOIN g USING (word)
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by codebooks fitted to all of them."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    model = fit_codebooks(vectors)
+    out = with_label_error(compress_vectors(vectors, model))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books_digest(model[1])).alias("codebooks_sha256"))
+
+
+def _op13() -> str:
+    near = f"""AS MATERIALIZED (SELECT rid, part, min({{{{'d': d, 'entry': entry}}}}) AS best
+      FROM (SELECT rid, c.part, entry, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM c JOIN b{{0}} b ON b.part = c.part AND b.pos = c.pos GROUP BY ALL) GROUP BY ALL)"""
+    moves = "".join(
+        f""",
+a{i} {near.format(i)},
+b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (
+      SELECT c.part, best.entry AS entry, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM c JOIN a{i} a ON a.rid = c.rid AND a.part = c.part GROUP BY ALL) m USING (part, entry, pos))"""
+        for i in range(ROUNDS)
+    )
+    return f"""
+WITH k AS (SELECT vec_id, label, embedding AS v, row_number() OVER (ORDER BY vec_id, embedding) AS rid FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c AS MATERIALIZED (SELECT rid, (i - 1) // (len(v) // {PARTS}) AS part, (i - 1) % (len(v) // {PARTS}) AS pos, floor({SCALE} * v[i]::DOUBLE)::BIGINT AS x
+      FROM (SELECT rid, v, unnest(range(1, len(v) + 1)) AS i FROM k)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, pos, x FROM c WHERE rid <= {ENTRIES}){moves},
+z {near.format(ROUNDS)},
+e AS (SELECT rid, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM z GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{ROUNDS}) AS codebooks_sha256
+FROM k JOIN e USING (rid)
+"""
+
+
+_OP13 = _op13()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -261,6 +337,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_source_mixing": op9_source_mixing,
         "op10_line_dedup": op10_line_dedup,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -274,4 +353,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_benchmark_decontamination": _OP8,
         "op9_source_mixing": _OP9,
         "op10_line_dedup": _OP10,
+        "op12_spelling_variants": _OP12,
+        "op13_vector_codes": _OP13,
     }
