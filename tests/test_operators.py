@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import geo, temporal, text
-from tidewell.operators import access, filters, history, lifecycle, quality, ranking, sorts, spatial
+from tidewell.operators import access, filters, history, lifecycle, quality, ranking, reuse, sorts, spatial
 from tidewell.streaming import lifecycle as stream
 
 
@@ -178,10 +178,42 @@ def test_fingerprint_ignores_order(spark):
     assert quality.table_fingerprint(rows, "id", ["v"]).first() != quality.table_fingerprint(rows.withColumn("v", F.upper("v")), "id", ["v"]).first()
 
 
-def test_ladder_prefers_the_lower_tier(spark):
-    candidates = spark.createDataFrame([(1, 4, 9, 5, 10, 0.5), (1, 1, 1, 6, 20, 0.5), (1, 1, 2, 4, 30, 0.5), (2, 5, 1, 7, 40, 0.6)], "request long, tier int, calculated_at int, profile_id long, duration int, confidence double")
-    got = {r.request: (r.result_type, r.profile_id) for r in access.reuse_ladder(spark.createDataFrame([(1,), (2,), (3,)], "request long"), candidates, "request").collect()}
-    assert got == {1: ("cached_exact_origin", 4), 2: ("straight_line_estimate", 7), 3: ("pending", None)}
+def test_every_tier_of_the_ladder(spark):
+    """A request for each tier; metres are by the degree of latitude, 111,195 of them."""
+    step = 1 / 111_195
+    at = datetime(2026, 1, 1)
+    ask = "request_id long, property_id long, latitude double, longitude double, nearest_stop_id string, walking_to_stop_seconds int, hotspot_id string, travel_mode string"
+    requests = spark.createDataFrame(
+        [(1, 1, 10.0, 0.0, None, None, "h", "walking"), (2, 2, 20.0, 0.0, None, None, "h", "walking"), (3, 3, 30.0, 0.0, "s", 100, "h", "transit"), (4, 4, 40.0, 0.0, None, None, "h", "cycling"), (5, 5, 50.0, 0.0, None, None, "h", "walking"),
+         (6, 6, 60.0, 0.0, None, None, "h", "walking"), (7, 7, 70.0, 0.0, "t", 5, "h", "transit"), (8, 8, None, None, None, None, "h", "walking"), (9, 9, 10.0, 0.0, None, None, "other", "walking"), (10, 1, None, None, None, None, "h", "walking")], ask)
+    have = "profile_id long, property_id long, latitude double, longitude double, nearest_stop_id string, duration int, shortest int, longest int, distance int, walking int, confidence double, to_destination int, origin_walk int, calculated_at timestamp, is_stale boolean, expires_at timestamp, hotspot_id string, travel_mode string"
+    old, new, soon = datetime(2025, 1, 1), datetime(2025, 6, 1), datetime(2026, 6, 1)
+    row = lambda i, prop, lat, mode, when=new, stale=False, until=soon, stop=None, conf=0.8, **v: (i, prop, lat, 0.0, stop, v.get("d", 500), 400, 600, 1000, v.get("w"), conf, v.get("to"), v.get("ow"), when, stale, until, "h", mode)
+    profiles = spark.createDataFrame(
+        [row(11, 1, 10.0 + 15 * step, "walking", old), row(12, 1, 10.0 + 19 * step, "walking"), row(13, 1, 10.0 + 30 * step, "walking", soon), row(14, 99, 10.0, "walking", soon),  # 13 moved too far, 14 is another's
+         row(21, 77, 20.0 + 2 * step, "walking"), row(22, 77, 20.0 + 4 * step, "walking", soon), row(23, 2, 20.0 + 25 * step, "walking", soon),
+         row(31, 70, 31.0, "transit", stop="s", to=300, ow=40, conf=0.0), row(32, 70, 31.0, "transit", soon, stop="s"), row(33, 71, 31.0, "transit", soon, True, stop="s", to=1),
+         row(41, 80, 40.0 + 100 * step, "cycling"), row(42, 81, 40.0 - 60 * step, "cycling", old, conf=None), row(43, 82, 40.0 + 50 * step, "cycling", soon, until=at), row(44, 83, 40.0 + 126 * step, "cycling", soon),
+         row(51, 5, 50.0, "walking", old, until=at), row(52, None, 50.0 + step, "walking", new, True), row(53, 5, 50.0 + 21 * step, "walking", soon, True)], have)
+    goals = spark.createDataFrame([("h", 60.0 + 1000 * step, 0.0), ("other", None, None)], "hotspot_id string, latitude double, longitude double")
+    got = {r.request_id: r for r in reuse.resolve_access(requests, profiles, goals, at, ["hotspot_id", "travel_mode"]).collect()}
+    of = lambda i, *names: tuple(got[i][n] for n in ("result_type", "profile_id", "source_profile_id", *names))
+    assert of(1) == ("cached_exact_property", 12, None) and of(10) == ("cached_exact_property", 13, None)  # without coordinates any of its own
+    assert of(2) == ("cached_exact_origin", 21, None)
+    assert of(3, "duration", "shortest", "longest", "walking", "confidence") == ("same_stop_reuse", None, 31, 400, 460, 660, 100, 0.63)
+    more = math.ceil(math.ceil(got[4].connector_metres * 1.35) / (15 * 1000 / 3600))
+    assert of(4, "duration", "distance", "confidence") == ("nearby_origin_estimate", None, 42, 500 + more, 1000 + math.ceil(got[4].connector_metres * 1.35), round(0.7 * 0.85 * (1 - 0.25 * got[4].connector_metres / 125), 3)) and abs(got[4].connector_metres - 60) < 0.1
+    assert of(5, "is_estimate") == ("stale", 52, None, False)
+    assert of(6, "duration", "distance", "confidence") == ("straight_line_estimate", None, None, 750, 1000, 0.65)
+    assert [of(i)[0] for i in (7, 8, 9)] == ["pending_provider", "unavailable", "unavailable"]
+    assert len(got) == 10
+
+
+def test_near_points_at_poles_and_date_line(spark):
+    rows = lambda *xs: spark.createDataFrame(list(xs), "latitude double, longitude double")
+    left = rows((89.9999, 0.0), (0.0, 179.9999), (None, 1.0), (0.0, 179.9999))
+    right = rows((89.9999, 180.0), (0.0, -179.9999), (0.0, 179.0), (1.0, None))
+    assert {(r.latitude, r.near_longitude) for r in reuse.near_points(left, right, 25.0).collect()} == {(89.9999, 180.0), (0.0, -179.9999)}
 
 
 def test_service_days(spark):

@@ -94,18 +94,6 @@ def stale_reason(expires_at: Column, at: Column, version: Column, current: str)
     return F.when(expires_at <= at, "expired").when(~version.eqNullSafe(F.lit(current)), "version_changed")
 
 
-def reuse_ladder(requests: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """The best reuse of each request: lowest tier, then freshest, then largest id; none gives `pending`.
-
-    candidates hold (key, tier, calculated_at, profile_id, duration, confidence)
-    of all tiers together, so the ladder is one aggregation and one join.
-    """
-    best = candidates.groupBy(key).agg(F.max_by(F.struct("tier", "profile_id", "duration", "confidence"), F.struct((-F.col("tier")).alias("t"), "calculated_at", "profile_id")).alias("b"))
-    names = F.create_map(*(F.lit(x) for i, n in enumerate(("cached_exact_property", "cached_exact_origin", "same_stop_reuse", "nearby_origin_estimate", "stale", "straight_line_estimate")) for x in (i, n)))
-    rows = requests.select(key).join(best, key, "left")
-    return rows.select(key, F.coalesce(F.try_element_at(names, F.col("b.tier")), F.lit("pending")).alias("result_type"), F.col("b.profile_id").alias("profile_id"), F.col("b.duration").alias("duration"), F.col("b.confidence").alias("confidence"))
-
-
 def profile_upsert(stored: DataFrame, new: DataFrame, identity: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One current row per identity: the new value under the stored id."""
     both = stored.select(*identity, F.col("profile_id").alias("_id"), F.struct(*fields).alias("_old")).join(new.select(*identity, F.col("profile_id").alias("_new_id"), F.struct(*fields).alias("_new")), list(identity), "full")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import access as A
+from ..operators import reuse as R
 from .frames import frame, load
 from .registry import query
 
@@ -114,22 +117,54 @@ def topk_due_refresh(spark, sf_dir):
     return frame(spark, sf_dir, "profiles").where(due).orderBy(F.asc_nulls_first("expires_at"), "profile_id", "property_id").limit(50).select("profile_id", "property_id", "expires_at")
 
 
-_CAND = """c AS (SELECT property_id AS request, CASE WHEN is_stale THEN 4 WHEN result_type = 'cached_exact_property' THEN 0 WHEN result_type = 'exact_route' THEN 1 ELSE 5 END AS tier, calculated_at, profile_id, representative_duration_seconds AS duration FROM profiles WHERE hotspot_id = 'hub' AND travel_mode = 'walking')"""
-
-
-def _candidates(spark, sf_dir):
-    rows = frame(spark, sf_dir, "profiles").where("hotspot_id = 'hub' and travel_mode = 'walking'")
-    tier = F.when(F.col("is_stale"), 4).when(F.col("result_type") == "cached_exact_property", 0).when(F.col("result_type") == "exact_route", 1).otherwise(5)
-    return rows.select(F.col("property_id").alias("request"), tier.alias("tier"), "calculated_at", "profile_id", F.col("representative_duration_seconds").alias("duration"), F.lit(0.9).alias("confidence"))
-
-
-_LADDER = f"WITH {_CAND}, b AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY tier, calculated_at DESC, profile_id DESC) AS k FROM c) SELECT p_partkey AS request, CASE tier WHEN 0 THEN 'cached_exact_property' WHEN 1 THEN 'cached_exact_origin' WHEN 4 THEN 'stale' WHEN 5 THEN 'straight_line_estimate' ELSE 'pending' END AS result_type, profile_id, duration FROM part LEFT JOIN b ON request = p_partkey AND k = 1"
+_AT = datetime(1998, 1, 1)
+_SAME = ("hotspot_id", "travel_mode", "time_period", "network_version")
+_METRES = "CASE WHEN {a}latitude + {a}longitude + {b}latitude + {b}longitude IS NOT NULL THEN 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians({b}latitude - {a}latitude) / 2), 2) + cos(radians({a}latitude)) * cos(radians({b}latitude)) * pow(sin(radians({b}longitude - {a}longitude) / 2), 2)))) END"
+_TOGETHER = " AND ".join(f"r.{c} IS NOT DISTINCT FROM f.{c}" for c in _SAME)
+_GAP = _METRES.format(a="r.", b="f.")
+_STATED = "CASE WHEN coalesce(f.confidence, 0) = 0 THEN 0.7 ELSE f.confidence END"
+#: Every request with every compatible profile, and the tier that the profile offers.
+_LADDER = f"""
+WITH r AS (SELECT q.*, o.latitude, o.longitude, o.nearest_stop_id, o.walking_to_stop_seconds FROM travel_requests q JOIN origins o USING (property_id)),
+f AS (SELECT t.*, CASE WHEN NOT unlocated THEN o.latitude + CASE WHEN moved THEN 0.0004e0 ELSE 0e0 END END AS latitude, CASE WHEN NOT unlocated THEN o.longitude END AS longitude, o.nearest_stop_id,
+        NOT is_stale AND coalesce(expires_at > TIMESTAMP '1998-01-01 00:00:00', true) AS live FROM travel_profiles t JOIN origins o ON o.property_id = t.origin_id),
+c AS (SELECT r.request_id, r.travel_mode, f.property_id IS NOT NULL AND f.property_id = r.property_id AND (r.latitude IS NULL OR coalesce({_GAP} <= 20, false)) AS own, {_GAP} AS gap,
+        r.nearest_stop_id = f.nearest_stop_id AND f.to_destination IS NOT NULL AND r.walking_to_stop_seconds IS NOT NULL AS stop, r.walking_to_stop_seconds AS walk,
+        f.profile_id, f.duration, f.shortest, f.longest, f.distance, f.walking, f.confidence, {_STATED} AS stated, f.to_destination, f.origin_walk, f.calculated_at, f.live
+      FROM r JOIN f ON {_TOGETHER} AND (f.property_id = r.property_id OR r.nearest_stop_id = f.nearest_stop_id OR abs(r.latitude - f.latitude) < 0.002)),
+t AS (SELECT *, CASE WHEN live AND own THEN 1 WHEN live AND gap <= 3 THEN 2 WHEN live AND travel_mode = 'transit' AND stop THEN 3
+        WHEN live AND travel_mode <> 'transit' AND gap <= 125 THEN 4 WHEN NOT live AND (own OR gap <= 3) THEN 5 END AS tier FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, CASE WHEN tier = 4 THEN gap END, calculated_at DESC, profile_id DESC) AS k FROM t WHERE tier IS NOT NULL),
+b AS (SELECT *, CASE travel_mode WHEN 'walking' THEN 4.8 ELSE 15.0 END * 1000 / 3600 AS speed, walk - coalesce(origin_walk, walking, 0) AS longer, ceil(gap * 1.35) AS detour FROM k WHERE k = 1),
+z AS (SELECT r.*, {_METRES.format(a="r.", b="h.")} AS straight, CASE r.travel_mode WHEN 'walking' THEN 4.8 WHEN 'cycling' THEN 15.0 END * 1000 / 3600 AS pace FROM r LEFT JOIN hotspots h USING (hotspot_id))
+SELECT z.request_id, z.property_id, z.hotspot_id, z.travel_mode, z.time_period, z.network_version,
+  CASE tier WHEN 1 THEN 'cached_exact_property' WHEN 2 THEN 'cached_exact_origin' WHEN 3 THEN 'same_stop_reuse' WHEN 4 THEN 'nearby_origin_estimate' WHEN 5 THEN 'stale'
+    ELSE CASE WHEN straight IS NULL THEN 'unavailable' WHEN pace IS NULL THEN 'pending_provider' ELSE 'straight_line_estimate' END END AS result_type,
+  coalesce(tier IN (3, 4), straight IS NOT NULL AND pace IS NOT NULL) AS is_estimate,
+  CASE WHEN tier IN (1, 2, 5) THEN profile_id END AS profile_id, CASE WHEN tier IN (3, 4) THEN profile_id END AS source_profile_id,
+  CAST(CASE WHEN tier IS NULL THEN round(straight / pace) WHEN tier = 3 THEN walk + to_destination WHEN tier = 4 THEN duration + ceil(detour / speed) ELSE duration END AS BIGINT) AS duration,
+  CAST(CASE tier WHEN 3 THEN CASE WHEN shortest IS NOT NULL THEN greatest(0, shortest + longer) END WHEN 4 THEN shortest + ceil(detour / speed) ELSE shortest END AS BIGINT) AS shortest,
+  CAST(CASE tier WHEN 3 THEN CASE WHEN longest IS NOT NULL THEN greatest(0, longest + longer) END WHEN 4 THEN longest + ceil(detour / speed) ELSE longest END AS BIGINT) AS longest,
+  CAST(CASE WHEN tier IS NULL THEN CASE WHEN pace IS NOT NULL THEN round(straight) END WHEN tier = 4 THEN distance + detour ELSE distance END AS BIGINT) AS distance,
+  CAST(CASE WHEN tier IS NULL THEN CASE WHEN z.travel_mode = 'walking' THEN round(straight / pace) END WHEN tier = 3 THEN walk ELSE walking END AS BIGINT) AS walking,
+  CASE WHEN tier IS NULL THEN CASE WHEN straight IS NOT NULL AND pace IS NOT NULL THEN 0.65 END WHEN tier = 3 THEN round(stated * 0.9, 3) WHEN tier = 4 THEN round(stated * 0.85 * (1 - 0.25 * gap / 125), 3) ELSE confidence END AS confidence,
+  CASE WHEN tier = 4 THEN gap END AS connector_metres
+FROM z LEFT JOIN b USING (request_id)
+"""
+
+
+def _travel(spark, sf_dir):
+    """(requests, profiles, destinations) of the ladder."""
+    origins = frame(spark, sf_dir, "origins")
+    requests = frame(spark, sf_dir, "travel_requests").join(origins, "property_id")
+    place = origins.select(F.col("property_id").alias("origin_id"), "latitude", "longitude", "nearest_stop_id")
+    at = {"latitude": F.when(~F.col("unlocated"), F.col("latitude") + F.when(F.col("moved"), 0.0004).otherwise(0.0)), "longitude": F.when(~F.col("unlocated"), F.col("longitude"))}
+    return requests, frame(spark, sf_dir, "travel_profiles").join(place, "origin_id").withColumns(at), frame(spark, sf_dir, "hotspots")
 
 
 @query("access_reuse_ladder", _LADDER)
 def access_reuse_ladder(spark, sf_dir):
-    requests = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("request"))
-    return A.reuse_ladder(requests, _candidates(spark, sf_dir), "request").select("request", "result_type", "profile_id", "duration")
+    return R.resolve_access(*_travel(spark, sf_dir), _AT, _SAME)
 
 
 @query("sink_reuse_audit", f"SELECT result_type, count(*) AS n FROM ({_LADDER}) GROUP BY 1")

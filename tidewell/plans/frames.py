@@ -75,6 +75,47 @@ FRAMES = {
           CASE l_orderkey % 3 WHEN 0 THEN 'n1' WHEN 1 THEN 'n2' END AS network_version, CASE l_orderkey % 2 WHEN 0 THEN 's1' END AS schedule_version,
           l_orderkey % 7 = 0 AS is_stale, l_shipdate AS calculated_at, CASE WHEN l_orderkey % 6 <> 0 THEN l_shipdate + INTERVAL '180' DAY END AS expires_at
         FROM lineitem""",
+    # pages of listings as a site would serve them: markup in scripts and comments, tags left open, references, a value left out
+    "listing_pages": """
+        SELECT o_orderkey AS listing_id, concat('https://homes.example/rent/', CAST(o_orderkey AS STRING), '?from=list') AS url,
+          concat('<!DOCTYPE html><HTML lang="en-CA"><head><meta property="og:image" content="/media/', CAST(o_orderkey AS STRING), '/cover-photo.jpg"><title>Listing ', CAST(o_orderkey AS STRING), ' &amp; more</title>',
+            '<style>@import url(/media/style.jpg); </p> <h3></style><script>var t="</p><h3>Housing Type</h3><p>castle</p>";</script></head><body><nav><a href="/home"><img src="/media/site-logo.png" alt="home"></a></nav>',
+            '<!-- <h2>1 Old Road $1</h2><h3>Bedroom(s)</h3><p>99</p> --><h2>', CAST(o_custkey AS STRING), ' King &amp; Queen Street <b>', CASE WHEN o_orderkey % 17 <> 0 THEN concat('$', CAST(CAST(floor(o_totalprice / 40) AS BIGINT) AS STRING)) ELSE 'ask' END, '</b> View Map</h2>',
+            '<h3>Housing&nbsp;Type</h3><p>', CASE WHEN o_orderkey % 5 <> 0 THEN concat(lower(o_orderpriority), ' <i>home</i>') ELSE '' END, '<h3>Bedroom(s)</h3><div class=v><span>', CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey % 6 AS STRING) ELSE ' ' END, '</span></div>',
+            '<h3>Lease Term</h3><p> ', CAST(o_orderkey % 12 + 1 AS STRING), '  months </p><p>from May', CASE WHEN o_orderkey % 2 = 0 THEN '<h3>Lease Term</h3><p>none' ELSE '' END,
+            '<h3>Tenant Type</h3><p>Any</p><p>Bright &lt;corner&gt; room ', CAST(o_orderkey AS STRING), '<br>near <a href="map.png">transit</a></p>',
+            CASE WHEN o_orderkey % 3 <> 0 THEN concat('<h3>Amenities</h3><ul><li>wifi<li>gym<li>wifi', CASE WHEN o_orderkey % 2 = 0 THEN '<li>parking' ELSE '' END, '</ul>') ELSE '' END,
+            '<h3>Contact Landlord</h3><p>Your contact is</p><p>Ann O&#39;Neil ', CAST(o_custkey AS STRING), '</p><p>Call: 519-555-', CAST(1000 + o_custkey % 9000 AS STRING), '</p>',
+            '<img src="/media/', CAST(o_orderkey AS STRING), '/photo1.jpg?w=9" data-src=/media/', CAST(o_orderkey AS STRING), '/photo2.jpg srcset="/media/', CAST(o_orderkey AS STRING), '/photo1-thumb.jpg 320w, //cdn.example/', CAST(o_orderkey AS STRING), '/photo3.webp 2x">',
+            '<div style="background: url( gallery4.png )"></div>', CASE WHEN o_orderkey % 7 <> 0 THEN '<footer>&copy; homes</footer></body></html>' ELSE '<foot' END) AS html
+        FROM orders""",
+    # origins of travel: four customers to a building, its door 2, 13 or 78 m away; a stop for twelve
+    "origins": """
+        SELECT c_custkey AS property_id,
+          CASE WHEN c_custkey % 19 <> 0 THEN 42.9e0 + (CAST(floor(c_custkey / 4) AS BIGINT) * 7919 % 2000) / 10000e0 + CASE c_custkey % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 0.00002e0 WHEN 2 THEN 0.00012e0 ELSE 0.0007e0 END END AS latitude,
+          CASE WHEN c_custkey % 19 <> 0 THEN -81.4e0 + (CAST(floor(c_custkey / 4) AS BIGINT) * 10473 % 3000) / 10000e0 END AS longitude,
+          CASE WHEN c_custkey % 10 <> 0 THEN concat('s', CAST(CAST(floor(c_custkey / 12) AS BIGINT) AS STRING)) END AS nearest_stop_id,
+          CASE WHEN c_custkey % 11 <> 0 THEN 60 + c_custkey % 7 * 30 END AS walking_to_stop_seconds
+        FROM customer""",
+    # destinations, one of unknown place
+    "hotspots": "SELECT concat('h', CAST(r_regionkey AS STRING)) AS hotspot_id, CASE WHEN r_regionkey <> 4 THEN 42.95e0 + r_regionkey / 50e0 END AS latitude, CASE WHEN r_regionkey <> 4 THEN -81.3e0 + r_regionkey / 40e0 END AS longitude FROM region",
+    # every origin to every destination by every mode
+    "travel_requests": """
+        SELECT c_custkey * 100 + r_regionkey * 10 + m AS request_id, c_custkey AS property_id, concat('h', CAST(r_regionkey AS STRING)) AS hotspot_id,
+          CASE m WHEN 0 THEN 'walking' WHEN 1 THEN 'cycling' ELSE 'transit' END AS travel_mode, CASE m WHEN 2 THEN 'weekday_morning_commute' END AS time_period, 'n1' AS network_version
+        FROM customer CROSS JOIN region CROSS JOIN (VALUES (0), (1), (2)) modes(m)""",
+    # stored profiles of those origins: one order each, some calculated when the door was elsewhere
+    "travel_profiles": """
+        SELECT o_orderkey AS profile_id, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey END AS property_id, o_custkey AS origin_id, o_orderkey % 9 = 0 AS moved, o_orderkey % 31 = 0 AS unlocated,
+          concat('h', CAST(CAST(floor(o_orderkey / 3) AS BIGINT) % 5 AS STRING)) AS hotspot_id,
+          CASE o_orderkey % 3 WHEN 0 THEN 'walking' WHEN 1 THEN 'cycling' ELSE 'transit' END AS travel_mode, CASE o_orderkey % 3 WHEN 2 THEN 'weekday_morning_commute' END AS time_period,
+          CASE WHEN o_orderkey % 10 = 1 THEN 'n0' ELSE 'n1' END AS network_version,
+          CASE WHEN o_orderkey % 13 <> 0 THEN 300 + o_orderkey % 1500 END AS duration, CASE WHEN o_orderkey % 13 <> 0 THEN 30 + o_orderkey % 1500 END AS shortest, CASE WHEN o_orderkey % 13 <> 0 THEN 420 + o_orderkey % 1500 END AS longest,
+          1000 + o_orderkey % 5000 AS distance, CASE WHEN o_orderkey % 3 = 2 THEN 90 + o_orderkey % 200 END AS walking,
+          CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0e0 ELSE (50 + o_orderkey % 50) / 100e0 END AS confidence,
+          CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 7 <> 0 THEN 200 + o_orderkey % 900 END AS to_destination, CASE WHEN o_orderkey % 4 <> 0 THEN 45 + o_orderkey % 100 END AS origin_walk,
+          o_orderdate AS calculated_at, o_orderkey % 7 = 0 AS is_stale, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate + INTERVAL '1500' DAY END AS expires_at
+        FROM orders""",
     # places on a plane of metres: parts and customers
     "stops": "SELECT s_suppkey AS stop_id, CAST(s_suppkey * 7919 % 10007 AS DOUBLE) AS x, CAST(s_suppkey * 10473 % 10009 AS DOUBLE) AS y FROM supplier",
     "places": "SELECT c_custkey AS place_id, CAST(c_custkey * 5231 % 10007 AS DOUBLE) AS x, CAST(c_custkey * 8929 % 10009 AS DOUBLE) AS y FROM customer",

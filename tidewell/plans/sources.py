@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import lifecycle as L
-from ..operators.sorts import top_per_key
 from ..sources import readers as S
 from ..sources.scratch import scratch_path
 from .frames import frame, load
@@ -93,53 +92,6 @@ def extract_page_links(spark, sf_dir):
     return rows.select("page_id", S.absolute(F.col("url"), F.col("target")).alias("link")).distinct()
 
 
-@query("extract_detail_pairs", "SELECT page_id, label, min(target) AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS label, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS target FROM pages) GROUP BY 1, 2")
-def extract_detail_pairs(spark, sf_dir):
-    pattern = F.lit('<a href="([^"]*)">([^<]*)</a>')
-    pairs = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(2)).alias("label"), F.regexp_extract_all("html", pattern, F.lit(1)).alias("target"))
-    rows = load(spark, sf_dir, "pages").select("page_id", F.explode(pairs).alias("p")).select("page_id", F.col("p")["label"].alias("label"), F.col("p")["target"].alias("target"))
-    return rows.groupBy("page_id", "label").agg(F.min("target").alias("target"))
-
-
-@query("extract_page_fields", """SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS language,
-  nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS heading, len(regexp_extract_all(html, '<a ')) AS links FROM pages""")
-def extract_page_fields(spark, sf_dir):
-    rows = load(spark, sf_dir, "pages").select("page_id", S.page_fields(F.col("html")).alias("f"))
-    return rows.select("page_id", "f.title", "f.language", "f.heading", F.col("f.links").cast("long").alias("links"))
-
-
-_IMG = "SELECT page_id, source, pos, 'https://img.example/' || CAST(page_id % 40 AS VARCHAR) || '/photo' || CAST(pos AS VARCHAR) || CASE WHEN pos % 2 = 0 THEN '-thumb' ELSE '' END || '.jpg?w=9' AS url FROM pages, (VALUES ('meta', 0), ('img', 1), ('img', 2), ('css', 3)) v(source, pos)"
-
-
-def _images(spark, sf_dir):
-    """Image candidates of a page: a link of each kind per page, as landed by the crawler."""
-    kinds = F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.lit(p).alias("pos")) for s, p in (("meta", 0), ("img", 1), ("img", 2), ("css", 3)))))
-    rows = load(spark, sf_dir, "pages").select("page_id", kinds.alias("k")).select("page_id", "k.*")
-    tail = F.when(F.col("pos") % 2 == 0, "-thumb").otherwise("")
-    return rows.withColumn("url", F.concat(F.lit("https://img.example/"), (F.col("page_id") % 40).cast("string"), F.lit("/photo"), F.col("pos").cast("string"), tail, F.lit(".jpg?w=9")))
-
-
-@query("extract_image_candidates", f"SELECT page_id, source, pos, url, regexp_replace(regexp_extract(url, '/([^/]*)$', 1), '(-thumb)?\\.jpg\\?w=9', '.jpg') AS image_key FROM ({_IMG})")
-def extract_image_candidates(spark, sf_dir):
-    return _images(spark, sf_dir).where(X.is_image_url(F.col("url"))).select("page_id", "source", "pos", "url", X.image_key(F.col("url")).alias("image_key"))
-
-
-query("fn_image_url", f"SELECT page_id, pos, regexp_replace(regexp_extract(url, '/([^/]*)$', 1), '(-thumb)?\\.jpg\\?w=9', '.jpg') AS image_key FROM ({_IMG})")(lambda spark, sf_dir: extract_image_candidates(spark, sf_dir).select("page_id", "pos", "image_key"))
-_SC = "CASE source WHEN 'meta' THEN 30 WHEN 'img' THEN 15 ELSE 5 END + 20 - CASE WHEN pos % 2 = 0 THEN 15 ELSE 0 END + 5 - pos"
-
-
-@query("fn_image_score", f"SELECT page_id, pos, {_SC} AS score FROM ({_IMG})")
-def fn_image_score(spark, sf_dir):
-    return _images(spark, sf_dir).select("page_id", "pos", X.image_score(F.col("url"), F.col("source"), F.col("pos")).alias("score"))
-
-
-@query("topk_image_gallery", f"SELECT page_id, pos FROM (SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY {_SC} DESC, pos) AS k FROM ({_IMG})) WHERE k <= 2")
-def topk_image_gallery(spark, sf_dir):
-    rows = _images(spark, sf_dir).withColumns({"score": X.image_score(F.col("url"), F.col("source"), F.col("pos")), "image_key": X.image_key(F.col("url"))})
-    unique = top_per_key(rows, ["page_id", "image_key"], [F.desc("score"), F.col("pos")], 1)
-    return top_per_key(unique, ["page_id"], [F.desc("score"), F.col("pos")], 2).select("page_id", "pos")
-
-
 @query("scan_reviewed_inputs", "SELECT listing_id, problem FROM (SELECT listing_id, 'price' AS problem FROM listings WHERE NOT coalesce(price_monthly > 100, false) UNION ALL SELECT listing_id, 'bounds' FROM listings WHERE NOT coalesce(latitude BETWEEN 42 AND 44, false) UNION ALL SELECT listing_id, 'status' FROM listings WHERE listing_status <> 'active')")
 def scan_reviewed_inputs(spark, sf_dir):
     checks = {"price": F.col("price_monthly") > 100, "bounds": F.col("latitude").between(42, 44), "status": F.col("listing_status") == "active"}

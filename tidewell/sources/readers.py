@@ -81,18 +81,6 @@ def absolute(url: Column, target: Column) -> Column:
     return F.when(target.startswith("/"), F.concat(F.regexp_extract(url, r"^([a-z]+://[^/?#]*)", 1), target)).otherwise(target)
 
 
-def page_fields(html: Column) -> Column:
-    """(title, heading, language, first paragraph, links) of a page as a struct; absent parts are null."""
-    part = lambda pattern: F.nullif(X.collapse(F.regexp_replace(F.regexp_extract(html, pattern, 1), "<[^>]*>", " ")), F.lit(""))
-    return F.struct(
-        part(r"(?s)<title>(.*?)</title>").alias("title"),
-        part(r"(?s)<h1>(.*?)</h1>").alias("heading"),
-        part(r'<html lang="([a-z]+)"').alias("language"),
-        part(r"(?s)<p>(.*?)(?:</p>|<p>|<br>)").alias("paragraph"),
-        F.regexp_count(html, F.lit("<a ")).alias("links"),
-    )
-
-
 def violations(rows: DataFrame, key: str, checks: Mapping[str, Column]) -> DataFrame:
     """(key, problem): a row for each check that a row fails; a null result fails."""
     found = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items())), lambda x: x.isNotNull())
