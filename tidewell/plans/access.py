@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import access as A
 from ..operators import reuse as R
+from ..sources.scratch import scratch_path, settled
+from ..sources.versions import VersionedTable
 from .frames import frame, load
 from .registry import query
 
@@ -167,9 +171,17 @@ def access_reuse_ladder(spark, sf_dir):
     return R.resolve_access(*_travel(spark, sf_dir), _AT, _SAME)
 
 
-@query("sink_reuse_audit", f"SELECT result_type, count(*) AS n FROM ({_LADDER}) GROUP BY 1")
+@query("sink_reuse_audit", f"SELECT attempt, status, result_type, is_estimate, count(*) AS n FROM ({_LADDER}) JOIN (VALUES (1, 'appended', false), (2, 'already_imported', false), (3, 'appended', true), (4, 'already_imported', true)) v(attempt, status, transit) ON v.transit OR travel_mode <> 'transit' GROUP BY ALL")
 def sink_reuse_audit(spark, sf_dir):
-    return access_reuse_ladder(spark, sf_dir).groupBy("result_type").agg(F.count("*").alias("n"))
+    """The ladder's answers appended to a history, a run for direct modes and one for transit, each sent twice; the history by tier after each."""
+    answers = settled(access_reuse_ladder(spark, sf_dir))
+    table = VersionedTable(spark, scratch_path(spark, "audit"))
+    direct, transit = answers.where("travel_mode <> 'transit'"), answers.where("travel_mode = 'transit'")
+    seen = []
+    for attempt, (rows, run, day) in enumerate(((direct, "direct", 1), (direct, "direct", 1), (transit, "transit", 2), (direct, "direct", 3)), 1):
+        status, commit = table.append(rows.withColumn("run_id", F.lit(run)), run, _AT.replace(day=day))
+        seen.append(table.read(commit).groupBy("result_type", "is_estimate").agg(F.count("*").alias("n")).select(F.lit(attempt).alias("attempt"), F.lit(status).alias("status"), "*"))
+    return reduce(DataFrame.unionByName, seen)
 
 
 @query("upsert_profile_identity", """WITH o AS (SELECT property_id, travel_mode, min(profile_id) AS profile_id, max(representative_duration_seconds) AS d FROM profiles WHERE calculated_at < TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1, 2), n AS (SELECT property_id, travel_mode, min(profile_id) AS profile_id, max(representative_duration_seconds) AS d FROM profiles WHERE calculated_at >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1, 2)

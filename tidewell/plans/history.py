@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import history as H
+from ..operators import imports
 from ..operators import lifecycle as L
 from ..operators.sorts import top_per_key
+from ..sources.scratch import scratch_path
+from ..sources.versions import OutOfOrderRun, VersionedTable
 from .frames import frame, load
 from .registry import query
 
@@ -165,9 +170,50 @@ def upsert_listing_state(spark, sf_dir):
     return after.join(snapshot.select("id"), "id", "full").select("id", F.coalesce("status", F.lit("active")).alias("status"), F.coalesce("missed", F.lit(0)).alias("missed"))
 
 
-@query("import_plan", f"SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'absent' WHEN o.status = 'removed' THEN 'relisted' WHEN n.hash = o.hash THEN 'unchanged' ELSE 'updated' END AS change FROM ({_SNAPSHOT}) n FULL JOIN ({_STATE}) o ON n.id = o.id) GROUP BY 1")
+def _run_sql(k: int) -> str:
+    """The snapshot of the k-th run: some listings are missing, some changed, some are there twice."""
+    rows = f"""SELECT listing_id, CASE WHEN listing_id % 11 = {k} THEN concat(address, ' Rear') ELSE address END AS match_key, price_monthly + CASE WHEN listing_id % {3 + k} = 0 THEN 10 ELSE 0 END AS price, title FROM listings WHERE listing_id % {7 + k} <> 0 AND NOT (listing_id % 5 = 1 AND {k} IN (2, 3))"""
+    return f"{rows} UNION ALL SELECT listing_id, address, price_monthly, title FROM listings WHERE listing_id % 97 = {k}"
+
+
+def _import_sql(runs: int) -> str:
+    parts = ["s0 AS (SELECT * FROM (SELECT 0::BIGINT AS listing_id, '' AS property_key, '' AS property_match_key, '' AS match_key, 0e0 AS price, '' AS title, '' AS status, 0 AS missed) WHERE false)"]
+    for k in range(1, runs + 1):
+        parts.append(f"""r{k} AS ({_run_sql(k)}),
+  x{k} AS (SELECT listing_id FROM r{k} GROUP BY 1 HAVING count(*) > 1), a{k} AS (SELECT * FROM r{k} WHERE listing_id NOT IN (SELECT listing_id FROM x{k})),
+  m{k} AS (SELECT property_match_key AS match_key, min(property_key) AS known FROM s{k - 1} GROUP BY 1),
+  j{k} AS (SELECT coalesce(n.listing_id, o.listing_id) AS listing_id, n.listing_id IS NOT NULL AS here, o.listing_id IS NOT NULL AS stored, x.listing_id IS NOT NULL AS unsafe, n.match_key, n.price, n.title, known, o.property_key AS link, o.property_match_key AS o_place,
+      o.match_key AS o_match, o.price AS o_price, o.title AS o_title, o.status AS o_status, o.missed AS o_missed
+    FROM a{k} n FULL JOIN s{k - 1} o ON o.listing_id = n.listing_id LEFT JOIN x{k} x ON x.listing_id = coalesce(n.listing_id, o.listing_id) LEFT JOIN m{k} m ON m.match_key = n.match_key),
+  p{k} AS (SELECT *, CASE WHEN unsafe THEN 'kept' WHEN NOT stored THEN 'new' WHEN NOT here THEN 'absent' WHEN o_status = 'removed' THEN 'relisted' WHEN (match_key, price, title) IS DISTINCT FROM (o_match, o_price, o_title) THEN 'updated' ELSE 'unchanged' END AS change,
+      CASE WHEN here THEN 'active' WHEN unsafe OR o_status = 'removed' THEN o_status WHEN o_missed >= 1 THEN 'removed' ELSE 'possibly_removed' END AS status FROM j{k}),
+  s{k} AS (SELECT listing_id, coalesce(link, known, 'new-' || substr(sha256(match_key), 1, 16)) AS property_key, coalesce(o_place, match_key) AS property_match_key, CASE WHEN here THEN match_key ELSE o_match END AS match_key, CASE WHEN here THEN price ELSE o_price END AS price,
+      CASE WHEN here THEN title ELSE o_title END AS title, status, CASE WHEN here THEN 0 WHEN unsafe THEN o_missed ELSE o_missed + 1 END AS missed FROM p{k}),
+  c{k} AS (SELECT {k} AS run, count(*) FILTER (change = 'new') AS new_listings, count(*) FILTER (change = 'updated') AS updated_listings, count(*) FILTER (change = 'unchanged') AS unchanged_listings, count(*) FILTER (change = 'relisted') AS relisted_listings,
+      count(*) FILTER (change = 'absent' AND status <> o_status AND status = 'possibly_removed') AS possibly_removed_listings, count(*) FILTER (change = 'absent' AND status <> o_status AND status = 'removed') AS removed_listings,
+      count(*) FILTER (change IN ('new', 'updated', 'relisted') OR (change = 'absent' AND status <> o_status)) AS observations_inserted,
+      count(DISTINCT CASE WHEN here AND link IS NULL AND known IS NULL THEN match_key END) AS properties_created, count(DISTINCT CASE WHEN here THEN coalesce(link, known) END) AS properties_reused, count(*) FILTER (here AND known <> link) AS possible_property_duplicates,
+      count(*) FILTER (here AND price IS NULL) + count(*) FILTER (here AND stored AND match_key IS DISTINCT FROM o_match) + count(*) FILTER (here AND known <> link) AS review_items_created, (SELECT count(*) FROM r{k} WHERE listing_id IN (SELECT listing_id FROM x{k})) AS rows_rejected,
+      count(*) FILTER (here AND (price IS NULL OR (stored AND match_key IS DISTINCT FROM o_match) OR known <> link)) AS rows_with_warnings FROM p{k})""")
+    attempts = ", ".join(f"({a}, '{s}', {r})" for a, s, r in ((1, "promoted", 1), (2, "promoted", 2), (3, "already_imported", 2), (4, "promoted", 3), (5, "out_of_order", 0), (6, "promoted", 4), (7, "already_imported", 1)))
+    every = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(1, runs + 1))
+    return f"WITH {', '.join(parts)}, u AS (UNPIVOT ({every}) ON COLUMNS(* EXCLUDE (run)) INTO NAME field VALUE n) SELECT attempt, status, field, n FROM (VALUES {attempts}) v(attempt, status, run) LEFT JOIN u USING (run)"
+
+
+@query("import_plan", _import_sql(4))
 def import_plan(spark, sf_dir):
-    return L.classify_snapshot(*_snapshot_state(spark, sf_dir), "id").groupBy("change").agg(F.count("*").alias("n"))
+    """Four runs into one state table, two of them again and one too late: each attempt's status and counts."""
+    table = VersionedTable(spark, scratch_path(spark, "state"))
+    listings = frame(spark, sf_dir, "listings")
+    rows = []
+    for attempt, (run, day) in enumerate(((1, 1), (2, 2), (2, 2), (3, 3), (4, 2), (4, 4), (1, 1)), 1):
+        snapshot = spark.sql(_run_sql(run).replace("FROM listings", "FROM {listings}"), listings=listings)
+        try:
+            status, commit, _ = imports.import_run(table, snapshot, f"run-{run}", datetime(2024, 1, day))
+            rows += [(attempt, status, name, n) for name, n in commit.summary.items()]
+        except OutOfOrderRun:
+            rows.append((attempt, "out_of_order", None, None))
+    return spark.createDataFrame(rows, "attempt int, status string, field string, n long")
 
 
 @query("join_anti_missing", f"SELECT id FROM ({_STATE}) WHERE id NOT IN (SELECT id FROM ({_SNAPSHOT}))")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import lifecycle as L
 from ..sources import readers as S
 from ..sources.scratch import scratch_path
+from ..sources.versions import OutOfOrderRun, VersionedTable
 from .frames import frame, load
 from .registry import query
 
@@ -115,12 +120,25 @@ def sink_partitioned_upsert(spark, sf_dir):
     return spark.read.parquet(path).select("id", "origin")
 
 
-@query("snapshot_promote", "SELECT n.c_nationkey AS dataset, o.h IS NOT DISTINCT FROM n.h AS reused, n.rows AS n FROM (SELECT c_nationkey, count(*) AS rows, sum(c_custkey) AS h FROM customer GROUP BY 1) n LEFT JOIN (SELECT c_nationkey, sum(c_custkey) AS h FROM customer WHERE c_nationkey % 3 = 0 OR c_custkey % 2 = 0 GROUP BY 1) o ON o.c_nationkey = n.c_nationkey")
+_HALF = "c_nationkey % 3 = 0 OR c_custkey % 2 = 0"
+
+
+@query("snapshot_promote", f"""SELECT attempt, status, c_nationkey AS dataset, count(*) AS n
+  FROM (VALUES (1, 'promoted', false), (2, 'already_imported', false), (3, 'promoted', true), (4, 'out_of_order', true), (5, 'reused', true), (6, 'rolled_back', false), (7, 'already_imported', false)) v(attempt, status, whole) JOIN customer ON whole OR {_HALF} GROUP BY ALL""")
 def snapshot_promote(spark, sf_dir):
-    c = load(spark, sf_dir, "customer")
-    new = c.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("h"))
-    old = c.where("c_nationkey % 3 = 0 or c_custkey % 2 = 0").groupBy("c_nationkey").agg(F.sum("c_custkey").alias("g"))
-    return new.join(old, "c_nationkey", "left").select(F.col("c_nationkey").alias("dataset"), F.col("h").eqNullSafe(F.col("g")).alias("reused"), "n")
+    """Runs into one versioned table, and what its readers see after each: a replay, a late run and equal rows change nothing."""
+    whole = load(spark, sf_dir, "customer")
+    half = whole.where(_HALF)
+    table = VersionedTable(spark, scratch_path(spark, "customers"))
+    seen = []
+    for attempt, (rows, run, month) in enumerate(((half, "r1", 1), (whole, "r1", 1), (whole, "r3", 3), (half, "r2", 2), (whole, "r4", 4), (None, None, None), (whole, "r3", 3)), 1):
+        try:
+            status = table.publish(rows, run, datetime(2024, month, 1))[0] if rows else table.rollback().status
+        except OutOfOrderRun:
+            status = "out_of_order"
+        now = table.read().groupBy(F.col("c_nationkey").alias("dataset")).agg(F.count("*").alias("n"))
+        seen.append(now.select(F.lit(attempt).alias("attempt"), F.lit(status).alias("status"), "dataset", "n"))
+    return reduce(DataFrame.unionByName, seen)
 
 
 @query("prepare_canonical", """SELECT listing_id, CASE WHEN price_monthly IS NULL THEN 'missing_price|' ELSE '' END || CASE WHEN housing_type IS NULL THEN 'missing_type' ELSE '' END AS issues, lower(housing_type) AS kind, split_part(address, ' ', 1) AS house_number FROM listings""")
