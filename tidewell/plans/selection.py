@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import temporal as D
 from ..functions import text as X
+from ..operators import evidence as E
 from ..operators import history as H
 from ..operators import quality as Q
 from ..operators.sorts import top_per_key
@@ -257,15 +258,66 @@ def agg_gtfs_audit(spark, sf_dir):
     return rows.groupBy(F.col("l_suppkey").alias("trip")).agg(F.count("*").alias("stop_times"), F.count_if(F.col("l_quantity") >= 48).alias("past_midnight"), F.max(F.when(F.col("even"), F.col("clock"))).alias("latest"))
 
 
-@query("fn_explicit_text_value", "SELECT id, CASE id % 9 WHEN 4 THEN 'furnished' WHEN 5 THEN 'unfurnished' ELSE 'unknown' END AS value FROM notices")
+FRAMES["descriptions"] = """
+    SELECT doc_id AS id, concat(text, '\n',
+      CASE doc_id % 7 WHEN 0 THEN 'Sublet from May to August, $600 monthly.' WHEN 1 THEN 'Not a sublet! Rent is due Jan - Apr' WHEN 2 THEN 'There is an option to sublet; available Sept 1 until Dec 31.' WHEN 3 THEN 'May - Aug'
+        WHEN 4 THEN 'The discounted price June to July, call. It is a sublease' WHEN 5 THEN 'Price: March to April only, a term' ELSE 'Special rate May through June and much more to say about the house and its garden, the street and the park, the shops and the school year' END, CASE doc_id % 3 WHEN 0 THEN ' \n' ELSE '; ' END,
+      CASE doc_id % 5 WHEN 0 THEN 'Fully furnished room, utilities included. FULLY FURNISHED' WHEN 1 THEN 'Unfurnished and not furnished at all, plus  utilities' WHEN 2 THEN 'furnished room or unfurnished? all-inclusive' WHEN 3 THEN 'Shared bathroom. Private bathroom extra. 12-month lease, women only'
+        ELSE '8 month lease or 4-month lease: any gender, females preferred' END) AS text
+    FROM documents"""
+
+
+def _places(of: str, pattern: str) -> str:
+    """Matches of a pattern in a text with their offsets: what lies between them tells where they are."""
+    return f"list_transform(range(1, len(regexp_extract_all({of}, '{pattern}')) + 1), lambda k: struct_pack(m := regexp_extract_all({of}, '{pattern}')[k], pos := coalesce(list_sum(list_transform(string_split_regex({of}, '{pattern}')[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(regexp_extract_all({of}, '{pattern}')[1:k - 1], lambda x: length(x))), 0)))"
+
+
+def _explicit_sql() -> str:
+    parts = []
+    for name, field in E.FIELDS.items():
+        text = "text"
+        if field.hypothetical:
+            pattern = "(?i)" + "|".join(field.hypothetical)
+            text = f"list_aggregate(list_transform(range(1, len(string_split_regex(text, '{pattern}')) + 1), lambda i: string_split_regex(text, '{pattern}')[i] || coalesce(repeat(' ', length(regexp_extract_all(text, '{pattern}')[i])), '')), 'string_agg', '')"
+        for rank, (value, patterns) in enumerate(field.values):
+            parts.append(f"SELECT id, '{name}' AS field, '{value}' AS value, {rank} AS rank, unnest({_places('t', '(?i)' + '|'.join(patterns))}) AS e FROM (SELECT id, {text} AS t FROM descriptions)")
+    lease = _places("text", "(?i)" + E.LEASE[1].replace("(", "(?:", 1))
+    parts.append(f"SELECT id, '{E.LEASE[0]}', NULL, 9, unnest({lease}) FROM descriptions")
+    return f"""WITH m AS ({" UNION ALL ".join(parts)}),
+  e AS (SELECT id, field, CASE WHEN rank = 9 THEN CAST(CAST(regexp_extract(e.m, '\\d+') AS INT) AS VARCHAR) ELSE value END AS value, rank, lower(e.m) || '@' || CAST(e.pos AS BIGINT)::VARCHAR AS said, e.pos AS pos FROM m),
+  w AS (SELECT * FROM e WHERE NOT (field = 'is_sublet' AND value = 'true' AND id IN (SELECT id FROM e WHERE field = 'is_sublet' AND value = 'false'))),
+  g AS (SELECT *, min(rank) OVER (PARTITION BY id, field) AS lead, min(value) OVER (PARTITION BY id, field) = max(value) OVER (PARTITION BY id, field) AS one FROM w)
+  SELECT id, field, max(CASE WHEN one THEN value END) AS value, coalesce(string_agg(said, '|' ORDER BY pos) FILTER (rank = lead AND (rank < 9 OR one)), '') AS supporting,
+    coalesce(string_agg(said, '|' ORDER BY rank, pos) FILTER (rank > lead OR (rank = 9 AND NOT one)), '') AS conflicting FROM g GROUP BY 1, 2"""
+
+
+@query("fn_explicit_text_value", _explicit_sql())
 def fn_explicit_text_value(spark, sf_dir):
-    text = F.lower(F.coalesce("description", F.lit("")))
-    against, evidence = text.rlike(r"\bunfurnished\b|\bnot furnished\b"), text.rlike(r"(?<!un)\bfurnished\b")
-    return frame(spark, sf_dir, "notices").select("id", F.when(against & ~evidence, "unfurnished").when(evidence & ~against, "furnished").when(evidence & against, "conflict").otherwise("unknown").alias("value"))
+    rows = E.explicit_text_values(frame(spark, sf_dir, "descriptions"), "id", "text")
+    return rows.select("id", "field", "value", E.listed("supporting").alias("supporting"), E.listed("conflicting").alias("conflicting"))
 
 
-@query("fn_context_role", "SELECT id, CASE id % 6 WHEN 0 THEN 'pricing' WHEN 1 THEN 'pricing' WHEN 2 THEN 'pricing' WHEN 3 THEN 'availability' WHEN 4 THEN 'pricing' END AS role FROM notices")
+def _nearest(of: str, pattern: str) -> str:
+    """The least distance of a pattern's matches on the left of the range, and on any side."""
+    p = f"(?i){pattern}"
+    left = f"list_min(list_transform(list_filter({_places(of, p)}, lambda e: e.pos + length(e.m) <= lo), lambda e: lo - e.pos - length(e.m)))"
+    right = f"list_min(list_transform(list_filter({_places(of, p)}, lambda e: e.pos + length(e.m) > lo), lambda e: greatest(0, e.pos - hi)))"
+    return f"{left} AS {{0}}_left, {right} AS {{0}}_right"
+
+
+_ROLE_SQL = f"""WITH r AS (SELECT id, text, unnest({_places("text", "(?i)" + E.RANGE)}) AS e FROM descriptions),
+  p AS (SELECT id, text, e.m AS m, e.pos::BIGINT AS pos, length(e.m) AS n, substr(text, 1, e.pos::BIGINT) AS head, substr(text, e.pos::BIGINT + length(e.m) + 1) AS tail FROM r),
+  b AS (SELECT *, length(regexp_extract(head, '[^.!?;:\r\n]*$')) AS own, regexp_extract(tail, '^[^.!?;:\r\n]*') AS rest FROM p),
+  c AS (SELECT *, least({E.WINDOW}, own + CASE WHEN own < length(head) AND substr(head, length(head) - own, 1) = ':' THEN least({E.LABEL}, length(head) - own) ELSE 0 END) AS lo FROM b),
+  d AS (SELECT id, pos, m, own, rest, head, lo, lo + n AS hi, substr(head, length(head) - lo + 1) || m || substr(rest, 1, {E.WINDOW}) AS near FROM c),
+  f AS (SELECT *, {_nearest("near", E.AVAILABILITY).format("free")}, {_nearest("near", E.PRICING.replace("'", "''")).format("price")} FROM d),
+  g AS (SELECT *, least(free_left, free_right) AS free, least(price_left, price_right) AS price FROM f)
+  SELECT id, CAST(pos AS INT) AS start, m AS text,
+    CASE WHEN free_left <= price_left OR (free_left IS NOT NULL AND price_left IS NULL) OR free <= price OR (free IS NOT NULL AND price IS NULL) THEN 'availability' WHEN price IS NOT NULL THEN 'pricing'
+      WHEN regexp_matches(substr(head, length(head) - own + 1) || rest, '\\w') THEN 'ambiguous' ELSE 'availability' END AS role,
+    CAST(CASE WHEN free_left <= price_left OR (free_left IS NOT NULL AND price_left IS NULL) THEN free_left WHEN free <= price OR (free IS NOT NULL AND price IS NULL) THEN free ELSE price END AS INT) AS distance FROM g"""
+
+
+@query("fn_context_role", _ROLE_SQL)
 def fn_context_role(spark, sf_dir):
-    text = F.lower(F.coalesce("price_text", F.lit("")))
-    money, time = F.locate("$", text), F.locate("monthly", text)
-    return frame(spark, sf_dir, "notices").select("id", F.when((money > 0) & ((time == 0) | (money <= time)), "pricing").when(time > 0, "availability").alias("role"))
+    return E.context_roles(frame(spark, sf_dir, "descriptions"), "id", "text").drop("end")
