@@ -237,25 +237,6 @@ def run_completion(stages: DataFrame, run: str, order: str) -> DataFrame:
     return rows.groupBy(run).agg(F.bool_and(F.col("status") == "completed").alias("complete"), F.count_if("_m").alias("mismatches"))
 
 
-def greedy_cover(tagged: DataFrame, key: str, tags: str, limit: int) -> list:
-    """Keys that cover the tags greedily: most uncovered tags, then the least key.
-
-    Rows with equal tags are counted as one first, by their least key; each of at
-    most `limit` rounds takes the best of these.  The driver holds the chosen
-    keys and the covered tags only.
-    """
-    tagged = settled(tagged.groupBy(F.array_sort(F.array_distinct(tags)).alias(tags)).agg(F.min(key).alias(key)))
-    chosen, covered = [], []
-    for _ in range(limit):
-        left = F.size(F.array_except(tags, F.array(*map(F.lit, covered)))) if covered else F.size(tags)
-        best = tagged.select(key, tags, left.alias("_n")).where("_n > 0").orderBy(F.desc("_n"), key).limit(1).collect()
-        if not best:
-            break
-        chosen.append(best[0][key])
-        covered = sorted({*covered, *best[0][tags]})
-    return chosen
-
-
 def coordinate_blockers(exact: Column, current: Column, accepted: Column, confidence: Column, review: Column, unit: Column, shared: Column, status: Column, building: Column, parcel: Column, movement: Column, least: float = 0.98, most_move: float = 100.0) -> Column:
     """Reasons against taking an official coordinate, in the order of the gates."""
     return _present(

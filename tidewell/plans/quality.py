@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as G
+from ..operators import cohorts
 from ..operators import quality as Q
 from ..operators import sorts as O
 from ..operators.lifecycle import row_fingerprint
@@ -407,21 +408,55 @@ def cls_listing_audit(spark, sf_dir):
     return _audit(spark, sf_dir).where("field = 'price'")
 
 
-@query("cls_greedy_cohort", None)
+_TAGS = {
+    "housing:": "coalesce(housing_type, 'unknown')", "bedrooms:": "coalesce(CAST(bedrooms AS STRING), 'unknown')", "lease:": "coalesce(lease_type, 'unknown')", "gender:": "coalesce(preferred_gender, 'unspecified')",
+    "furnished:": "coalesce(CAST(furnished AS STRING), 'unknown')", "utilities:": "coalesce(CAST(utilities_included AS STRING), 'unknown')", "sublet:": "CASE WHEN is_sublet THEN 'explicit' ELSE 'unstated' END",
+    "price:": "CASE WHEN price_monthly <= low THEN 'low' WHEN price_monthly >= high THEN 'high' END", "availability:": "CASE WHEN availability_category = 'summer' THEN 'summer' END", "review:": "CASE WHEN data_quality_status = 'needs-review' THEN 'queue' END",
+}
+_COHORT = f"""WITH RECURSIVE l AS (SELECT *, quantile_cont(price_monthly, 0.1) OVER () AS low, quantile_cont(price_monthly, 0.9) OVER () AS high FROM listings),
+  t AS MATERIALIZED (SELECT listing_id, list_sort(list_filter([{", ".join(f"'{n}' || {sql}" for n, sql in _TAGS.items())}], lambda x: x IS NOT NULL)) AS tags, sha256('cohort:' || CAST(listing_id AS VARCHAR)) AS h FROM l),
+  o AS MATERIALIZED (SELECT tags, min(h) AS h FROM t GROUP BY 1),
+  g(step, done, hs) AS (SELECT 0, []::VARCHAR[], []::VARCHAR[] UNION ALL
+    SELECT step + 1, list_distinct(done || best.tags), hs || [best.h] FROM (SELECT step, done, hs, (SELECT {{'tags': o.tags, 'h': o.h, 'n': len(list_filter(o.tags, lambda x: NOT list_contains(done, x)))}} FROM o ORDER BY len(list_filter(o.tags, lambda x: NOT list_contains(done, x))) DESC, o.h LIMIT 1) AS best FROM g WHERE step < 40) WHERE best.n > 0),
+  c AS (SELECT hs FROM g ORDER BY step DESC LIMIT 1),
+  p AS (SELECT t.*, list_position((SELECT hs FROM c), h) AS place FROM t),
+  q AS (SELECT *, coalesce(place, (SELECT len(hs) FROM c) + row_number() OVER (PARTITION BY place IS NULL ORDER BY h)) AS position FROM p)
+  SELECT listing_id, CAST(position AS INT) AS position, CASE WHEN place IS NULL THEN 'fill' ELSE 'coverage' END AS reason, array_to_string(tags, '|') AS tags FROM q WHERE position <= 40"""
+
+
+@query("cls_greedy_cohort", _COHORT)
 def cls_greedy_cohort(spark, sf_dir):
-    """At most 40 listings that cover all tags; a sequential choice, tested by its coverage."""
-    tags = F.filter(F.array(F.col("housing_type"), F.col("rental_structure"), F.col("lease_type"), F.col("data_quality_status"), F.col("listing_status")), lambda x: x.isNotNull())
-    rows = _listings(spark, sf_dir).select("listing_id", tags.alias("tags"))
-    chosen = Q.greedy_cover(rows, "listing_id", "tags", 40)
-    return rows.where(F.col("listing_id").isin(chosen)).select("listing_id")
+    """40 listings for an audit: tags covered greedily, then a fill by hash."""
+    rows = _listings(spark, sf_dir)
+    cuts = rows.agg(F.percentile("price_monthly", 0.1).alias("low"), F.percentile("price_monthly", 0.9).alias("high"))
+    tagged = rows.crossJoin(F.broadcast(cuts)).select("listing_id", F.array(*(F.concat(F.lit(n), F.expr(value)) for n, value in _TAGS.items())).alias("tags"))
+    return cohorts.cover_and_fill(tagged, "listing_id", "tags", 40).withColumn("tags", F.array_join("tags", "|"))
 
 
-@query("topk_diverse_shortlist", "SELECT listing_id, housing_type FROM (SELECT listing_id, housing_type, row_number() OVER (PARTITION BY housing_type ORDER BY ranking_overall_score DESC NULLS LAST, sha256('short:' || CAST(listing_id AS VARCHAR))) AS k FROM listings WHERE housing_type IS NOT NULL) WHERE k <= 3")
-def topk_diverse_shortlist(spark, sf_dir):
-    from ..operators.history import stable_hash_order
+_WANTED = ("price:low", "price:middle", "price:high", "gender", "explicit_sublet", "summer_non_sublet", "walking_surface", "utilities:all_included", "utilities:not_included", "ranking", "routing")
+_SHORTLIST = f"""WITH RECURSIVE l AS (SELECT *, quantile_cont(price_monthly, 0.25) OVER () AS low, quantile_cont(price_monthly, 0.75) OVER () AS high FROM listings),
+  t AS MATERIALIZED (SELECT listing_id, coalesce(ranking_overall_score, 0) AS score, sha256('demo:' || CAST(listing_id AS VARCHAR)) AS h, list_filter(['ranking', 'routing', CASE WHEN price_monthly <= low THEN 'price:low' WHEN price_monthly >= high THEN 'price:high' WHEN price_monthly IS NOT NULL THEN 'price:middle' END,
+      CASE WHEN preferred_gender <> 'any' THEN 'gender' END, CASE WHEN is_sublet THEN 'explicit_sublet' END, CASE WHEN availability_category = 'summer' AND NOT coalesce(is_sublet, false) THEN 'summer_non_sublet' END, CASE WHEN location_map_visible THEN 'walking_surface' END,
+      CASE WHEN utilities_included THEN 'utilities:all_included' WHEN NOT utilities_included THEN 'utilities:not_included' END], lambda x: x IS NOT NULL) AS tags FROM l WHERE ranking_status = 'ranked' AND location_route_available),
+  g(step, done, ids, adds) AS (SELECT 0, []::VARCHAR[], []::BIGINT[], []::INT[] UNION ALL
+    SELECT step + 1, list_distinct(done || best.tags), ids || [best.listing_id], adds || [best.n::INT] FROM (SELECT step, done, ids, adds, (SELECT {{'tags': t.tags, 'listing_id': t.listing_id, 'n': len(list_filter(t.tags, lambda x: NOT list_contains(done, x)))}} FROM t WHERE NOT list_contains(ids, t.listing_id)
+      ORDER BY len(list_filter(t.tags, lambda x: NOT list_contains(done, x))) DESC, t.score DESC, t.h DESC LIMIT 1) AS best FROM g WHERE step < 12 AND NOT (len(done) = {len(_WANTED)} AND step >= 8)) WHERE best IS NOT NULL),
+  e AS (SELECT ids, adds FROM g ORDER BY step DESC LIMIT 1)
+  SELECT unnest(ids) AS listing_id, CAST(unnest(range(1, len(ids) + 1)) AS INT) AS position, unnest(adds) AS adds FROM e"""
 
-    rows = _listings(spark, sf_dir).where("housing_type is not null")
-    return O.top_per_key(rows, ["housing_type"], [F.desc_nulls_last("ranking_overall_score"), stable_hash_order("short", F.col("listing_id"))], 3).select("listing_id", "housing_type")
+
+@query("topk_diverse_shortlist", _SHORTLIST)
+def topk_diverse_shortlist(spark, sf_dir):
+    """Up to 12 ranked listings with a route that show all that is wanted."""
+    rows = _listings(spark, sf_dir)
+    cuts = rows.agg(F.percentile("price_monthly", 0.25).alias("low"), F.percentile("price_monthly", 0.75).alias("high"))
+    price, sublet, included = F.col("price_monthly"), F.coalesce("is_sublet", F.lit(False)), F.col("utilities_included")
+    tags = F.array(
+        F.lit("ranking"), F.lit("routing"), F.when(price <= F.col("low"), "price:low").when(price >= F.col("high"), "price:high").when(price.isNotNull(), "price:middle"), F.when(F.col("preferred_gender") != "any", "gender"),
+        F.when(sublet, "explicit_sublet"), F.when((F.col("availability_category") == "summer") & ~sublet, "summer_non_sublet"), F.when(F.col("location_map_visible"), "walking_surface"), F.when(included, "utilities:all_included").when(~included, "utilities:not_included"),
+    )
+    ready = rows.crossJoin(F.broadcast(cuts)).where("ranking_status = 'ranked' and location_route_available").withColumn("tags", tags)
+    return cohorts.diverse_shortlist(ready, "listing_id", "tags", F.col("ranking_overall_score"), _WANTED)
 
 
 @query("topk_review_queue", "SELECT listing_id, geocode_confidence FROM listings WHERE geocode_confidence < 0.1 ORDER BY geocode_confidence DESC, listing_id LIMIT 200")
