@@ -285,6 +285,29 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert minhash_dedup.near_duplicates(docs).where("doc_id >= 1000 and component_id = doc_id and kept").count() == 20_000
 
 
+def test_near_copies_without_id(spark):
+    """Rows without id link and carry links like others; a component without any id keeps one text."""
+    words = [f"w{i}" for i in range(100)]
+    a = " ".join(words)
+    near = [a, a + " x", a + " y z", " ".join(words[:96])]
+    other = " ".join(f"v{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, near[0]), (None, near[1]), (None, near[2]), (None, other), (None, other + " t"), (None, other), (None, other.upper()), (None, "alone"), (None, None)], "doc_id long, text string")
+    rows = minhash_dedup.near_duplicates(docs.withColumn("t", F.col("text")), keep=["t"]).collect()
+    assert sorted((r.t, r.component_id, r.kept) for r in rows if r.t in near) == sorted([(near[0], 1, True), (near[1], 1, False), (near[2], 1, False)])
+    kept = [r.t for r in rows if r.component_id is None and r.kept]
+    assert None in kept and "alone" in kept and len({t for t in kept if t not in (None, "alone")}) == 1  # repeats of the one text stay
+    # a chain through rows without id joins what is far apart
+    steps = [" ".join(words[i : i + 60]) for i in range(0, 25, 4)]
+    docs = spark.createDataFrame([(5 if i == 0 else 3 if i == len(steps) - 1 else None, t) for i, t in enumerate(steps)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()} == {(5, 3, False), (3, 3, True), (None, 3, False)}
+
+
+def test_a_class_with_another_text_is_an_error():
+    table = pa.table({"text": ["a b c d e f"], "cls": pa.array([b"x" * 16], pa.binary()), "signature": pa.array([bytes(128)], pa.binary())})
+    with pytest.raises(ValueError, match="another's text"):
+        minhash_dedup._Members(table, 5, lambda c: c)
+
+
 def test_near_duplicates_recall_at_the_threshold(spark, monkeypatch):
     """Thousands of pairs whose similarity is just at or under 0.8: every link is found, no other."""
     monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 20_000)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .durable import durable
 from .graph import connected_components
-from .ids import with_ids
+from .ids import row_key, with_ids
 
 REGISTERS, BAND_ROWS = 128, 4
 #: Signature agreement may fall short of the similarity by this much (over 5.5 standard deviations at 0.8: a pair is lost with 1e-8, as by the bands).
@@ -92,7 +92,9 @@ class _Members:
         sets: list[np.ndarray] = []
         for _, _, grams, begin in _sets(table["text"], k):
             sets += [np.unique(grams[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-        rows = {c: i for i, c in enumerate(table["cls"].to_pylist()) if len(sets[i]) and _digest(sets[i]) == c}
+        rows = {c: i for i, c in enumerate(table["cls"].to_pylist())}
+        if wrong := [c for c, i in rows.items() if _digest(sets[i]) != c]:
+            raise ValueError(f"{len(wrong)} classes came with another's text")
         self.classes = sorted(rows, key=order)
         self.rows = np.array([rows[c] for c in self.classes], dtype=np.int64)
         self.sets = [sets[i] for i in self.rows]
@@ -172,18 +174,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or empty text has no shingles, links with nothing and is its own
     component.  Rows are the nodes: those of one id with different texts each
-    keep their own links.  A row without an id joins its equals' component and
-    is kept only if none of them has an id (component_id null).  Columns not in
-    `keep` are ignored, an empty table gives no rows.
+    keep their own links.  Rows without an id link as others do but name no
+    component: one without any id has component_id null, and of its rows those
+    that equal one chosen text are kept.  Columns not in `keep` are ignored, an
+    empty table gives no rows.
     """
     kept_columns = [F.struct(*keep).alias("keep")] if keep else []
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), *kept_columns, F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), *kept_columns, F.col(text_col).alias("text"))
     through = f", keep {docs.schema['keep'].dataType.simpleString()}" if keep else ""
     kernel.small_batches(docs.sparkSession)
-    profile = durable(docs.mapInArrow(_profiles(shingle), f"doc_id long, th long{through}, n_shingles long, cls binary, bands array<long>, signature binary"))
+    profile = durable(docs.mapInArrow(_profiles(shingle), f"doc_id long, key struct<a: long, b: long>{through}, n_shingles long, cls binary, bands array<long>, signature binary"))
     full, empty = profile.where("n_shingles > 0"), profile.where("n_shingles = 0")
-    named = full.groupBy("cls").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("text_of"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "signature")))
-    classes = durable(named.where("text_of is not null"))
+    lead = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")  # ids first, then the smallest
+    classes = durable(full.groupBy("cls").agg(F.min(lead).alias("lead"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "signature"))))
 
     keys = classes.select("cls", "n_shingles", F.explode("bands").alias("key"))
     shared = durable(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
@@ -205,9 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = family.join(blocks, "hub").withColumn("block", dealt("blocks", 0))
     def with_texts(members: DataFrame) -> DataFrame:
         """cls, signature and a text of the classes among members; other texts are not shuffled."""
-        wanted = durable(classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "text_of", "signature"))
-        texts = docs.select(F.struct("doc_id", "th").alias("text_of"), "text").where("text_of.doc_id is not null")
-        return wanted.join(with_ids(texts, wanted, "text_of").dropDuplicates(["text_of"]), "text_of").drop("text_of")
+        wanted = durable(classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "lead.key", "signature"))
+        return wanted.join(with_ids(docs.select("key", "text"), wanted, "key").dropDuplicates(["key"]), "key").drop("key")
 
     star = placed.where("cls <> hub").select("hub", "blocks", "block", "cls").unionByName(blocks.select("hub", "blocks", upto("blocks").alias("block"), F.col("hub").alias("cls")))
     first = durable(star.join(with_texts(family), "cls").groupBy("hub", "block").applyInArrow(_block(shingle, percent), _FOUND))
@@ -222,10 +224,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = cells.join(with_texts(alone), "cls").groupBy("hub", "own", "other").applyInArrow(_cell(shingle, percent), _FOUND)
 
     links = connected_components(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")))
-    rooted = durable(links.join(classes, links.node == classes.cls).select("cls", F.col("component").alias("root"), F.col("text_of.doc_id").alias("doc_id")))
-    least = durable(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    known = durable(classes.select("cls", "text_of").join(rooted.join(least, "root").select("cls", "component_id"), "cls", "left").select("cls", F.coalesce("component_id", F.col("text_of.doc_id")).alias("component_id")))
+    rooted = durable(links.join(classes, links.node == classes.cls).select("cls", F.col("component").alias("root"), "lead"))
+    least = durable(rooted.groupBy("root").agg(F.min("lead").alias("lead")))
+    named = rooted.select("cls", "root").join(least, "root").select("cls", F.col("lead").alias("_lead"))
+    known = durable(classes.select("cls", "lead").join(named, "cls", "left").select("cls", F.coalesce("_lead", "lead").alias("lead")))
     through = [F.col("keep").getField(c).alias(c) for c in keep]
-    out = full.join(known, "cls", "left").select("doc_id", "n_shingles", "component_id", *through)
-    out = out.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *through))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    component = F.when(~F.col("lead.no_id"), F.col("lead.id"))
+    kept = F.when(F.col("lead.no_id"), F.col("key") == F.col("lead.key")).otherwise(F.coalesce(F.col("doc_id") == F.col("lead.id"), F.lit(False)))
+    out = full.join(known, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), *through, kept.alias("kept"))
+    return out.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *through, F.lit(True).alias("kept")))
