@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import access as A
+from ..operators import cascade
 from ..operators import reuse as R
 from ..sources.scratch import scratch_path, settled
 from ..sources.versions import VersionedTable
-from .frames import frame, load
+from .frames import FRAMES, frame, load
 from .registry import query
 
 _VALID = "duration_seconds IS NOT NULL AND status IN ('available', 'estimated')"
@@ -107,12 +108,30 @@ def fn_expiry(spark, sf_dir):
     return rows.select("profile_id", "property_id", "expires", A.stale_reason(F.col("expires"), F.lit("1998-06-01 00:00:00").cast("timestamp"), F.col("network_version"), "n1").alias("stale_reason"))
 
 
-@query("stale_invalidate", "SELECT property_id, count(*) AS n, count(*) FILTER (is_stale OR expires_at <= TIMESTAMP '1998-06-01 00:00:00' OR property_id % 50 = 0) AS stale FROM profiles GROUP BY 1")
+#: What is made from what: profiles of properties, surfaces of profiles, scores of surfaces, what is shown of scores.
+FRAMES["dependencies"] = """
+    SELECT 'property' AS parent_kind, o_custkey AS parent_id, 'profile' AS kind, o_orderkey AS id FROM orders
+    UNION ALL SELECT 'profile', l_orderkey, 'surface', l_orderkey * 10 + l_linenumber FROM lineitem
+    UNION ALL SELECT 'surface', l_orderkey * 10 + l_linenumber, 'score', l_partkey FROM lineitem WHERE l_quantity > 45
+    UNION ALL SELECT 'score', p_partkey, 'visibility', p_partkey FROM part WHERE p_size < 40"""
+#: Properties that moved, profiles that expired or are of another network version.
+FRAMES["stale_seeds"] = """
+    SELECT 'property' AS kind, c_custkey AS id, 'moved' AS reason FROM customer WHERE c_acctbal > 9500
+    UNION ALL SELECT 'profile', o_orderkey, 'expired' FROM orders WHERE o_orderdate < TIMESTAMP '1992-03-01 00:00:00'
+    UNION ALL SELECT 'profile', o_orderkey, 'version_changed' FROM orders WHERE o_totalprice > 490000"""
+_LEVEL = "{0} AS (SELECT id, min({{'depth': depth, 'reason': reason}}) AS s FROM (SELECT id, 0 AS depth, reason FROM stale_seeds WHERE kind = '{0}' UNION ALL SELECT d.id, s.depth + 1, s.reason FROM dependencies d JOIN {1} p ON d.parent_kind = '{1}' AND d.parent_id = p.id WHERE d.kind = '{0}') GROUP BY 1)"
+_CASCADE = f"""WITH property AS (SELECT id, min({{'depth': 0, 'reason': reason}}) AS s FROM stale_seeds WHERE kind = 'property' GROUP BY 1), {", ".join(_LEVEL.format(k, p) for p, k in (("property", "profile"), ("profile", "surface"), ("surface", "score"), ("score", "visibility")))}
+  SELECT 1 AS run, kind, id, s.reason AS reason, CAST(s.depth AS INT) AS depth FROM ({" UNION ALL ".join(f"SELECT '{k}' AS kind, id, s FROM {k}" for k in ("property", "profile", "surface", "score", "visibility"))})"""
+
+
+@query("stale_invalidate", _CASCADE)
 def stale_invalidate(spark, sf_dir):
-    rows = frame(spark, sf_dir, "profiles")
-    moved = load(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("property_id"), F.lit(True).alias("moved"))
-    stale = F.col("is_stale") | F.coalesce(F.col("expires_at") <= F.lit("1998-06-01 00:00:00").cast("timestamp"), F.lit(False)) | F.coalesce("moved", F.lit(False))
-    return rows.join(moved, "property_id", "left").groupBy("property_id").agg(F.count("*").alias("n"), F.count_if(stale).alias("stale"))
+    """What goes stale with the seeds, kept in a versioned table; a second run with the same seeds adds nothing."""
+    dependencies, seeds = frame(spark, sf_dir, "dependencies"), frame(spark, sf_dir, "stale_seeds")
+    table = VersionedTable(spark, scratch_path(spark, "stale"))
+    table.append(cascade.invalidate(dependencies, seeds), "run-1", _AT)
+    again = cascade.invalidate(dependencies, seeds, table.read())
+    return table.read().withColumn("run", F.lit(1)).unionByName(again.withColumn("run", F.lit(2))).select("run", "kind", "id", "reason", "depth")
 
 
 @query("topk_due_refresh", "SELECT profile_id, property_id, expires_at FROM profiles WHERE is_stale OR expires_at <= TIMESTAMP '1998-06-01 00:00:00' ORDER BY expires_at ASC NULLS FIRST, profile_id, property_id LIMIT 50")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as G
 from ..operators import cohorts
+from ..operators import decisions as D
 from ..operators import quality as Q
 from ..operators import sorts as O
 from ..operators.lifecycle import row_fingerprint
@@ -31,6 +32,11 @@ FRAMES["inferred"] = """
     SELECT doc_id, quality, toxic, CASE doc_id % 4 WHEN 0 THEN 'the' WHEN 1 THEN '' WHEN 2 THEN 'qqq' END AS evidence FROM labels"""
 FRAMES["stages"] = """
     SELECT o_custkey AS run_id, o_orderkey AS stage_no, CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'completed' END AS status, CAST(o_orderkey % 3 AS INT) AS input_rows, CAST((o_orderkey + o_custkey) % 3 AS INT) AS output_rows FROM orders"""
+# what reviewers and the source did to a listing's field, in time
+FRAMES["decision_log"] = """
+    SELECT CAST(floor(event_id / 7) AS BIGINT) AS listing_id, CASE WHEN CAST(substr(props, 7, 1) AS INT) < 4 THEN 'price' WHEN CAST(substr(props, 7, 1) AS INT) < 7 THEN 'bedrooms' ELSE 'latitude' END AS field, ts AS happened_at, event_id,
+      CASE event_type WHEN 'view' THEN 'opened' WHEN 'click' THEN 'drafted' WHEN 'purchase' THEN 'decided' WHEN 'signup' THEN 'applied' ELSE 'source_changed' END AS action, CAST(CAST(floor(value) AS BIGINT) AS STRING) AS value
+    FROM events"""
 
 
 def _listings(spark, sf_dir):
@@ -293,9 +299,29 @@ def agg_review_index(spark, sf_dir):
     return Q.review_index(_issues(spark, sf_dir), "listing_id").withColumn("ids", F.array_join("ids", "|"))
 
 
-@query("agg_review_dashboard", f"SELECT category, count(*) AS issues, count(DISTINCT listing_id) AS listings, count(*) FILTER (listing_id % 3 = 0) AS decided FROM ({_ISSUES}) GROUP BY 1")
+#: The log told one entry after another: each is numbered, and the state follows from the entry before.
+_STATES_SQL = """e AS (SELECT *, row_number() OVER (PARTITION BY listing_id, field ORDER BY happened_at, event_id) AS k FROM decision_log WHERE action <> 'opened'),
+  f AS (SELECT listing_id, field, k, 'unresolved' AS state, NULL::VARCHAR AS value, NULL::BIGINT AS decided_by, 0 AS n FROM (SELECT DISTINCT listing_id, field, 0 AS k FROM decision_log)
+    UNION ALL SELECT f.listing_id, f.field, e.k, CASE e.action WHEN 'drafted' THEN 'draft' WHEN 'decided' THEN 'decided' WHEN 'source_changed' THEN CASE f.state WHEN 'unresolved' THEN 'unresolved' ELSE 'stale' END ELSE CASE f.state WHEN 'decided' THEN 'applied' ELSE f.state END END,
+      CASE e.action WHEN 'decided' THEN e.value ELSE f.value END, CASE e.action WHEN 'decided' THEN e.event_id ELSE f.decided_by END, f.n + CASE e.action WHEN 'decided' THEN 1 ELSE 0 END
+    FROM f JOIN e ON e.listing_id = f.listing_id AND e.field = f.field AND e.k = f.k + 1),
+  states AS (SELECT listing_id, field, state, value, decided_by, greatest(n - 1, 0) AS superseded FROM f QUALIFY row_number() OVER (PARTITION BY listing_id, field ORDER BY k DESC) = 1)"""
+_KEY = ["listing_id", "field"]
+
+
+def _states(spark, sf_dir):
+    return D.decision_states(frame(spark, sf_dir, "decision_log"), _KEY)
+
+
+_PROGRESS = f"""WITH RECURSIVE {_STATES_SQL}, i AS (SELECT i.*, coalesce(state, 'unresolved') AS state FROM ({_ISSUES}) i LEFT JOIN states USING (listing_id, field)),
+  b AS (SELECT * FROM i UNION ALL SELECT listing_id, '__all__', field, reason, state FROM i), l AS (SELECT category, listing_id, count(*) FILTER (state NOT IN ('decided', 'applied')) AS o FROM b GROUP BY 1, 2)
+  SELECT category, count(*) AS issues, count(*) FILTER (state = 'unresolved') AS unresolved, count(*) FILTER (state = 'draft') AS draft, count(*) FILTER (state = 'decided') AS decided, count(*) FILTER (state = 'applied') AS applied, count(*) FILTER (state = 'stale') AS stale,
+    count(DISTINCT listing_id) AS listings, (SELECT count(*) FROM l WHERE l.category = b.category AND o = 0) AS complete_listings, string_agg(DISTINCT field, '|' ORDER BY field) AS facets FROM b GROUP BY category"""
+
+
+@query("agg_review_dashboard", _PROGRESS)
 def agg_review_dashboard(spark, sf_dir):
-    return _issues(spark, sf_dir).groupBy("category").agg(F.count("*").alias("issues"), F.countDistinct("listing_id").alias("listings"), F.count_if(F.col("listing_id") % 3 == 0).alias("decided"))
+    return D.review_dashboard(_issues(spark, sf_dir), _states(spark, sf_dir), _KEY, "listing_id", "category", "field").withColumn("facets", F.array_join("facets", "|"))
 
 
 @query("sink_review_once", f"SELECT DISTINCT sha256(concat(CAST(listing_id AS VARCHAR), '|', category, '|', field)) AS review_key FROM ({_ISSUES}) WHERE listing_id % 4 <> 0")
@@ -323,12 +349,9 @@ def agg_review_run_summary(spark, sf_dir):
     return _decided(spark, sf_dir).groupBy("status", "decision").agg(F.count("*").alias("n"))
 
 
-@query("cls_decision_state", "SELECT listing_id, CASE WHEN listing_id % 6 = 0 THEN 'applied' WHEN listing_id % 6 = 1 THEN 'stale' WHEN listing_id % 6 = 2 THEN 'decided' WHEN listing_id % 6 = 3 THEN 'draft' ELSE 'unresolved' END AS state FROM listings WHERE price_monthly IS NULL")
+@query("cls_decision_state", f"WITH RECURSIVE {_STATES_SQL} SELECT * FROM states")
 def cls_decision_state(spark, sf_dir):
-    rows = _listings(spark, sf_dir).where("price_monthly is null").select("listing_id")
-    kinds = F.create_map(*(F.lit(x) for kv in ((0, "applied"), (1, "stale"), (2, "decided"), (3, "draft")) for x in kv))
-    decisions = rows.withColumn("m", (F.col("listing_id") % 6).cast("int")).where("m < 4").select("listing_id", F.try_element_at(kinds, F.col("m")).alias("state"))
-    return rows.join(decisions, "listing_id", "left").select("listing_id", F.coalesce("state", F.lit("unresolved")).alias("state"))
+    return _states(spark, sf_dir)
 
 
 @query("cls_apply_decisions", "SELECT listing_id, CASE WHEN listing_id % 10 = 0 AND listing_id % 20 = 0 THEN 'villa' ELSE housing_type END AS housing_type, CASE WHEN listing_id % 10 = 0 AND listing_id % 20 = 0 THEN '9' ELSE CAST(bedrooms AS VARCHAR) END AS bedrooms, listing_id % 20 = 0 AS applied FROM listings")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import temporal as D
+from ..functions import temporal
 from ..functions import text as X
+from ..operators import decisions as D
 from ..operators import evidence as E
 from ..operators import history as H
 from ..operators import quality as Q
@@ -194,11 +195,26 @@ def canonical_rebuild(spark, sf_dir):
     return rows.select("listing_id", F.col("price_monthly").alias("old_price"), "new_price", (F.col("new_price").isNotNull() & F.col("latitude").isNotNull()).alias("map_ready"))
 
 
-@query("cls_replay_cached", "SELECT quality, count(*) AS n, count(*) FILTER (kept) AS retained FROM (SELECT i.quality, coalesce(evidence <> '' AND contains(lower(text), evidence), false) AS kept FROM inferred i JOIN documents d ON d.doc_id = i.doc_id) GROUP BY 1")
+_REPLAY = f"""WITH RECURSIVE {quality._STATES_SQL}, m AS (SELECT * FROM states WHERE state IN ('decided', 'applied')),
+  r AS (SELECT l.listing_id, l.price_monthly, CAST(l.bedrooms AS VARCHAR) AS bedrooms, p.housing_type, i.quality, i.evidence <> '' AND contains(lower(d.text), i.evidence) AND i.toxic = 0 AS passes
+    FROM listings l LEFT JOIN inferred i ON i.doc_id = l.listing_id LEFT JOIN documents d ON d.doc_id = l.listing_id LEFT JOIN reparsed p ON p.listing_id = l.listing_id),
+  u AS (SELECT listing_id, 'price' AS field, CAST(CAST(price_monthly AS BIGINT) AS VARCHAR) AS rule, CAST(quality AS VARCHAR) AS cached, passes FROM r UNION ALL SELECT listing_id, 'bedrooms', bedrooms, housing_type, quality = 1 FROM r)
+  SELECT listing_id, field, CASE WHEN m.state IS NOT NULL THEN m.value WHEN rule IS NOT NULL THEN rule WHEN coalesce(passes, false) THEN cached END AS value,
+    CASE WHEN m.state IS NOT NULL THEN 'manual' WHEN rule IS NOT NULL THEN 'rule' WHEN cached IS NULL THEN NULL WHEN coalesce(passes, false) THEN 'inference' ELSE 'rejected' END AS source FROM u LEFT JOIN m USING (listing_id, field)"""
+
+
+@query("cls_replay_cached", _REPLAY)
 def cls_replay_cached(spark, sf_dir):
-    rows = frame(spark, sf_dir, "inferred").join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    _, blocked = Q.evidence_gate(F.col("quality"), F.col("evidence"), F.array("text"), F.lit(True))
-    return rows.withColumn("b", blocked).groupBy("quality").agg(F.count("*").alias("n"), F.count_if(~F.col("b")).alias("retained"))
+    """Prices and bedrooms read again: what people decided stays, then the rules, then cached inferences that their evidence bears out."""
+    cached = frame(spark, sf_dir, "inferred").withColumnRenamed("doc_id", "listing_id")
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("listing_id"), "text")
+    kinds = frame(spark, sf_dir, "reparsed").select("listing_id", F.col("housing_type").alias("kind"))
+    rows = frame(spark, sf_dir, "listings").join(cached, "listing_id", "left").join(texts, "listing_id", "left").join(kinds, "listing_id", "left")
+    accepted, _ = Q.evidence_gate(F.col("quality"), F.col("evidence"), F.array("text"), F.col("toxic") == 0)
+    fields = {"price": (F.col("price_monthly").cast("long"), F.col("quality"), accepted.isNotNull()), "bedrooms": (F.col("bedrooms"), F.col("kind"), F.col("quality") == 1)}
+    states = D.decision_states(frame(spark, sf_dir, "decision_log"), ["listing_id", "field"])
+    again = D.replay(rows.withColumn("bedrooms", F.col("bedrooms").cast("string")), states, ["listing_id"], fields)
+    return again.select("listing_id", F.expr("stack(2, 'price', price, 'bedrooms', bedrooms)").alias("field", "_a")).select("listing_id", "field", "_a.*")
 
 
 @query("fn_unit_set", "SELECT property_id, array_to_string(list_sort(list_distinct(list(unit))), '|') AS units FROM (SELECT property_id, nullif(regexp_extract(address, 'Unit (\\d)', 1), '') AS unit FROM listings) WHERE unit IS NOT NULL GROUP BY 1")
@@ -212,7 +228,7 @@ def fn_unit_set(spark, sf_dir):
 def fn_iso_date(spark, sf_dir):
     k = F.col("o_orderkey")
     text = F.when(k % 4 < 2, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 4 == 2, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise("")
-    day, issue = D.iso_date(text)
+    day, issue = temporal.iso_date(text)
     return load(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), issue.alias("issue"))
 
 
@@ -221,19 +237,19 @@ def fn_aware_utc(spark, sf_dir):
     e = F.col("event_id")
     base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     text = F.when(e % 3 == 0, F.concat(base, F.lit("Z"))).when(e % 3 == 1, F.concat(base, F.lit("+02:00"))).otherwise(base)
-    return load(spark, sf_dir, "events").select("event_id", D.aware_utc(text).alias("utc"))
+    return load(spark, sf_dir, "events").select("event_id", temporal.aware_utc(text).alias("utc"))
 
 
 @query("fn_departures", """SELECT s_suppkey, time_period, CAST(strptime('2026-01-' || day || ' ' || t, '%Y-%m-%d %H:%M') AS TIMESTAMP) + INTERVAL 5 HOUR AS departure_at FROM supplier, (VALUES
   ('weekday_morning_commute', '05', ['07:30', '08:00', '08:30']), ('weekday_midday', '05', ['11:30', '12:00', '12:30']), ('weekday_evening_commute', '05', ['16:30', '17:00', '17:30']),
   ('weekday_late_evening', '05', ['21:30', '22:00', '22:30']), ('saturday_daytime', '10', ['11:30', '12:00', '12:30']), ('sunday_daytime', '11', ['11:30', '12:00', '12:30'])) v(time_period, day, ts), LATERAL (SELECT unnest(ts) AS t)""")
 def fn_departures(spark, sf_dir):
-    return D.departures(load(spark, sf_dir, "supplier"), F.lit("2026-01-05").cast("date"), "America/Toronto").select("s_suppkey", "time_period", "departure_at")
+    return temporal.departures(load(spark, sf_dir, "supplier"), F.lit("2026-01-05").cast("date"), "America/Toronto").select("s_suppkey", "time_period", "departure_at")
 
 
 @query("fn_age_score", "SELECT listing_id, round(greatest(0.0, 100 - 2 * (epoch(TIMESTAMP '1998-02-01 00:00:00') - epoch(last_seen_at)) / 86400.0), 4) AS score FROM listings")
 def fn_age_score(spark, sf_dir):
-    return frame(spark, sf_dir, "listings").select("listing_id", F.round(D.age_score(F.col("last_seen_at"), F.lit("1998-02-01 00:00:00").cast("timestamp")), 4).alias("score"))
+    return frame(spark, sf_dir, "listings").select("listing_id", F.round(temporal.age_score(F.col("last_seen_at"), F.lit("1998-02-01 00:00:00").cast("timestamp")), 4).alias("score"))
 
 
 _CAL = "SELECT s_suppkey AS service_id, CAST('2026-01-01' AS DATE) + CAST(s_suppkey % 9 AS INT) AS start_date, CAST('2026-01-20' AS DATE) + CAST(s_suppkey % 5 AS INT) AS end_date, s_suppkey FROM supplier"
@@ -248,7 +264,7 @@ def gtfs_service_days(spark, sf_dir):
     calendar = rows.select(k.alias("service_id"), date("2026-01-01", 9).alias("start_date"), date("2026-01-20", 5).alias("end_date"), *(F.when((k + i) % 3 != 0, 1).otherwise(0).alias(w) for i, w in enumerate(D.WEEKDAYS)))
     more = calendar.where("service_id % 2 = 0").select("service_id", F.date_add("end_date", 1).alias("day"), F.lit(1).alias("exception_type"))
     less = calendar.where("service_id % 4 = 0").select("service_id", F.col("start_date").alias("day"), F.lit(2).alias("exception_type"))
-    return D.service_days(calendar, more.unionByName(less)).groupBy("service_id").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return temporal.service_days(calendar, more.unionByName(less)).groupBy("service_id").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
 @query("agg_gtfs_audit", "SELECT l_suppkey AS trip, count(*) AS stop_times, count(*) FILTER (l_quantity >= 48) AS past_midnight, max(lpad(CAST(CAST(l_quantity / 2 AS INT) AS VARCHAR), 2, '0') || ':00:00') FILTER (CAST(l_quantity AS INT) % 2 = 0) AS latest FROM lineitem GROUP BY 1")
