@@ -304,11 +304,16 @@ def upsert_keep_better(spark, sf_dir):
     return L.keep_better(old, new, ["k"]).select("k", "status", "confidence", "origin")
 
 
-@query("agg_duplicate_ads", """WITH l AS (SELECT DISTINCT listing_id, lower(address) AS k, nullif(trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), '') AS d, price_monthly, bedrooms FROM listings),
+#: The listings, and those of some posted again under a new number, in other letters and spacing.
+_REPOSTED = "SELECT listing_id, address, title, price_monthly, bedrooms FROM listings UNION ALL SELECT listing_id + 1000000000, upper(address), concat('  ', upper(title)), price_monthly, bedrooms FROM listings WHERE price_monthly > 4000 AND bedrooms < 4"
+
+
+@query("agg_duplicate_ads", f"""WITH l AS (SELECT DISTINCT listing_id, lower(address) AS k, nullif(trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), '') AS d, price_monthly, bedrooms FROM ({_REPOSTED})),
   g AS (SELECT k, d, price_monthly, bedrooms, count(*) AS members, min(listing_id) AS "group" FROM l WHERE k IS NOT NULL AND d IS NOT NULL AND price_monthly IS NOT NULL AND bedrooms IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
   SELECT listing_id, "group", members FROM l JOIN g USING (k, d, price_monthly, bedrooms)""")
 def agg_duplicate_ads(spark, sf_dir):
-    rows = frame(spark, sf_dir, "listings").withColumn("k", F.lower("address")).withColumn("d", X.comparison_text(F.col("title")))
+    posted = spark.sql(_REPOSTED.replace("FROM listings", "FROM {listings}"), listings=frame(spark, sf_dir, "listings"))
+    rows = posted.withColumn("k", F.lower("address")).withColumn("d", X.comparison_text(F.col("title")))
     return L.duplicate_ads(rows, "listing_id", ["k", "d", "price_monthly", "bedrooms"])
 
 

@@ -35,7 +35,21 @@ def _text(name: str, sql: str, columns):
 
 _CLEAN = "CASE WHEN lower(trim(field)) NOT IN ('', 'nan', 'none', 'null', 'nat') THEN trim(field) END"
 _text("fn_clean_text", f"{_CLEAN} AS cleaned", lambda: dict(cleaned=T.clean_text(F.col("field"))))
-_text("fn_comparison_text", "nullif(trim(regexp_replace(lower(field), '\\s+', ' ', 'g')), '') AS compared", lambda: dict(compared=T.comparison_text(F.col("field"))))
+#: Given texts with what only the compatibility form and folding make equal.
+FRAMES["written"] = """
+    SELECT doc_id AS id, concat(CASE doc_id % 6 WHEN 0 THEN 'ＦＵＬＬ　Ｗｉｄｔｈ １２ ' WHEN 1 THEN 'ﬁne ﬂat oﬃce ' WHEN 2 THEN 'STRASSE Straße ẞ ' WHEN 3 THEN '½ ² № ℃ ' WHEN 4 THEN ' Ⅷ　ǆ K ' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END) AS raw
+    FROM documents"""
+_WIDE = "'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９　', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 '"
+_PARTS = "raw"
+for _old, _new in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ß", "ss"), ("ẞ", "ss"), ("½", "1⁄2"), ("²", "2"), ("№", "No"), ("℃", "°c"), ("Ⅷ", "viii"), ("ǆ", "dž"), ("K", "k")):
+    _PARTS = f"replace({_PARTS}, '{_old}', '{_new}')"
+
+
+@query("fn_comparison_text", f"SELECT id, nullif(trim(regexp_replace(lower(translate({_PARTS}, {_WIDE})), '\\s+', ' ', 'g')), '') AS compared FROM written")
+def fn_comparison_text(spark, sf_dir):
+    return frame(spark, sf_dir, "written").select("id", T.comparison_text(F.col("raw")).alias("compared"))
+
+
 _BOOL = f"CASE WHEN lower({_CLEAN}) IN ('true', '1', 'yes', 'y', 't') THEN true WHEN lower({_CLEAN}) IN ('false', '0', 'no', 'n', 'f') THEN false END"
 _text("fn_parse_bool", f"{_BOOL} AS parsed, CASE WHEN {_CLEAN} IS NOT NULL AND {_BOOL} IS NULL THEN 'invalid_boolean' END AS issue", lambda: dict(parsed=T.parse_bool(F.col("field"))[0], issue=T.parse_bool(F.col("field"))[1]))
 _NUM = f"TRY_CAST(replace({_CLEAN}, ',', '') AS DOUBLE)"
