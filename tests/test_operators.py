@@ -6,7 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import geo, temporal, text
+from tidewell.functions import addresses, geo, temporal, text
 from tidewell.operators import access, filters, history, lifecycle, quality, ranking, reuse, sorts, spatial
 from tidewell.streaming import lifecycle as stream
 
@@ -74,7 +74,7 @@ def test_price_period_belongs_to_the_amount(spark):
 
 def test_address_units(spark):
     def parts(value):
-        got = one(spark, p=text.address_parts(F.lit(value))).p
+        got = one(spark, p=addresses.address_parts(F.lit(value))).p
         return got.street, got.unit, got.ambiguous, got.complete
 
     assert parts("Apt 3, 12 King Street, London, ON, Canada") == ("12 king st", "apt:3", False, True)
@@ -89,7 +89,7 @@ def test_address_units(spark):
 
 def test_civic_addresses(spark):
     def civic(value):
-        got = one(spark, p=text.civic_address(F.lit(value))).p
+        got = one(spark, p=addresses.civic_parts(F.lit(value))).p
         return got.civic, got.unit
 
     assert civic("12 King Court") == civic("12 king CT.") == ("12 KING CT", None)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal
+from ..functions import addresses as A
 from ..functions import text as X
 from ..operators import decisions as D
 from ..operators import evidence as E
@@ -219,7 +220,7 @@ def cls_replay_cached(spark, sf_dir):
 
 @query("fn_unit_set", "SELECT property_id, array_to_string(list_sort(list_distinct(list(unit))), '|') AS units FROM (SELECT property_id, nullif(regexp_extract(address, 'Unit (\\d)', 1), '') AS unit FROM listings) WHERE unit IS NOT NULL GROUP BY 1")
 def fn_unit_set(spark, sf_dir):
-    unit = F.substring_index(X.address_parts(F.col("address"))["unit"], ":", -1)
+    unit = F.substring_index(A.address_parts(F.col("address"))["unit"], ":", -1)
     rows = frame(spark, sf_dir, "listings").select("property_id", unit.alias("unit")).where("unit is not null")
     return rows.groupBy("property_id").agg(F.array_join(F.array_sort(F.collect_set("unit")), "|").alias("units"))
 

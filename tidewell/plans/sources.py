@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import addresses as A
 from ..functions import text as X
 from ..operators import lifecycle as L
 from ..sources import readers as S
@@ -144,7 +145,7 @@ def snapshot_promote(spark, sf_dir):
 @query("prepare_canonical", """SELECT listing_id, CASE WHEN price_monthly IS NULL THEN 'missing_price|' ELSE '' END || CASE WHEN housing_type IS NULL THEN 'missing_type' ELSE '' END AS issues, lower(housing_type) AS kind, split_part(address, ' ', 1) AS house_number FROM listings""")
 def prepare_canonical(spark, sf_dir):
     rows = frame(spark, sf_dir, "listings")
-    street = X.address_parts(F.col("address"))["street"]
+    street = A.address_parts(F.col("address"))["street"]
     issues = F.concat(F.when(F.col("price_monthly").isNull(), "missing_price|").otherwise(""), F.when(F.col("housing_type").isNull(), "missing_type").otherwise(""))
     return rows.select("listing_id", issues.alias("issues"), X.comparison_text(F.col("housing_type")).alias("kind"), F.substring_index(street, " ", 1).alias("house_number"))
 
