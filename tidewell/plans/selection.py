@@ -268,13 +268,6 @@ def gtfs_service_days(spark, sf_dir):
     return temporal.service_days(calendar, more.unionByName(less)).groupBy("service_id").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
-@query("agg_gtfs_audit", "SELECT l_suppkey AS trip, count(*) AS stop_times, count(*) FILTER (l_quantity >= 48) AS past_midnight, max(lpad(CAST(CAST(l_quantity / 2 AS INT) AS VARCHAR), 2, '0') || ':00:00') FILTER (CAST(l_quantity AS INT) % 2 = 0) AS latest FROM lineitem GROUP BY 1")
-def agg_gtfs_audit(spark, sf_dir):
-    clock = F.concat(F.lpad((F.col("l_quantity") / 2).cast("int").cast("string"), 2, "0"), F.lit(":00:00"))
-    rows = load(spark, sf_dir, "lineitem").withColumn("even", F.col("l_quantity").cast("int") % 2 == 0).withColumn("clock", clock)
-    return rows.groupBy(F.col("l_suppkey").alias("trip")).agg(F.count("*").alias("stop_times"), F.count_if(F.col("l_quantity") >= 48).alias("past_midnight"), F.max(F.when(F.col("even"), F.col("clock"))).alias("latest"))
-
-
 FRAMES["descriptions"] = """
     SELECT doc_id AS id, concat(text, '\n',
       CASE doc_id % 7 WHEN 0 THEN 'Sublet from May to August, $600 monthly.' WHEN 1 THEN 'Not a sublet! Rent is due Jan - Apr' WHEN 2 THEN 'There is an option to sublet; available Sept 1 until Dec 31.' WHEN 3 THEN 'May - Aug'

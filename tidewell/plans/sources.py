@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import addresses as A
 from ..functions import text as X
 from ..operators import lifecycle as L
+from ..sources import gtfs
 from ..sources import readers as S
 from ..sources.scratch import scratch_path
 from ..sources.versions import OutOfOrderRun, VersionedTable
-from .frames import frame, load
+from .frames import FRAMES, frame, load
 from .registry import query
 
 
@@ -50,10 +51,56 @@ def scan_csv_typed(spark, sf_dir):
     return found.select(F.col("id").cast("long").alias("id"), "flag", "number", F.array_join("items", ";").alias("items"))
 
 
-@query("scan_gtfs", "SELECT CAST(stop_id AS VARCHAR) AS stop_id, x AS stop_lat, y AS stop_lon FROM stops WHERE stop_id % 7 <> 0")
+#: A feed: suppliers as stops, nations as routes, orders as trips, line items as their times.
+FRAMES["gtfs_stops"] = "SELECT concat('p', CAST(s_suppkey AS STRING)) AS stop_id, s_name AS stop_name, CASE WHEN s_suppkey % 7 = 0 THEN '?' ELSE CAST(42 + s_suppkey % 100 / 100e0 AS STRING) END AS stop_lat, CASE WHEN s_suppkey % 11 <> 0 THEN CAST(-81 - s_suppkey % 50 / 100e0 AS STRING) ELSE '-999' END AS stop_lon FROM supplier WHERE s_suppkey % 13 <> 0"
+FRAMES["gtfs_routes"] = "SELECT concat('r', CAST(n_nationkey AS STRING)) AS route_id, substr(n_name, 1, 3) AS route_short_name, n_name AS route_long_name FROM nation"
+FRAMES["gtfs_trips"] = "SELECT concat('t', CAST(o_orderkey AS STRING)) AS trip_id, concat('r', CAST(o_custkey % 27 AS STRING)) AS route_id, concat('s', CAST(o_orderkey % 7 AS STRING)) AS service_id FROM orders WHERE o_orderkey % 19 <> 0"
+_CLOCK = "concat(lpad(CAST(CAST(floor(m / 60) AS BIGINT) AS STRING), 2, '0'), ':', lpad(CAST(m % 60 AS STRING), 2, '0'), ':00')"
+FRAMES["gtfs_times"] = f"""SELECT trip_id, stop_id, stop_sequence, CASE WHEN m % 41 = 0 THEN 'late' ELSE {_CLOCK} END AS arrival_time, CASE WHEN m % 41 <> 0 AND m % 5 = 0 THEN {_CLOCK} END AS departure_time FROM (
+    SELECT concat('t', CAST(l_orderkey AS STRING)) AS trip_id, concat('p', CAST(l_suppkey AS STRING)) AS stop_id, CAST(l_linenumber AS STRING) AS stop_sequence, l_orderkey % 1500 + l_linenumber * CASE WHEN l_orderkey % 23 = 0 THEN -3 ELSE 4 END + 30 AS m FROM lineitem)"""
+_DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
+FRAMES["gtfs_calendar"] = f"SELECT concat('s', CAST(r_regionkey AS STRING)) AS service_id, {', '.join(f'CASE WHEN r_regionkey IN (1, 4) THEN CASE WHEN r_regionkey = {4 if i > 4 else 1} THEN 1 ELSE 0 END ELSE CASE WHEN r_regionkey = 0 THEN 1 ELSE 0 END END AS {d}' for i, d in enumerate(_DAYS))}, CASE r_regionkey WHEN 3 THEN '2026-01-01' ELSE '20260101' END AS start_date, CASE r_regionkey WHEN 2 THEN '20251231' ELSE '20260630' END AS end_date FROM region"
+FRAMES["gtfs_dates"] = "SELECT concat('s', CAST(r_regionkey + 3 AS STRING)) AS service_id, CASE r_regionkey WHEN 1 THEN '20260105' ELSE '20260704' END AS date, CASE WHEN r_regionkey < 3 THEN '1' ELSE '2' END AS exception_type FROM region"
+_FEED = {"stops": "gtfs_stops", "routes": "gtfs_routes", "trips": "gtfs_trips", "stop_times": "gtfs_times", "calendar": "gtfs_calendar", "calendar_dates": "gtfs_dates"}
+
+
+def _feed(spark, sf_dir):
+    """The feed written as its files and read back."""
+    return gtfs.read_feed(spark, {name: _csv(spark, frame(spark, sf_dir, role), name) for name, role in _FEED.items()})
+
+
+_SECONDS = "CAST(split_part({0}, ':', 1) AS INT) * 3600 + CAST(split_part({0}, ':', 2) AS INT) * 60"
+_TIMED = f"SELECT trip_id, stop_id, CAST(stop_sequence AS INT) AS stop_sequence, CASE WHEN arrival_time <> 'late' THEN {_SECONDS.format('arrival_time')} END AS arrival, CASE WHEN departure_time IS NOT NULL THEN {_SECONDS.format('departure_time')} END AS departure FROM gtfs_times"
+_PLACED = "SELECT stop_id FROM gtfs_stops WHERE stop_lat <> '?' AND stop_lon <> '-999'"
+
+
+@query("scan_gtfs", f"""SELECT r.route_id, count(DISTINCT t.trip_id) AS trips, count(*) AS stop_times, count(DISTINCT p.stop_id) AS stops, min(departure) AS first_departure, max(arrival) AS last_arrival, count(*) FILTER (coalesce(arrival, departure) >= 86400) AS past_midnight
+  FROM ({_TIMED}) x JOIN gtfs_trips t ON t.trip_id = x.trip_id JOIN gtfs_routes r ON r.route_id = t.route_id LEFT JOIN ({_PLACED}) p ON p.stop_id = x.stop_id GROUP BY 1""")
 def scan_gtfs(spark, sf_dir):
-    rows = frame(spark, sf_dir, "stops").select("stop_id", F.when(F.col("stop_id") % 7 == 0, "?").otherwise(F.col("x").cast("string")).alias("stop_lat"), F.col("y").alias("stop_lon"))
-    return S.read_gtfs_stops(spark, _csv(spark, rows, "stops"))
+    return gtfs.route_summary(_feed(spark, sf_dir))
+
+
+_SERVICES = "SELECT service_id FROM gtfs_calendar UNION SELECT service_id FROM gtfs_dates WHERE exception_type = '1'"
+_FALLS = f"SELECT trip_id FROM (SELECT trip_id, t, lag(t) OVER (PARTITION BY trip_id ORDER BY stop_sequence, arrival, departure, k) AS before FROM (SELECT trip_id, stop_sequence, arrival, departure, unnest([1, 2]) AS k, unnest([arrival, departure]) AS t FROM ({_TIMED})) WHERE t IS NOT NULL) WHERE t < before GROUP BY 1"
+_AUDIT = {
+    "trip_without_route": "FROM gtfs_trips WHERE route_id NOT IN (SELECT route_id FROM gtfs_routes)", "trip_without_service": f"FROM gtfs_trips WHERE service_id NOT IN ({_SERVICES})", "time_without_trip": "FROM gtfs_times WHERE trip_id NOT IN (SELECT trip_id FROM gtfs_trips)",
+    "time_without_stop": "FROM gtfs_times WHERE stop_id NOT IN (SELECT stop_id FROM gtfs_stops)", "trip_without_times": "FROM gtfs_trips WHERE trip_id NOT IN (SELECT trip_id FROM gtfs_times)", "stop_without_place": f"FROM gtfs_stops WHERE stop_id NOT IN ({_PLACED})",
+    "stop_id_repeats": "FROM (SELECT stop_id FROM gtfs_stops GROUP BY 1 HAVING count(*) > 1)", "trip_id_repeats": "FROM (SELECT trip_id FROM gtfs_trips GROUP BY 1 HAVING count(*) > 1)", "route_id_repeats": "FROM (SELECT route_id FROM gtfs_routes GROUP BY 1 HAVING count(*) > 1)",
+    "sequence_repeats": "FROM (SELECT trip_id FROM gtfs_times GROUP BY trip_id, stop_sequence HAVING count(*) > 1)", "time_not_read": "FROM gtfs_times WHERE arrival_time = 'late' AND departure_time IS NULL", "times_fall": f"FROM ({_FALLS})",
+    "short_trip": "FROM (SELECT trip_id FROM gtfs_times GROUP BY 1 HAVING count(*) < 2)", "service_never_runs": "FROM gtfs_calendar WHERE service_id = 's2'", "service_dates_not_read": "FROM gtfs_calendar WHERE length(start_date) <> 8",
+}
+
+
+@query("agg_gtfs_audit", " UNION ALL ".join(f"SELECT '{name}' AS \"check\", CAST(count(*) AS VARCHAR) AS found {rest}" for name, rest in _AUDIT.items()) + """
+  UNION ALL SELECT * FROM (VALUES ('first_day', '2026-01-01'), ('last_day', '2026-07-04'), ('days_left', '180'), ('weekdays', 'monday|tuesday|wednesday|thursday|friday|saturday|sunday'), ('services', '3'), ('status', 'current')) v(a, b)
+  UNION ALL SELECT 'trips_today', CAST(count(*) AS VARCHAR) FROM gtfs_trips WHERE service_id IN ('s0', 's1', 's4')""")
+def agg_gtfs_audit(spark, sf_dir):
+    """The feed's checks, and its span and service on a Monday."""
+    feed = _feed(spark, sf_dir)
+    span = gtfs.feed_span(feed, F.lit("2026-01-05").cast("date"))
+    names = span.columns
+    flat = span.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).cast("string").alias("found")) for n in names))).alias("s")).select("s.*")
+    return gtfs.feed_checks(feed).select("check", F.col("n").cast("string").alias("found")).unionByName(flat)
 
 
 @query("scan_feature_snapshot", "SELECT 'nation-' || CAST(c_nationkey AS VARCHAR) AS dataset, c_custkey AS id, c_mktsegment AS segment FROM customer")

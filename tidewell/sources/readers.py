@@ -43,13 +43,6 @@ def typed(rows: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     return rows.withColumns({n: cast(n, k) for n, k in kinds.items() if n in rows.columns})
 
 
-def read_gtfs_stops(spark: SparkSession, path: str) -> DataFrame:
-    """Stops with numeric coordinates; rows without any are dropped."""
-    rows = read_csv_strings(spark, path)
-    rows = rows.withColumns({c: F.col(c).try_cast("double") for c in ("stop_lat", "stop_lon")})
-    return rows.where("stop_id is not null and stop_lat is not null and stop_lon is not null")
-
-
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """(dataset, id, attributes) of the features in snapshot documents."""
     rows = spark.read.schema(SNAPSHOT_SCHEMA).json(path)
