@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import access as A
 from ..operators import cascade
 from ..operators import reuse as R
+from ..operators import validation as V
 from ..sources.scratch import scratch_path, settled
 from ..sources.versions import VersionedTable
 from .frames import FRAMES, frame, load
@@ -289,10 +290,19 @@ def batch_quality_report(spark, sf_dir):
     return rows.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("quality_status") == "partial").alias("warnings"), F.count_if("is_stale").alias("review"))
 
 
-@query("route_audit", "SELECT l_orderkey AS route, count(*) AS legs, count(*) FILTER (before IS NOT NULL AND before <> l_suppkey) AS breaks FROM (SELECT *, lag(l_partkey % 100) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before FROM lineitem) GROUP BY 1")
+FRAMES["legs"] = """
+    SELECT l_orderkey AS route, l_linenumber AS leg, l_partkey AS tie, l_suppkey AS from_stop, CASE WHEN l_partkey % 3 = 0 THEN l_suppkey ELSE l_partkey % 100 END AS to_stop, CAST(l_linenumber * 600 + l_quantity * 3 AS BIGINT) AS departs,
+      CAST(l_linenumber * 600 + l_quantity * 3 + (l_partkey + l_orderkey) % 650 - 5 AS BIGINT) AS arrives, l_discount AS from_offset, l_discount + l_tax AS to_offset FROM lineitem"""
+FRAMES["leg_profiles"] = "SELECT o_orderkey AS route, CAST(floor(o_totalprice) AS BIGINT) % 1200 AS duration FROM orders WHERE o_orderkey % 9 <> 0"
+
+
+@query("route_audit", """WITH b AS (SELECT *, lag(to_stop) OVER w AS stop, lag(arrives) OVER w AS arrived FROM legs WINDOW w AS (PARTITION BY route ORDER BY leg, tie, from_stop)),
+  g AS (SELECT route, count(*) AS legs, bool_or(stop <> from_stop) AS a, bool_or(to_offset <= from_offset) AS o, bool_or(arrives < departs) AS t, bool_or(departs < arrived) AS d, max(arrives) - min(departs) AS took FROM b GROUP BY 1)
+  SELECT g.route, legs, concat_ws('|', CASE WHEN a THEN 'leg_break' END, CASE WHEN o THEN 'offset_falls' END, CASE WHEN t THEN 'arrives_before_departs' END, CASE WHEN d THEN 'departs_before_arrival' END, CASE WHEN took <> duration THEN 'duration_differs' END, CASE WHEN duration IS NULL THEN 'no_profile' END) AS violations,
+    took - duration AS gap_seconds FROM g LEFT JOIN leg_profiles p ON p.route = g.route""")
 def route_audit(spark, sf_dir):
-    legs = load(spark, sf_dir, "lineitem").withColumn("to_stop", F.col("l_partkey") % 100).withColumn("route", F.col("l_orderkey"))
-    return A.leg_breaks(legs, "route", ["l_linenumber", "l_partkey", "l_suppkey"], "l_suppkey", "to_stop")
+    out = V.leg_violations(frame(spark, sf_dir, "legs"), "route", ["leg", "tie", "from_stop"], frame(spark, sf_dir, "leg_profiles"))
+    return out.withColumn("violations", F.array_join("violations", "|"))
 
 
 @query("itinerary_summary", "SELECT l_orderkey AS route, CAST(sum(l_quantity) FILTER (l_returnflag = 'A') AS BIGINT) AS walk, CAST(sum(l_quantity) FILTER (l_returnflag <> 'A') AS BIGINT) AS ride, greatest(count(*) FILTER (l_returnflag <> 'A') - 1, 0) AS transfers FROM lineitem GROUP BY 1")

@@ -11,6 +11,7 @@ from ..operators import decisions as D
 from ..operators import evidence as E
 from ..operators import history as H
 from ..operators import quality as Q
+from ..operators import validation as V
 from ..operators.sorts import top_per_key
 from . import quality, text  # noqa: F401  their frames are used here
 from .frames import FRAMES, frame, load
@@ -129,12 +130,32 @@ def promotion_validate(spark, sf_dir):
     return counts.crossJoin(F.broadcast(same.agg(F.count("*").cast("int").alias("unexpected"))))
 
 
-@query("reference_import_check", "SELECT count(*) AS n, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (x < 0) AS out_of_bounds, CAST(count(*) - count(DISTINCT official_id) AS BIGINT) AS repeated, count(*) FILTER (status <> 'active') AS inactive FROM officials")
+#: Parcels as a snapshot holds them: squares, and each kind of broken ring.
+FRAMES["parcels"] = """
+    SELECT CASE WHEN k % 17 <> 0 THEN CASE WHEN k % 23 = 1 THEN k - 1 ELSE k END END AS parcel_id, CASE WHEN k % 29 <> 0 THEN 26917 ELSE 4326 END AS srid, CASE WHEN k % 6 <> 0 THEN seg END AS zoning,
+      CASE k % 13 WHEN 0 THEN concat('POLYGON((', p1, ',', p2, ',', p3, ',', p4, '))') WHEN 1 THEN concat('POLYGON((', p1, ',', p3, ',', p2, ',', p4, ',', p1, '))') WHEN 2 THEN concat('POLYGON((', p1, ',', p2, ',', p1, '))') WHEN 3 THEN concat('Polygon (( ', p1, ' , ', p2, ' , ', p2, ', ', p3, ',', p4, ',', p1, '))')
+        WHEN 4 THEN concat('POLYGON((', p1, ',', p2, ',', p1, ',', p1, '))') WHEN 5 THEN concat('POLYGON((-', p1, ',', p2, ',', p3, ',-', p1, '))') WHEN 6 THEN concat('POINT(', p1, ')') WHEN 7 THEN 'POLYGON EMPTY' WHEN 8 THEN concat('POLYGON((', p1, ',', p2, ',x y,', p1, '))') WHEN 9 THEN NULL
+        ELSE concat('POLYGON((', p1, ',', p2, ',', p3, ',', p4, ',', p1, '))') END AS wkt
+    FROM (SELECT c_custkey AS k, c_mktsegment AS seg, concat(CAST(x AS STRING), ' ', CAST(y AS STRING)) AS p1, concat(CAST(x + 10 AS STRING), ' ', CAST(y AS STRING)) AS p2, concat(CAST(x + 10 AS STRING), ' ', CAST(y + 10 AS STRING)) AS p3, concat(CAST(x AS STRING), ' ', CAST(y + 10 AS STRING)) AS p4
+      FROM (SELECT c_custkey, c_mktsegment, c_custkey * 7919 % 9000 + 1 AS x, c_custkey * 31 % 7000 + 1 AS y FROM customer))"""
+#: Rings point by point, edges by a join of neighbours, crossings by a join of edges.
+_PARCELS = """WITH f AS (SELECT *, row_number() OVER () AS rid, upper(trim(wkt)) LIKE 'POLYGON%' AS poly FROM parcels),
+  p AS (SELECT rid, i, TRY_CAST(split_part(trim(ps[i]), ' ', 1) AS DOUBLE) AS x, TRY_CAST(split_part(trim(ps[i]), ' ', 2) AS DOUBLE) AS y, len(ps) AS n FROM (SELECT rid, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT rid, string_split(nullif(regexp_extract(upper(wkt), '\\(\\(([^()]*)\\)', 1), ''), ',') AS ps FROM f WHERE poly) WHERE ps IS NOT NULL)),
+  e AS (SELECT a.rid, a.i, a.n, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM p a JOIN p b ON b.rid = a.rid AND b.i = a.i + 1),
+  r AS (SELECT rid, max(n) AS n, bool_and(x IS NOT NULL AND y IS NOT NULL) AS whole, arg_min(x, i) = arg_max(x, i) AND arg_min(y, i) = arg_max(y, i) AS closed, bool_or(NOT (x BETWEEN 0 AND 8000 AND y BETWEEN 0 AND 9000)) AS outside FROM p GROUP BY 1),
+  q AS (SELECT rid, bool_or(ax = bx AND ay = b_y) AS repeated, abs(sum(ax * b_y - bx * ay)) < 1e-9 AS flat FROM e GROUP BY 1),
+  s AS (SELECT DISTINCT e.rid FROM e JOIN e g ON g.rid = e.rid AND g.i > e.i + 1 AND ((e.bx - e.ax) * (g.ay - e.ay) - (e.b_y - e.ay) * (g.ax - e.ax)) * ((e.bx - e.ax) * (g.b_y - e.ay) - (e.b_y - e.ay) * (g.bx - e.ax)) < 0
+      AND ((g.bx - g.ax) * (e.ay - g.ay) - (g.b_y - g.ay) * (e.ax - g.ax)) * ((g.bx - g.ax) * (e.b_y - g.ay) - (g.b_y - g.ay) * (e.bx - g.ax)) < 0),
+  c AS (SELECT f.rid, unnest(list_filter([CASE WHEN parcel_id IS NULL THEN 'missing_id' END, CASE WHEN parcel_id IS NOT NULL AND count(*) OVER (PARTITION BY parcel_id) > 1 THEN 'repeated_id' END, CASE WHEN srid <> 26917 THEN 'wrong_srid' END, CASE WHEN NOT poly THEN 'wrong_type' END, CASE WHEN zoning IS NULL THEN 'missing_zoning' END,
+      CASE WHEN coalesce(poly, true) AND r.n IS NULL THEN 'empty_geometry' END, CASE WHEN NOT whole THEN 'coordinate_not_finite' END, CASE WHEN r.n < 4 THEN 'too_few_points' END, CASE WHEN NOT closed THEN 'ring_not_closed' END, CASE WHEN whole AND repeated THEN 'repeated_point' END, CASE WHEN whole AND closed AND r.n >= 4 AND flat THEN 'no_area' END,
+      CASE WHEN whole AND closed AND s.rid IS NOT NULL THEN 'self_intersection' END, CASE WHEN whole AND outside THEN 'out_of_bounds' END], lambda v: v IS NOT NULL)) AS violation FROM f LEFT JOIN r ON r.rid = f.rid LEFT JOIN q ON q.rid = f.rid LEFT JOIN s ON s.rid = f.rid)
+  SELECT violation, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT '__rows__', count(*) FROM f UNION ALL SELECT '__valid__', count(*) FROM f WHERE rid NOT IN (SELECT rid FROM c)"""
+
+
+@query("reference_import_check", _PARCELS)
 def reference_import_check(spark, sf_dir):
-    rows = frame(spark, sf_dir, "officials")
-    repeated = rows.groupBy("official_id").agg((F.count("*") - 1).alias("extra")).agg(F.sum("extra").alias("repeated"))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.count_if(F.col("x") < 0).alias("out_of_bounds"), F.count_if(F.col("status") != "active").alias("inactive"))
-    return counts.crossJoin(F.broadcast(repeated))
+    found = V.snapshot_violations(frame(spark, sf_dir, "parcels"), "parcel_id", "wkt", "srid", ["zoning"], expected_srid=26917, bounds=(0.0, 0.0, 8000.0, 9000.0))
+    return V.counted(found)
 
 
 @query("mobility_normalize", "SELECT facility, field, value FROM (SELECT p_partkey AS facility, 'kind' AS field, lower(p_type) AS value FROM part UNION ALL SELECT p_partkey, 'owner', lower(p_brand) FROM part WHERE p_partkey % 2 = 0)")
