@@ -84,31 +84,45 @@ def market_cohorts(market: DataFrame) -> DataFrame:
     return by_price.groupBy(*group).agg(F.sum("n").alias("cohort_count"), at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"))
 
 
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equal in all columns, null to null."""
+    test = F.lit(True)
+    for x, y in zip(left, right, strict=True):
+        test = test & F.col(x).eqNullSafe(F.col(y))
+    return test
+
+
 def select_baselines(market: DataFrame, cohorts: DataFrame, config: RankingConfig = DEFAULT) -> DataFrame:
     """Each market listing with its narrowest cohort that is large enough and not flat, else the widest.
 
-    The cohorts are joined by their full key at each level, null lease included.
+    The level is resolved on the distinct keys, a row per narrowest cohort; the
+    listings are joined once, by their full key, null lease included.
     """
+    keys = LEVELS[0][1]
     usable = cohorts.where((F.col("level_no") == len(LEVELS) - 1) | ((F.col("cohort_count") >= config.min_cohort) & (F.col("p75") != F.col("p25"))))
+    wide = market.select(*keys).distinct()
+    levels = F.array(*(F.struct(F.lit(i).alias("_level"), *((F.col(k) if k in own else F.lit(None).cast(dict(market.dtypes)[k])).alias(f"_own_{k}") for k in keys)) for i, (_, own) in enumerate(LEVELS)))
+    spread = wide.select(*keys, F.explode(levels).alias("l")).select(*keys, "l.*")
     stats = F.struct("level_no", "level", "cohort_count", "p25", "median", "p75")
-    out = market
-    for i, (_, own) in enumerate(LEVELS):
-        part = usable.where(F.col("level_no") == i).select(*(F.col(f"key_{k}").alias(f"_k_{k}") for k in own), stats.alias(f"_b{i}"))
-        condition = F.lit(True)
-        for k in own:
-            condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        out = (out.join(part, condition, "left") if own else out.join(F.broadcast(part), how="left")).drop(*(f"_k_{k}" for k in own))
-    chosen = F.coalesce(*(f"_b{i}" for i in range(len(LEVELS))))
-    return out.withColumn("baseline", chosen).drop(*(f"_b{i}" for i in range(len(LEVELS))))
-
-
-def price_percentile(rows: DataFrame, by: Sequence[str], price: str = "price_monthly") -> Column:
-    """Position of the price in its cohort, 0 to 100; ties share the middle, a lone price is at 50."""
-    group = Window.partitionBy(*by)
-    n = F.count("*").over(group)
-    less = F.rank().over(group.orderBy(price)) - 1
-    equal = F.count("*").over(Window.partitionBy(*by, price))
-    return F.when(n == 1, 50.0).otherwise(100.0 * (less + (equal - 1) / 2) / (n - 1))
+    part = usable.select("level_no", *(f"key_{k}" for k in keys), stats.alias("_b"))
+    found = spread.join(part, (F.col("_level") == F.col("level_no")) & _same([f"_own_{k}" for k in keys], [f"key_{k}" for k in keys]))
+    chosen = found.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.min_by("_b", "_level").alias("baseline"))
+    return market.join(chosen, _same(keys, [f"_k_{k}" for k in keys]), "left").drop(*(f"_k_{k}" for k in keys))
+
+
+def price_percentile(rows: DataFrame, by: Sequence[str], price: str = "price_monthly") -> DataFrame:
+    """Adds price_percentile, the price's position in its cohort, 0 to 100; ties share the middle, a lone price is at 50.
+
+    Prices are counted by cohort first, so the window runs over distinct prices
+    and the listings are joined once to the places of theirs.
+    """
+    counted = rows.groupBy(*by, price).agg(F.count("*").alias("_n"))
+    cohort = Window.partitionBy(*by)
+    less = F.coalesce(F.sum("_n").over(cohort.orderBy(price).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(cohort)
+    place = F.when(total == 1, 50.0).otherwise(100.0 * (less + (F.col("_n") - 1) / 2) / (total - 1))
+    places = counted.select(*(F.col(c).alias(f"_k_{c}") for c in (*by, price)), place.alias("price_percentile"))
+    return rows.join(places, _same([*by, price], [f"_k_{c}" for c in (*by, price)])).drop(*(f"_k_{c}" for c in (*by, price)))
 
 
 def cohort_percentile(based: DataFrame, market: DataFrame) -> DataFrame:

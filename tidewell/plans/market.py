@@ -66,7 +66,7 @@ def agg_baseline_select(spark, sf_dir):
   count(*) OVER (PARTITION BY housing_type, bedrooms, price_monthly) AS equal FROM listings WHERE price_monthly IS NOT NULL)""")
 def win_price_percentile(spark, sf_dir):
     rows = frame(spark, sf_dir, "listings").where("price_monthly is not null")
-    return rows.select("listing_id", F.round(R.price_percentile(rows, ["housing_type", "bedrooms"]), 4).alias("price_percentile"))
+    return R.price_percentile(rows, ["housing_type", "bedrooms"]).select("listing_id", F.round("price_percentile", 4).alias("price_percentile"))
 
 
 @query("filter_market_rows", "SELECT listing_id FROM listings WHERE listing_status IN ('active', 'relisted') AND price_monthly BETWEEN 300 AND 10000 AND rental_structure IS NOT NULL AND coalesce(housing_type, '') <> '' AND bedrooms IS NOT NULL")
