@@ -22,6 +22,10 @@ def duck():
     return connection
 
 
+#: Queries that find nothing on clean tables.
+EMPTY = {"set_unique_violations"}
+
+
 def plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else round(value, 6)
@@ -43,6 +47,7 @@ def test_query_equals_sql(spark, duck, name):
         assert got
         return
     found = duck.execute(all_queries.ORACLE[name])
+    assert got or name in EMPTY, "an empty result proves nothing"
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)

@@ -237,11 +237,85 @@ def run_completion(stages: DataFrame, run: str, order: str) -> DataFrame:
     return rows.groupBy(run).agg(F.bool_and(F.col("status") == "completed").alias("complete"), F.count_if("_m").alias("mismatches"))
 
 
-def coordinate_blockers(exact: Column, current: Column, accepted: Column, confidence: Column, review: Column, unit: Column, shared: Column, status: Column, building: Column, parcel: Column, movement: Column, least: float = 0.98, most_move: float = 100.0) -> Column:
-    """Reasons against taking an official coordinate, in the order of the gates."""
-    return _present(
-        F.when(~exact, "no_exact_match"), F.when(~current, "no_usable_current_coordinate"), F.when(~accepted, "dataset_not_accepted"),
-        F.when(confidence.isNull() | (confidence < least), "match_confidence_below_threshold"), F.when(review, "match_review_required"), F.when(unit == "unresolved", "unit_requires_exact_unit_match"),
-        F.when(shared != 1, "shared_address_point"), F.when(status != "active", "address_status_not_accepted"), F.when(~building, "building_not_validated"), F.when(~parcel, "parcel_not_validated"),
-        F.when(movement > most_move, "movement_above_limit"),
+# What a coordinate must pass before a city's official one replaces it, in order; the names are the reasons given.
+COORDINATE_GATES = (
+    "no_usable_current_coordinate", "city_dataset_not_current", "city_dataset_not_accepted", "city_match_confidence_below_threshold", "city_match_review_required", "city_match_has_unresolved_reasons", "unit_requires_exact_unit_match",
+    "shared_municipal_address_point", "municipal_address_status_not_accepted", "invalid_city_geometry", "city_geometry_outside_london_bounds", "parcel_not_uniquely_resolved", "building_not_uniquely_resolved",
+    "missing_usable_geoapify_comparison", "missing_city_movement_comparison", "automatic_city_movement_threshold_exceeded", "large_parcel_without_unique_building", "multi_building_parcel_without_unique_building",
+    "multi_address_parcel_without_unique_building",
+)
+# The policy's limits.
+LEAST_MATCH, MOST_MOVE, LARGE_PARCEL, SIMPLE_PARCEL_ADDRESSES, CITY_SRID = 0.98, 100.0, 6937.72, 1, 26917
+
+
+def coordinate_gates(bounds: Sequence[float]) -> Column:
+    """Names of the COORDINATE_GATES that a row of evidence fails; null evidence fails its gate.
+
+    Columns: current_usable, dataset_current, dataset_accepted, match_confidence,
+    match_review, match_reasons (array), unit_status, shared_properties,
+    address_status, city_x, city_y, city_valid, city_srid, parcel, building,
+    provider_usable, provider_distance, movement, parcel_area,
+    parcel_buildings, parcel_addresses.
+    """
+    holds = lambda test: F.coalesce(test, F.lit(False))
+    col = F.col
+    x0, y0, x1, y1 = map(F.lit, bounds)
+    located = holds(col("city_x").isNotNull() & col("city_y").isNotNull() & ~F.isnan("city_x") & ~F.isnan("city_y") & col("city_valid") & (col("city_srid") == CITY_SRID))
+    one_building = holds(col("building") == "unique_contains")
+    failed = {
+        "no_usable_current_coordinate": ~holds(col("current_usable")),
+        "city_dataset_not_current": ~holds(col("dataset_current")),
+        "city_dataset_not_accepted": ~holds(col("dataset_accepted")),
+        "city_match_confidence_below_threshold": ~holds(col("match_confidence") >= LEAST_MATCH),
+        "city_match_review_required": holds(col("match_review")),
+        "city_match_has_unresolved_reasons": holds(F.size("match_reasons") > 0),
+        "unit_requires_exact_unit_match": holds(col("unit_status") == "unresolved"),
+        "shared_municipal_address_point": ~holds(col("shared_properties") == 1),
+        "municipal_address_status_not_accepted": ~holds(col("address_status").isin("active", "current")),
+        "invalid_city_geometry": ~located,
+        "city_geometry_outside_london_bounds": located & ~holds(col("city_x").between(x0, x1) & col("city_y").between(y0, y1)),
+        "parcel_not_uniquely_resolved": ~holds(col("parcel") == "unique_contains"),
+        "building_not_uniquely_resolved": holds(col("building").isin("ambiguous", "contradiction")),
+        "missing_usable_geoapify_comparison": ~holds(col("provider_usable")) | col("provider_distance").isNull(),
+        "missing_city_movement_comparison": col("movement").isNull(),
+        "automatic_city_movement_threshold_exceeded": holds(col("movement") > MOST_MOVE),
+        "large_parcel_without_unique_building": holds(col("parcel_area") > LARGE_PARCEL) & ~one_building,
+        "multi_building_parcel_without_unique_building": holds(col("parcel_buildings") > 1) & ~one_building,
+        "multi_address_parcel_without_unique_building": holds(col("parcel_addresses") > SIMPLE_PARCEL_ADDRESSES) & ~one_building,
+    }
+    return _present(*(F.when(failed[name], name) for name in COORDINATE_GATES))
+
+
+# The flags (on the map, with a route) that go with each location status.
+LOCATION_FLAGS = {"available": (True, True), "limited": (True, False), "unavailable": (False, False)}
+
+
+def visibility_problems(rows: DataFrame, properties: DataFrame, key: str = "property_id") -> DataFrame:
+    """(key, problem): what keeps a table of location visibility from being taken.
+
+    By row: an id that isn't positive or is repeated, a status that isn't one,
+    flags that don't match it, reasons that aren't a JSON array of texts, no
+    policy or source, a fingerprint that isn't SHA-256, a property that isn't
+    known.  Of the table: a property without a row (missing), and rows of more
+    than one policy and source, told once with a null key.
+    """
+    identity = F.struct("policy_version", "source_run_id", "source_fingerprint")
+    times = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    known = properties.select(F.col(key).alias("_p")).distinct().withColumn("_known", F.lit(True))
+    full = rows.join(times, F.col(key) == F.col("_k"), "left").join(known, F.col(key) == F.col("_p"), "left")
+    holds = lambda test: F.coalesce(test, F.lit(False))
+    flags = F.lit(False)
+    for status, (shown, routed) in LOCATION_FLAGS.items():
+        flags = flags | ((F.col("status") == status) & (F.col("map_visible") == shown) & (F.col("route_available") == routed))
+    said = F.from_json("reason_codes", "array<string>")
+    texts = F.col("reason_codes").isNull() | (F.trim("reason_codes").startswith("[") & said.isNotNull() & F.forall(said, lambda r: F.coalesce(F.trim(r) != "", F.lit(False))))
+    listed = F.col("status").isin(*LOCATION_FLAGS)
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    problems = _present(
+        F.when(~holds(F.col(key) > 0), "id_not_positive"), F.when(F.col("_n") > 1, "id_repeated"), F.when(~holds(listed), "status_invalid"), F.when(holds(listed) & ~holds(flags), "flags_do_not_match"), F.when(~holds(texts), "reasons_not_texts"),
+        F.when(~(filled("policy_version") & filled("source_run_id")), "identity_missing"), F.when(~holds(F.col("source_fingerprint").rlike("^[0-9a-f]{64}$")), "fingerprint_not_sha256"), F.when(F.col("_known").isNull(), "property_unknown"),
     )
+    by_row = full.select(key, F.explode(problems).alias("problem"))
+    absent = properties.select(key).distinct().join(rows.select(key), key, "left_anti").select(key, F.lit("missing").alias("problem"))
+    several = rows.agg(F.countDistinct(identity).alias("n")).where("n > 1").select(F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit("several_identities").alias("problem"))
+    return by_row.unionByName(absent).unionByName(several)

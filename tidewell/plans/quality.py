@@ -515,8 +515,26 @@ def fn_json_extract(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", k.alias("k"), (k % 2 == 0).alias("even"))
 
 
-_row("cls_coordinate_select", _flags({"no_exact_match": "listing_id % 4 = 0", "no_usable_current_coordinate": "latitude IS NULL", "dataset_not_accepted": "listing_id % 50 = 0", "match_confidence_below_threshold": "geocode_confidence IS NULL OR geocode_confidence < 0.3", "match_review_required": "data_quality_status = 'needs-review'", "unit_requires_exact_unit_match": "contains(address, 'Unit')", "shared_address_point": "property_id % 3 <> 1", "movement_above_limit": "distance_km > 18"}) + " AS blockers",
-     lambda: dict(blockers=F.array_join(Q.coordinate_blockers(F.col("listing_id") % 4 != 0, F.col("latitude").isNotNull(), F.col("listing_id") % 50 != 0, F.col("geocode_confidence"), F.col("data_quality_status") == "needs-review", F.when(F.col("address").contains("Unit"), "unresolved").otherwise("exact"), F.col("property_id") % 3, F.lit("active"), F.lit(True), F.lit(True), F.col("distance_km"), 0.3, 18.0), "|")))
+#: What is known of a property's coordinates: customers joined to their nearest neighbour in number as the official point.
+FRAMES["coordinate_evidence"] = """
+    SELECT c_custkey AS property_id, c_custkey % 31 <> 0 AS current_usable, c_nationkey <> 3 AS dataset_current, c_nationkey <> 5 AS dataset_accepted, CASE WHEN c_custkey % 37 <> 0 THEN 1 - (c_custkey % 11) / 300e0 END AS match_confidence, c_custkey % 41 = 0 AS match_review,
+      CASE WHEN c_custkey % 43 = 0 THEN 'two_candidates' END AS match_reason, CASE c_custkey % 13 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'exact' END AS unit_status, CASE WHEN c_custkey % 17 <> 0 THEN 1 + CAST(floor(c_custkey % 19 / 18) AS INT) END AS shared_properties,
+      CASE c_custkey % 23 WHEN 0 THEN 'retired' WHEN 1 THEN NULL WHEN 2 THEN 'current' ELSE 'active' END AS address_status, CASE WHEN c_custkey % 29 <> 0 THEN 470000e0 + c_acctbal * 3 END AS city_x, 4750000e0 + c_custkey AS city_y, c_custkey % 47 <> 0 AS city_valid,
+      CASE WHEN c_custkey % 53 = 0 THEN 4326 ELSE 26917 END AS city_srid, CASE c_custkey % 7 WHEN 0 THEN 'ambiguous' ELSE 'unique_contains' END AS parcel, CASE c_custkey % 5 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'missing' WHEN 2 THEN 'ambiguous' ELSE 'unique_contains' END AS building,
+      c_custkey % 59 <> 0 AS provider_usable, CASE WHEN c_custkey % 61 <> 0 THEN abs(c_acctbal) / 100 END AS provider_distance, CASE WHEN c_custkey % 67 <> 0 THEN abs(c_acctbal) / 60 END AS movement, abs(c_acctbal) AS parcel_area, c_custkey % 4 AS parcel_buildings, c_custkey % 3 AS parcel_addresses
+    FROM customer"""
+
+
+@query("cls_coordinate_select", """SELECT property_id, concat_ws('|', CASE WHEN NOT current_usable THEN 'no_usable_current_coordinate' END, CASE WHEN NOT dataset_current THEN 'city_dataset_not_current' END, CASE WHEN NOT dataset_accepted THEN 'city_dataset_not_accepted' END,
+    CASE WHEN match_confidence IS NULL OR match_confidence < 0.98 THEN 'city_match_confidence_below_threshold' END, CASE WHEN match_review THEN 'city_match_review_required' END, CASE WHEN match_reason IS NOT NULL THEN 'city_match_has_unresolved_reasons' END, CASE WHEN unit_status = 'unresolved' THEN 'unit_requires_exact_unit_match' END,
+    CASE WHEN shared_properties IS DISTINCT FROM 1 THEN 'shared_municipal_address_point' END, CASE WHEN coalesce(address_status, '') NOT IN ('active', 'current') THEN 'municipal_address_status_not_accepted' END, CASE WHEN city_x IS NULL OR NOT city_valid OR city_srid <> 26917 THEN 'invalid_city_geometry'
+      WHEN city_x > 495000 OR city_x < 469000 OR city_y > 4760000 THEN 'city_geometry_outside_london_bounds' END, CASE WHEN parcel <> 'unique_contains' THEN 'parcel_not_uniquely_resolved' END, CASE WHEN building IN ('ambiguous', 'contradiction') THEN 'building_not_uniquely_resolved' END,
+    CASE WHEN NOT provider_usable OR provider_distance IS NULL THEN 'missing_usable_geoapify_comparison' END, CASE WHEN movement IS NULL THEN 'missing_city_movement_comparison' WHEN movement > 100 THEN 'automatic_city_movement_threshold_exceeded' END,
+    CASE WHEN parcel_area > 6937.72 AND building <> 'unique_contains' THEN 'large_parcel_without_unique_building' END, CASE WHEN parcel_buildings > 1 AND building <> 'unique_contains' THEN 'multi_building_parcel_without_unique_building' END,
+    CASE WHEN parcel_addresses > 1 AND building <> 'unique_contains' THEN 'multi_address_parcel_without_unique_building' END) AS blockers FROM coordinate_evidence""")
+def cls_coordinate_select(spark, sf_dir):
+    evidence = frame(spark, sf_dir, "coordinate_evidence").withColumn("match_reasons", F.array_compact(F.array("match_reason")))
+    return evidence.select("property_id", F.array_join(Q.coordinate_gates((469000.0, 0.0, 495000.0, 4760000.0)), "|").alias("blockers"))
 
 
 @query("agg_policy_gate_counts", "SELECT gate, count(*) AS n FROM (SELECT unnest(['a', 'b', 'c']) AS gate, listing_id, latitude, geocode_confidence FROM listings) WHERE (gate = 'a' AND latitude IS NULL) OR (gate = 'b' AND geocode_confidence < 0.3) OR (gate = 'c' AND listing_id % 50 = 0) GROUP BY 1")

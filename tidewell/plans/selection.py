@@ -81,12 +81,23 @@ def cls_visibility_project(spark, sf_dir):
     return _projected(spark, sf_dir).groupBy("current", "projected").agg(F.count("*").alias("n"))
 
 
-@query("cls_visibility_validate", "SELECT listing_id, problem FROM (SELECT listing_id, 'visible_without_coordinates' AS problem FROM listings WHERE location_map_visible AND latitude IS NULL UNION ALL SELECT listing_id, 'route_without_visibility' FROM listings WHERE location_route_available AND NOT location_map_visible)")
+#: A table of location visibility with each fault.
+FRAMES["visibility_rows"] = """
+    SELECT CASE WHEN c_custkey % 71 = 5 THEN c_custkey - 1 ELSE c_custkey END AS property_id, CASE WHEN c_nationkey = 7 THEN 'v2' WHEN c_custkey % 97 = 0 THEN ' ' ELSE 'v1' END AS policy_version, CASE WHEN c_custkey % 89 = 0 THEN NULL ELSE 'run' END AS source_run_id,
+      CASE WHEN c_custkey % 83 = 0 THEN 'ABC' ELSE concat('0123456789abcdef0123456789abcdef', '0123456789abcdef0123456789abcdef') END AS source_fingerprint, CASE c_custkey % 5 WHEN 0 THEN 'limited' WHEN 1 THEN 'unavailable' WHEN 2 THEN CASE WHEN c_custkey % 79 = 0 THEN 'hidden' ELSE 'available' END ELSE 'available' END AS status,
+      c_custkey % 5 <> 1 OR c_custkey % 73 = 0 AS map_visible, c_custkey % 5 >= 2 AND c_custkey % 61 <> 0 AS route_available, CASE c_custkey % 13 WHEN 0 THEN '[]' WHEN 1 THEN '["a", "b"]' WHEN 2 THEN '["a", " "]' WHEN 3 THEN 'a' WHEN 4 THEN NULL ELSE '["moved"]' END AS reason_codes
+    FROM customer WHERE c_custkey % 11 <> 3"""
+
+
+@query("cls_visibility_validate", """WITH v AS (SELECT *, count(*) OVER (PARTITION BY property_id) AS n FROM visibility_rows)
+  SELECT property_id, 'id_not_positive' AS problem FROM v WHERE property_id <= 0 UNION ALL SELECT property_id, 'id_repeated' FROM v WHERE n > 1 UNION ALL SELECT property_id, 'status_invalid' FROM v WHERE status = 'hidden'
+  UNION ALL SELECT property_id, 'flags_do_not_match' FROM v WHERE (status, map_visible, route_available) NOT IN (('available', true, true), ('limited', true, false), ('unavailable', false, false)) AND status <> 'hidden'
+  UNION ALL SELECT property_id, 'reasons_not_texts' FROM v WHERE reason_codes IN ('a', '["a", " "]') UNION ALL SELECT property_id, 'identity_missing' FROM v WHERE policy_version = ' ' OR source_run_id IS NULL UNION ALL SELECT property_id, 'fingerprint_not_sha256' FROM v WHERE source_fingerprint = 'ABC'
+  UNION ALL SELECT property_id, 'property_unknown' FROM v WHERE property_id NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'missing' FROM orders WHERE o_custkey NOT IN (SELECT property_id FROM v) UNION ALL SELECT NULL, 'several_identities'""")
 def cls_visibility_validate(spark, sf_dir):
-    from ..sources.readers import violations
-
-    checks = {"visible_without_coordinates": ~F.col("location_map_visible") | F.col("latitude").isNotNull(), "route_without_visibility": ~F.col("location_route_available") | F.col("location_map_visible")}
-    return violations(frame(spark, sf_dir, "listings"), "listing_id", checks)
+    """Every property with an order needs a row."""
+    wanted = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("property_id"))
+    return Q.visibility_problems(frame(spark, sf_dir, "visibility_rows"), wanted)
 
 
 _PLAN = f"SELECT property_id, method, listings, profiles, abs(x - o_x) AS movement FROM (SELECT r.*, p.x, o.x AS o_x FROM ({_REFS}) r JOIN properties p USING (property_id) LEFT JOIN ({_MATCH}) m ON m.property_id = r.property_id LEFT JOIN officials o ON o.official_id = m.official_id) WHERE method = 'exact'"
