@@ -294,7 +294,7 @@ def gtfs_service_days(spark, sf_dir):
     rows = load(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     date = lambda d, m: F.date_add(F.lit(d).cast("date"), (k % m).cast("int"))
-    calendar = rows.select(k.alias("service_id"), date("2026-01-01", 9).alias("start_date"), date("2026-01-20", 5).alias("end_date"), *(F.when((k + i) % 3 != 0, 1).otherwise(0).alias(w) for i, w in enumerate(D.WEEKDAYS)))
+    calendar = rows.select(k.alias("service_id"), date("2026-01-01", 9).alias("start_date"), date("2026-01-20", 5).alias("end_date"), *(F.when((k + i) % 3 != 0, 1).otherwise(0).alias(w) for i, w in enumerate(temporal.WEEKDAYS)))
     more = calendar.where("service_id % 2 = 0").select("service_id", F.date_add("end_date", 1).alias("day"), F.lit(1).alias("exception_type"))
     less = calendar.where("service_id % 4 = 0").select("service_id", F.col("start_date").alias("day"), F.lit(2).alias("exception_type"))
     return temporal.service_days(calendar, more.unionByName(less)).groupBy("service_id").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
