@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.sorts import top_per_key
 from ..sources import html as H
-from .frames import frame, load
+from .frames import FRAMES, load
 from .registry import query
 
 
@@ -17,9 +17,15 @@ def _site(spark, sf_dir):
     return H.parse_pages(pages, "page_id", start="article", headings=("h1",)).withColumn("kind", F.lit("page")).withColumnRenamed("page_id", "id")
 
 
+def _listing_pages(spark, sf_dir):
+    """The listing pages; their orders are one small file here, so these are dealt out before they become pages."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(FRAMES["listing_pages"].replace("FROM orders", "FROM {orders}"), orders=orders)
+
+
 def _ads(spark, sf_dir):
     """(id, page) of the listing pages."""
-    return H.parse_pages(frame(spark, sf_dir, "listing_pages"), "listing_id").withColumn("kind", F.lit("listing")).withColumnRenamed("listing_id", "id")
+    return H.parse_pages(_listing_pages(spark, sf_dir), "listing_id").withColumn("kind", F.lit("listing")).withColumnRenamed("listing_id", "id")
 
 
 _BARE = "regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->', ' ', 'g')"
@@ -72,10 +78,8 @@ _IMG = """SELECT o_orderkey AS listing_id, source, position, replace(path, '#',
 
 def _images(spark, sf_dir):
     """(listing_id, source, position, url) of what the listing pages name as images."""
-    pages = frame(spark, sf_dir, "listing_pages")
-    found = H.parse_pages(pages, "listing_id").select("listing_id", F.inline("page.images"))
-    address = pages.select("listing_id", F.col("url").alias("_page"))
-    rows = found.join(address, "listing_id").withColumn("url", H.absolute(F.col("_page"), F.col("url"))).drop("_page")
+    found = H.parse_pages(_listing_pages(spark, sf_dir), "listing_id", carry=("url",)).select("listing_id", F.col("url").alias("_page"), F.inline("page.images"))
+    rows = found.withColumn("url", H.absolute(F.col("_page"), F.col("url"))).drop("_page")
     return rows.where(X.is_image_url(F.col("url")))
 
 

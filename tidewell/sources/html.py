@@ -186,22 +186,22 @@ def _described(page: Page, start: str, headings: Sequence[str]) -> dict:
     }
 
 
-def parse_pages(pages: DataFrame, key: str, html: str = "html", *, start: str = "h2", headings: Sequence[str] = ("h3",)) -> DataFrame:
-    """(key, page): the structure of each page as PAGE_TYPE; a null page has neither texts nor elements.
+def parse_pages(pages: DataFrame, key: str, html: str = "html", *, start: str = "h2", headings: Sequence[str] = ("h3",), carry: Sequence[str] = ()) -> DataFrame:
+    """(key, the columns of carry, page): the structure of each page as PAGE_TYPE; a null page has neither texts nor elements.
 
     Tags, comments, scripts, character references and text are told apart by one
     scan of the page; a stack of open elements ends what the standard lets
     authors leave open.  One pass of Arrow batches serves all fields: columns
     that a query doesn't use are dropped right after it.
     """
-    kind = pages.schema[key].dataType
+    kept = pages.select(key, *carry)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_described(Page(text or ""), start, headings) for text in batch.column(1).to_pylist()]
-            yield pa.record_batch({key: batch.column(0), "page": pa.array(rows, _ARROW)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(rows, _ARROW)], [key, *carry, "page"])
 
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind.simpleString()}, page {PAGE_TYPE}")
+    return pages.select(key, html, *carry).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"page {PAGE_TYPE}"]))
 
 
 _TEXT_PAIR = lambda a, b: pa.list_(pa.struct([(a, pa.string()), (b, pa.string())]))
