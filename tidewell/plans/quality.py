@@ -10,6 +10,8 @@ from ..operators import decisions as D
 from ..operators import quality as Q
 from ..operators import sorts as O
 from ..operators.lifecycle import row_fingerprint
+from ..sources.readers import read_manifests
+from ..sources.scratch import scratch_path
 from .frames import FRAMES, frame, load
 from .registry import query
 
@@ -393,9 +395,33 @@ def cls_lifecycle_eligible(spark, sf_dir):
     return _blocked(spark, sf_dir).select("run_id", (F.size("blockers") == 0).alias("eligible"))
 
 
-@query("scan_run_manifest", "SELECT status, count(*) AS stages, CAST(sum(input_rows) AS BIGINT) AS input_rows, CAST(sum(output_rows) AS BIGINT) AS output_rows FROM stages GROUP BY 1")
+#: Runs of customers by their first four orders: a stage each, with what came in and out; every 31st manifest is cut off.
+FRAMES["run_stages"] = """
+    SELECT o_custkey AS run, concat('stage', CAST(place - 1 AS STRING)) AS stage, CASE WHEN o_orderkey % 9 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderkey % 5 <> 0 THEN 100 + CAST(floor(o_custkey / 7) AS BIGINT) END AS rows_in,
+      100 + CAST(floor(o_custkey / 7) AS BIGINT) + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS rows_out
+    FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders) numbered WHERE place <= 4"""
+_MANIFEST = """WITH c AS (SELECT DISTINCT run FROM run_stages), k AS (SELECT run, n, lag(n) OVER (PARTITION BY run ORDER BY n) AS before FROM (SELECT run, unnest(range(4)) AS n FROM c)),
+  s AS (SELECT k.run, k.n, t.status, t.rows_in, p.rows_out AS given FROM k LEFT JOIN run_stages t ON t.run = k.run AND t.stage = 'stage' || k.n LEFT JOIN run_stages p ON p.run = k.run AND p.stage = 'stage' || k.before),
+  g AS (SELECT run, count(status) AS stages, string_agg(CASE WHEN status IS NULL THEN 'missing_stage' || n WHEN status <> 'completed' THEN 'not_completed_stage' || n END, '|' ORDER BY n) AS a, string_agg(CASE WHEN given <> rows_in THEN 'rows_differ_stage' || n END, '|' ORDER BY n) AS b FROM s GROUP BY 1)
+  SELECT run_id, stages, problems, count(*) AS n FROM (SELECT CASE WHEN run % 31 <> 0 THEN CASE WHEN run % 37 = 0 THEN '' ELSE 'run-' || run END END AS run_id, CASE WHEN run % 31 <> 0 THEN stages ELSE 0 END AS stages,
+    CASE WHEN run % 31 = 0 THEN 'not_json' ELSE concat_ws('|', CASE WHEN run % 37 = 0 THEN 'no_run_id' END, CASE WHEN run % 41 = 0 THEN 'time_not_read' END, a, b, CASE WHEN run % 7 = 0 THEN 'errors' END, CASE WHEN run % 3 = 1 AND run % 4 <> 0 THEN 'not_approved' END, CASE WHEN run % 4 = 0 AND run % 5 <> 0 THEN 'warnings_not_acknowledged' END) END AS problems FROM g) GROUP BY ALL"""
+
+
+@query("scan_run_manifest", _MANIFEST)
 def scan_run_manifest(spark, sf_dir):
-    return frame(spark, sf_dir, "stages").groupBy("status").agg(F.count("*").alias("stages"), F.sum("input_rows").alias("input_rows"), F.sum("output_rows").alias("output_rows"))
+    """Manifests written as JSON documents, a line each, and read back with what is wrong with them."""
+    run = F.col("run")
+    stages = F.map_from_entries(F.collect_list(F.struct("stage", F.struct("status", F.col("rows_in").alias("input_rows"), F.col("rows_out").alias("output_rows")))))
+    approval = F.struct(F.when(run % 4 == 0, "approved").otherwise("pending").alias("status"), F.when(run % 5 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"))).alias("acknowledged_warning_conditions"))
+    manifest = F.struct(
+        F.when(run % 37 == 0, "").otherwise(F.concat(F.lit("run-"), run.cast("string"))).alias("run_id"), F.when(run % 41 == 0, "soon").otherwise("2026-01-05T10:00:00Z").alias("created_at_utc"), (run % 3 == 1).alias("canonical_for_import"),
+        F.array(F.lit("a")).alias("warnings"), F.when(run % 7 == 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")).alias("errors"), approval.alias("approval"), "stages",
+    )
+    text = frame(spark, sf_dir, "run_stages").groupBy("run").agg(stages.alias("stages")).select("run", F.to_json(manifest).alias("value"))
+    path = scratch_path(spark, "manifests")
+    text.select(F.when(run % 31 == 0, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value")).write.text(path)
+    found = read_manifests(spark, path)
+    return found.groupBy("run_id", F.coalesce(F.size("stages"), F.lit(0)).cast("long").alias("stages"), F.array_join("problems", "|").alias("problems")).agg(F.count("*").alias("n"))
 
 
 @query("agg_metric_reconcile", "SELECT a.mode, a.n AS counted, b.n AS reported, coalesce(a.n, b.n) AS chosen, a.n IS DISTINCT FROM b.n AS differs FROM (SELECT l_shipmode AS mode, count(*) AS n FROM (SELECT l_returnflag AS l_shipmode FROM lineitem) GROUP BY 1) a LEFT JOIN (SELECT l_returnflag AS mode, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' OR l_linenumber <> 7 GROUP BY 1) b ON a.mode = b.mode")

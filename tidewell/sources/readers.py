@@ -11,6 +11,13 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 DECISION_SCHEMA = "decision_id long, listing_id long, action string, created_at string"
+MANIFEST_SCHEMA = (
+    "run_id string, created_at_utc string, status string, canonical_for_import boolean, warnings array<string>, errors array<string>, "
+    "approval struct<status: string, approved_by: string, acknowledged_warning_conditions: array<string>, canonical_csv_fingerprint: string>, "
+    "stages map<string, struct<status: string, input_rows: long, output_rows: long, completed_at_utc: string, metrics: map<string, string>>>"
+)
+# The stages that a run goes through, in order.
+RUN_STAGES = ("stage0", "stage1", "stage2", "stage3")
 PROFILES_SCHEMA = "property_id long, profiles array<struct<profile_id: long, travel_mode: string, samples: array<struct<departure_at: string, duration_seconds: int>>>>"
 SNAPSHOT_SCHEMA = "metadata struct<dataset: string>, features array<struct<id: long, attributes: map<string, string>>>"
 
@@ -64,6 +71,26 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("property_id", "profile_id", "travel_mode", "s.*")
 
 
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """One row per run manifest (JSON documents): its fields, stages as a map, and `problems`.
+
+    Problems, in order: not_json, no_run_id, time_not_read, a stage that is
+    missing or not completed, rows out of a stage that aren't those into the
+    next (where both are stated), errors, a run for import without approval, and
+    warnings that the approval doesn't acknowledge.
+    """
+    rows = spark.read.text(path, wholetext=False).where("trim(value) <> ''").select("value", F.from_json("value", MANIFEST_SCHEMA).alias("m"))
+    rows = rows.select("m.*", F.coalesce(F.get_json_object("value", "$").isNull(), F.lit(True)).alias("_broken"))
+    stage = lambda n: F.try_element_at("stages", F.lit(n))
+    approved = F.coalesce(F.col("approval.status") == "approved", F.lit(False))
+    left = F.array_except(F.coalesce("warnings", F.array().cast("array<string>")), F.coalesce("approval.acknowledged_warning_conditions", F.array().cast("array<string>")))
+    found = [F.when(F.col("_broken"), "not_json"), F.when(~F.col("_broken") & (F.coalesce(F.trim("run_id"), F.lit("")) == ""), "no_run_id"), F.when(F.col("run_id").isNotNull() & F.col("created_at_utc").try_cast("timestamp").isNull(), "time_not_read")]
+    found += [F.when(F.col("run_id").isNotNull() & stage(n).isNull(), f"missing_{n}").when(stage(n)["status"] != "completed", f"not_completed_{n}") for n in RUN_STAGES]
+    found += [F.when(stage(a)["output_rows"] != stage(b)["input_rows"], f"rows_differ_{b}") for a, b in zip(RUN_STAGES, RUN_STAGES[1:], strict=False)]
+    found += [F.when(F.size("errors") > 0, "errors"), F.when(F.col("canonical_for_import") & ~approved, "not_approved"), F.when(approved & (F.size(left) > 0), "warnings_not_acknowledged")]
+    return rows.withColumn("problems", F.filter(F.array(*found), lambda p: p.isNotNull())).drop("_broken")
+
+
 def page_links(pages: DataFrame, html: str = "html") -> Column:
     """Targets of all links of a page."""
     return F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit('<a href="([^"]*)"'), F.lit(1))
