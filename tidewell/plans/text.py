@@ -85,7 +85,8 @@ _UNITS = "('', NULL), (', Unit 4', '4'), (' #12-B', '12-B'), (' apt. 7', '7')"
 def fn_normalize_civic(spark, sf_dir):
     parts = [spark.sql(f"SELECT * FROM VALUES {values} AS t({name}, _{name})").drop(f"_{name}") for name, values in (("word", _WORDS), ("wind", _WINDS), ("tail", _UNITS))]
     suffixes = parts[0].join(parts[1]).join(parts[2]).select(F.concat("word", "wind", "tail").alias("suffix"))
-    rows = load(spark, sf_dir, "customer").join(F.broadcast(suffixes))
+    # the customers are one small file, so they are dealt out before each becomes 240 addresses
+    rows = load(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").join(F.broadcast(suffixes))
     civic = A.civic_parts(F.concat_ws(" ", F.col("c_custkey").cast("string"), F.lit("Old  Queen"), "suffix"))
     return rows.select("c_custkey", "suffix", civic["civic"].alias("civic"), civic["unit"].alias("unit"))
 
