@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import imports
 from tidewell.sources import versions
@@ -151,3 +152,27 @@ def test_imports(spark, table):
     assert commit.summary["relisted_listings"] == 1 and state_of(table)[4] == three[4]
     _, commit, _ = go("r5", 4)
     assert commit.summary["removed_listings"] == 1 and set(x[0] for x in state_of(table).values()) == {"possibly_removed", "removed"}
+
+
+def test_fingerprint_is_the_sum_of_digests(spark):
+    """Stored commits hold it, so it must not depend on how it is added up."""
+    for n in (0, 1, 5000):
+        some = spark.range(n).select("id", (F.col("id") * 3).cast("string").alias("a b"))
+        found = some.agg(*versions._fingerprint(some)).first()
+        total = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("a b"), F.col("id")).cast("decimal(38,0)")).cast("string")  # noqa: B023, E731
+        assert tuple(found) == tuple(some.agg(F.count("*"), total(1), total(2)).first())
+
+
+@pytest.mark.parametrize("limit", (0, 100))
+def test_import_reads_the_snapshot_in_one_grouping(spark, table, monkeypatch, limit):
+    """Ids that repeat, in the state and not, and null ids, with stored match keys broadcast and shuffled; the plan has no checkpoint of whole rows."""
+    monkeypatch.setattr(imports, "BROADCAST_KEYS", limit)
+    first = spark.createDataFrame([(1, "k1", 1.0, "a"), (2, "k2", 2.0, None), (3, "k3", None, "c")], SNAPSHOT)
+    imports.import_run(table, first, "r1", DAY[0])
+    rows = [(1, "k1", 1.0, "a"), (1, "k1", 1.0, "a"), (None, "k7", 1.0, "n"), (None, None, None, None), (5, "k2", 1.0, "e"), (5, "k9", 1.0, "e"), (5, "k9", 1.0, "e"), (6, "k2", 3.0, "f"), (2, "k2", 2.0, None)]
+    plan = imports.import_plan(spark.createDataFrame(rows, SNAPSHOT), table.read(), "r2")
+    assert plan.summary == dict.fromkeys(imports.SUMMARY, 0) | {"new_listings": 1, "unchanged_listings": 1, "possibly_removed_listings": 1, "observations_inserted": 2, "properties_reused": 1, "rows_rejected": 7}
+    got = {r.listing_id: (r.status, r.missed, r.match_key, r.last_run) for r in plan.state.collect()}
+    assert got == {1: ("active", 0, "k1", "r1"), 2: ("active", 0, "k2", "r2"), 3: ("possibly_removed", 1, "k3", "r1"), 6: ("active", 0, "k2", "r2")}
+    assert plan.rejected.count() == 7 and plan.properties.count() == 0
+    assert plan.state.inputFiles()  # read by columns from files, not from whole checkpointed rows

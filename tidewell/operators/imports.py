@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settled
+from ..sources.scratch import stored
 from ..sources.versions import Commit, VersionedTable
 
 #: Columns of the stored state.
@@ -19,6 +19,8 @@ SUMMARY = (
     "new_listings", "updated_listings", "unchanged_listings", "relisted_listings", "possibly_removed_listings", "removed_listings", "observations_inserted", "properties_created", "properties_reused",
     "possible_property_duplicates", "review_items_created", "rows_rejected", "rows_with_warnings",
 )
+#: Match keys of stored properties up to which they are broadcast, not shuffled.
+BROADCAST_KEYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -51,18 +53,20 @@ def import_plan(snapshot: DataFrame, state: DataFrame, run_id: str, *, lifecycle
     - Observations: a row for each change but unchanged, and for each new state of an absent listing.
     - Reviews: a missing price, an address that moved under a stored link, and a link whose key names another stored property.
 
-    The state is joined once to the snapshot, and the result is kept for the summary and the tables.
+    The state has an id once, and no null id.  The snapshot is grouped by id once and joined once to the state, and the
+    result is kept, by columns, for the summary and the tables.
     """
     run = F.lit(run_id)
     rows = snapshot.select("listing_id", "match_key", F.col("price").cast("double").alias("price"), "title")
+    fields = ("match_key", "price", "title")
     times = rows.groupBy(F.col("listing_id").alias("_id")).agg(F.count("*").alias("_times"))
-    bad = times.where("_id is null or _times > 1")
-    rejected = rows.join(bad, F.col("listing_id").eqNullSafe(F.col("_id")), "left_semi")
-    accepted = rows.where("listing_id is not null").join(times.where("_times = 1"), F.col("listing_id") == F.col("_id"), "left_semi")
+    rejected = rows.join(times.where("_id is null or _times > 1"), F.col("listing_id").eqNullSafe(F.col("_id")), "left_semi")
+    once = F.col("listing_id").isNotNull() & (F.col("_times") == 1)
+    given = rows.groupBy("listing_id").agg(F.count("*").alias("_times"), *(F.first(c).alias(c) for c in fields))
+    given = given.select("listing_id", *(F.when(once, F.col(c)).alias(c) for c in fields), F.when(once, True).alias("_new"), F.when(~once, F.col("_times")).alias("_rejected"))
 
     old = state.select("listing_id", *(F.col(c).alias(f"_{c}") for c in state.columns if c != "listing_id")).withColumn("_old", F.lit(True))
-    both = accepted.withColumn("_new", F.lit(True)).join(old, "listing_id", "full")
-    unsafe = both.join(bad.where("_id is not null").select(F.col("_id").alias("listing_id"), F.lit(True).alias("_unsafe")), "listing_id", "left")
+    both = given.join(old, "listing_id", "full").withColumn("_unsafe", F.col("_rejected").isNotNull())
     change = (
         F.when(F.col("_unsafe"), "kept")
         .when(F.col("_old").isNull(), "new")
@@ -71,8 +75,9 @@ def import_plan(snapshot: DataFrame, state: DataFrame, run_id: str, *, lifecycle
         .when(_differs(("match_key", "price", "title")), "updated")
         .otherwise("unchanged")
     )
-    keys = state.where("property_match_key is not null").groupBy(F.col("property_match_key").alias("match_key")).agg(F.min("property_key").alias("_key_property"))
-    named = unsafe.withColumn("change", change).join(keys, "match_key", "left")
+    keys = stored(state.where("property_match_key is not null").groupBy(F.col("property_match_key").alias("match_key")).agg(F.min("property_key").alias("_key_property")))
+    few = keys.count() <= BROADCAST_KEYS
+    named = both.withColumn("change", change).join(F.broadcast(keys) if few else keys.hint("merge"), "match_key", "left")
     made = F.concat(F.lit("new-"), F.substring(F.sha2(F.coalesce("match_key", F.concat(F.lit("listing:"), F.col("listing_id").cast("string"))), 256), 1, 16))
     here = F.col("_new").isNotNull()
     missed = F.when(here, 0).when(F.lit(lifecycle) & (F.col("change") == "absent"), F.col("_missed") + 1).otherwise(F.col("_missed"))
@@ -82,7 +87,7 @@ def import_plan(snapshot: DataFrame, state: DataFrame, run_id: str, *, lifecycle
     rival = here & F.col("_property_key").isNotNull() & F.col("_key_property").isNotNull() & (F.col("_key_property") != F.col("_property_key"))
     planned = named.select(
         "listing_id", "change", F.coalesce("_property_key", "_key_property", made).alias("property_key"), F.coalesce("_property_match_key", "match_key").alias("property_match_key"), pick("match_key"), pick("price"), pick("title"),
-        status.alias("status"), missed.cast("int").alias("missed"), F.when(here, run).otherwise(F.col("_last_run")).alias("last_run"), created.alias("_created"), here.alias("_here"), F.col("_status").alias("_before"),
+        status.alias("status"), missed.cast("int").alias("missed"), F.when(here, run).otherwise(F.col("_last_run")).alias("last_run"), created.alias("_created"), here.alias("_here"), F.col("_status").alias("_before"), "_rejected", (here | F.col("_old").isNotNull()).alias("_kept"),
         F.filter(
             F.array(
                 F.when(here & F.col("price").isNull(), "missing_price"), F.when(here & F.col("_old").isNotNull() & ~F.col("match_key").eqNullSafe(F.col("_match_key")), "address_changed"), F.when(rival, "possible_property_duplicate")
@@ -90,16 +95,20 @@ def import_plan(snapshot: DataFrame, state: DataFrame, run_id: str, *, lifecycle
             lambda x: x.isNotNull(),
         ).alias("warnings"),
     )
-    planned = settled(planned)  # read by the counts, the state and the rows to add
+    whole = stored(planned)  # read by the counts, the state and the rows to add
+    planned = whole.where("_kept")
     moved = (F.col("change") == "absent") & (F.col("status") != F.col("_before"))
     seen = F.col("change").isin("new", "updated", "relisted") | moved
-    counts = planned.agg(
-        *(F.count_if(F.col("change") == c).alias(f"{c}_listings") for c in ("new", "updated", "unchanged", "relisted")),
-        *(F.count_if(moved & (F.col("status") == c)).alias(f"{c}_listings") for c in ("possibly_removed", "removed")),
-        F.count_if(seen).alias("observations_inserted"), F.countDistinct(F.when(F.col("_created"), F.col("property_key"))).alias("properties_created"), F.countDistinct(F.when(F.col("_here") & ~F.col("_created"), F.col("property_key"))).alias("properties_reused"),
-        F.count_if(F.array_contains("warnings", "possible_property_duplicate")).alias("possible_property_duplicates"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("review_items_created"), F.count_if(F.size("warnings") > 0).alias("rows_with_warnings"),
+    kept = F.col("_kept")
+    tests = {f"{c}_listings": F.col("change") == c for c in ("new", "updated", "unchanged", "relisted")} | {f"{c}_listings": moved & (F.col("status") == c) for c in ("possibly_removed", "removed")}
+    tests |= {"observations_inserted": seen, "possible_property_duplicates": F.array_contains("warnings", "possible_property_duplicate"), "rows_with_warnings": F.size("warnings") > 0}
+    by_property = whole.groupBy("property_key").agg(
+        *(F.count_if(kept & test).alias(n) for n, test in tests.items()), F.sum(F.when(kept, F.size("warnings"))).alias("review_items_created"), F.sum("_rejected").alias("rows_rejected"),
+        F.count_if(kept & F.col("_created")).alias("_made"), F.count_if(kept & F.col("_here") & ~F.col("_created")).alias("_reused"),
     )
-    found = counts.crossJoin(rejected.agg(F.count("*").alias("rows_rejected"))).first()
+    found = by_property.agg(
+        *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (*tests, "review_items_created", "rows_rejected")), F.count_if(F.col("property_key").isNotNull() & (F.col("_made") > 0)).alias("properties_created"), F.count_if(F.col("property_key").isNotNull() & (F.col("_reused") > 0)).alias("properties_reused")
+    ).first()
     return ImportPlan(
         state=planned.select(*(c.split()[0] for c in STATE.split(", "))),
         properties=planned.where("_created").groupBy("property_key").agg(F.min("property_match_key").alias("match_key")),

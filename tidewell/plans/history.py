@@ -11,7 +11,7 @@ from ..operators import history as H
 from ..operators import imports
 from ..operators import lifecycle as L
 from ..operators.sorts import top_per_key
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, stored
 from ..sources.versions import OutOfOrderRun, VersionedTable
 from .frames import frame, load
 from .registry import query
@@ -204,7 +204,7 @@ def _import_sql(runs: int) -> str:
 def import_plan(spark, sf_dir):
     """Four runs into one state table, two of them again and one too late: each attempt's status and counts."""
     table = VersionedTable(spark, scratch_path(spark, "state"))
-    listings = frame(spark, sf_dir, "listings")
+    listings = stored(frame(spark, sf_dir, "listings").select("listing_id", "address", "price_monthly", "title"))  # read by every run
     rows = []
     for attempt, (run, day) in enumerate(((1, 1), (2, 2), (2, 2), (3, 3), (4, 2), (4, 4), (1, 1)), 1):
         snapshot = spark.sql(_run_sql(run).replace("FROM listings", "FROM {listings}"), listings=listings)
