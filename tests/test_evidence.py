@@ -3,6 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from tidewell.operators import evidence as E
 
 
@@ -90,3 +94,17 @@ def test_rows(spark):
     assert got == [(1, "is_sublet", "true", 0, 0)] * 2 + [(4, "furnished", "true", 1_200_000, 200_000)]
     assert [tuple(r) for r in E.context_roles(rows, "id", "text").collect()] == [(None, 0, 10, "May - June", "availability", None)]
     assert E.context_roles(rows.where("false"), "id", "text").collect() == []
+
+
+def test_rows_leave_before_a_batch_is_read(spark, monkeypatch):
+    """Texts with many places: no task holds those of a whole batch, and the rows are the same."""
+    rows = spark.range(40, numPartitions=1).select("id", F.when(F.col("id") % 4 != 0, F.repeat(F.lit("sublet. May - June. "), 50)).alias("text")).cache()
+    want = sorted((r.id, r.field, len(r.supporting)) for r in E.explicit_text_values(rows, "id", "text").collect())
+    assert want == [(i, "is_sublet", 50) for i in range(40) if i % 4]
+    monkeypatch.setattr(E, "HELD", 60)
+    sizes = []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([r.text for r in rows.orderBy("id").collect()])], ["id", "text"])
+    for one in E._batches(E.explicit_values, to_arrow_schema(spark.createDataFrame([], f"id long, {E.EXPLICIT}").schema))([batch]):
+        sizes.append((one.num_rows, one.column(0).to_pylist()))
+    assert [n for n, _ in sizes] == [2] * 15 and [i for _, ids in sizes for i in ids] == [i for i in range(40) if i % 4]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= E.BATCH_ROWS

@@ -54,6 +54,9 @@ RANGE = rf"\b{_MONTH}(?:\s+\d{{1,2}})?\s*(?:-|to|until|through)\s*{_MONTH}(?:\s+
 #: Characters on each side of a range in which a word counts, and before a colon in which a label does.
 WINDOW, LABEL = 96, 48
 
+#: Texts in an Arrow batch, and places that a task holds before their rows leave it.
+BATCH_ROWS, HELD = 500, 2000
+
 _FLAGS = re.IGNORECASE | re.ASCII
 _SAID = "struct<text: string, start: int, end: int, sentence: int>"
 EXPLICIT = f"field string, value string, supporting array<{_SAID}>, conflicting array<{_SAID}>"
@@ -127,23 +130,33 @@ def range_roles(text: str) -> Iterator[tuple[int, int, str, str, int | None]]:
             yield lo, hi, m[0], "ambiguous" if re.search(r"\w", text[begin:lo] + text[hi:end]) else "availability", None
 
 
-def _rows(texts: DataFrame, key: str, text: str, read: Callable, schema: str) -> DataFrame:
-    kind = texts.schema[key].dataType.simpleString()
-    out = texts.sparkSession.createDataFrame([], f"`{key}` {kind}, {schema}").schema
-    names = out.fieldNames()[1:]
-    types = to_arrow_schema(out)
+def _batches(read: Callable, types: pa.Schema) -> Callable:
+    """What is read of each text of (key, text) batches; texts become objects one by one, and rows leave at HELD places."""
+    key, *names = types.names
 
     def run(batches):
         for batch in batches:
-            rows, found = [], []
-            for at, value in enumerate(batch.column(1).to_pylist()):
-                for one in read(value or ""):
+            rows, found, held = [], [], 0
+            for at in range(batch.num_rows):
+                for one in read(batch.column(1)[at].as_py() or ""):
                     rows.append(at)
                     found.append(one)
-            columns = [pa.array([f[i] for f in found], types.field(n).type) for i, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], [key, *names])
+                    held += 1 + sum(len(f) for f in one if isinstance(f, list))
+                if held >= HELD or (rows and at == batch.num_rows - 1):
+                    columns = [pa.array([f[i] for f in found], types.field(n).type) for i, n in enumerate(names)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], [key, *names])
+                    rows, found, held = [], [], 0
+
+    return run
 
-    return texts.select(key, text).mapInArrow(run, out)
+
+def _rows(texts: DataFrame, key: str, text: str, read: Callable, schema: str) -> DataFrame:
+    kind = texts.schema[key].dataType.simpleString()
+    out = texts.sparkSession.createDataFrame([], f"`{key}` {kind}, {schema}").schema
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(texts.sparkSession.conf.get(size)) <= BATCH_ROWS:
+        texts.sparkSession.conf.set(size, str(BATCH_ROWS))
+    return texts.select(key, text).mapInArrow(_batches(read, to_arrow_schema(out)), out)
 
 
 def explicit_text_values(texts: DataFrame, key: str, text: str) -> DataFrame:
