@@ -12,7 +12,7 @@ from ..operators import access as A
 from ..operators import cascade
 from ..operators import reuse as R
 from ..operators import validation as V
-from ..sources.scratch import scratch_path, settled
+from ..sources.scratch import scratch_path
 from ..sources.versions import VersionedTable
 from .frames import FRAMES, frame, load
 from .registry import query
@@ -178,9 +178,11 @@ FROM z LEFT JOIN b USING (request_id)
 
 
 def _travel(spark, sf_dir):
-    """(requests, profiles, destinations) of the ladder."""
+    """(requests, profiles, destinations) of the ladder; a customer's place is joined by a shuffle, which deals the small file out, before its requests multiply."""
     origins = frame(spark, sf_dir, "origins")
-    requests = frame(spark, sf_dir, "travel_requests").join(origins, "property_id")
+    placed = load(spark, sf_dir, "customer").join(origins.withColumnRenamed("property_id", "c_custkey").hint("shuffle_hash"), "c_custkey")
+    text = FRAMES["travel_requests"].replace("SELECT ", "SELECT latitude, longitude, nearest_stop_id, walking_to_stop_seconds, ", 1).replace("FROM customer ", "FROM {placed} ").replace(" JOIN region ", " JOIN {region} ")
+    requests = spark.sql(text, placed=placed, region=load(spark, sf_dir, "region"))
     place = origins.select(F.col("property_id").alias("origin_id"), "latitude", "longitude", "nearest_stop_id")
     at = {"latitude": F.when(~F.col("unlocated"), F.col("latitude") + F.when(F.col("moved"), 0.0004).otherwise(0.0)), "longitude": F.when(~F.col("unlocated"), F.col("longitude"))}
     return requests, frame(spark, sf_dir, "travel_profiles").join(place, "origin_id").withColumns(at), frame(spark, sf_dir, "hotspots")
@@ -193,10 +195,13 @@ def access_reuse_ladder(spark, sf_dir):
 
 @query("sink_reuse_audit", f"SELECT attempt, status, result_type, is_estimate, count(*) AS n FROM ({_LADDER}) JOIN (VALUES (1, 'appended', false), (2, 'already_imported', false), (3, 'appended', true), (4, 'already_imported', true)) v(attempt, status, transit) ON v.transit OR travel_mode <> 'transit' GROUP BY ALL")
 def sink_reuse_audit(spark, sf_dir):
-    """The ladder's answers appended to a history, a run for direct modes and one for transit, each sent twice; the history by tier after each."""
-    answers = settled(access_reuse_ladder(spark, sf_dir))
+    """The ladder's answers appended to a history, a run for direct modes and one for transit, each sent twice; the history by tier after each.
+
+    A run answers its own requests, from profiles of their modes, while it is staged: the answers are written once, as history.
+    """
+    requests, profiles, destinations = _travel(spark, sf_dir)
+    direct, transit = (R.resolve_access(requests.where(test), profiles.where(test), destinations, _AT, _SAME, by) for test, by in (("travel_mode <> 'transit'", False), ("travel_mode = 'transit'", True)))
     table = VersionedTable(spark, scratch_path(spark, "audit"))
-    direct, transit = answers.where("travel_mode <> 'transit'"), answers.where("travel_mode = 'transit'")
     seen = []
     for attempt, (rows, run, day) in enumerate(((direct, "direct", 1), (direct, "direct", 1), (transit, "transit", 2), (direct, "direct", 3)), 1):
         status, commit = table.append(rows.withColumn("run_id", F.lit(run)), run, _AT.replace(day=day))
