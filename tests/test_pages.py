@@ -105,3 +105,27 @@ def test_addresses(spark):
     rows = spark.createDataFrame([("https://h.ex/a/b?c", t) for t in ("d.png", "/d.png#x", "//e.ex/d", "http://f.ex", "mailto:a")] + [("https://h.ex", "d")], "url string, t string")
     got = [r[0] for r in rows.select(H.absolute(F.col("url"), F.col("t"))).collect()]
     assert got == ["https://h.ex/a/d.png", "https://h.ex/d.png", "https://e.ex/d", "http://f.ex", "mailto:a", "https://h.ex/d"]
+
+
+def _equals_sql(spark, name):
+    """The query on pages whose titles are cut within a reference equals its SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tidewell.sources.scratch import scratch_path
+
+    path = scratch_path(spark, "cut")
+    cuts = ("&", "&a", "&am", "&amp", "&amp;", "&q", "&quo", "&quot", "&quot;", "&copy", "&middot", "&amp;quot", "&ampquot;", "&quotamp;", "&amp;&quot a")
+    made = [(i, f"https://h.ex/{i}", f"<html lang=\"en\"><title>Token = {cut}</title><article><h1>Token = {cut}</h1><p>Token = {cut}<p>b &quot;c&quot; {cut}</p></article></html>") for i, cut in enumerate(cuts)]
+    spark.createDataFrame(made, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(0).write.parquet(f"{path}/orders.parquet")
+    duck = duckdb.connect()
+    for t in ("pages", "orders"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path.removeprefix('file:')}/{t}.parquet/*.parquet')")
+    rows = entry.queries()[name](spark, path)
+    want = duck.execute(f"SELECT {', '.join(rows.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert len(want) == len(cuts) and sorted(map(tuple, rows.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_pairs_of_cut_references(spark):
+    _equals_sql(spark, "extract_detail_pairs")
