@@ -129,3 +129,7 @@ def _equals_sql(spark, name):
 
 def test_pairs_of_cut_references(spark):
     _equals_sql(spark, "extract_detail_pairs")
+
+
+def test_fields_of_cut_references(spark):
+    _equals_sql(spark, "extract_page_fields")
